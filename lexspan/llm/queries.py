@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .simhash import op2_simhash_pigeonring
 
 
 def queries() -> dict:
@@ -10,6 +11,7 @@ def queries() -> dict:
 
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_simhash_pigeonring": op2_simhash_pigeonring,
         "pipeline": run,
     }
 
