@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .quality_model import op5_quality_gam
 from .simhash import op2_simhash_pigeonring
+from .toxicity import op3_toxicity_counterfactual
 
 
 def queries() -> dict:
@@ -12,6 +14,8 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_simhash_pigeonring": op2_simhash_pigeonring,
+        "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
+        "op5_quality_gam": op5_quality_gam,
         "pipeline": run,
     }
 
