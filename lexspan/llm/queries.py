@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe_prefix_dp
+from .line_rules import op9_line_frequency
 from .mixing import op1_mix_sources
+from .pii import op6_pii_anchors
 from .quality_model import op5_quality_gam
 from .simhash import op2_simhash_pigeonring
 from .toxicity import op3_toxicity_counterfactual
@@ -16,6 +19,9 @@ def queries() -> dict:
         "op2_simhash_pigeonring": op2_simhash_pigeonring,
         "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
         "op5_quality_gam": op5_quality_gam,
+        "op6_pii_anchors": op6_pii_anchors,
+        "op9_line_frequency": op9_line_frequency,
+        "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
         "pipeline": run,
     }
 
