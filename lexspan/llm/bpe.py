@@ -14,8 +14,10 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -241,8 +243,8 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
                 h.append(hashlib.sha256(packed).hexdigest())
                 d.append(hashlib.sha256(shown.encode()).hexdigest())
                 if keep_ids:
-                    ids.append(struct.unpack(f"<{len(packed) // 4}I", packed))
-            more = [pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []
+                    ids.append(packed)
+            more = [pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))] if keep_ids else []
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string()), *more], [*kept, *new])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

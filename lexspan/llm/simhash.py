@@ -1,14 +1,15 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-The 64 bits are cut into ``m`` segments on a ring. If two fingerprints differ in at most ``t`` bits, some segment
-starts a chain whose first l segments together differ in at most l * t / m bits, for every l from 1 to m. With
-``m = 8, t = 2`` the first three segments of that chain must agree: they are the blocking key, the longer prefixes
-prune candidates, and the full Hamming distance decides.
+The 64 bits are cut into segments on a ring. If two fingerprints differ in at most t bits, some of the m segments
+starts a chain whose first l segments together differ in at most l * t / m bits, for every l from 1 to m. Where that
+budget is below one bit the segments must agree: they are the blocking key, the longer prefixes prune candidates, and
+the full Hamming distance decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,38 +17,42 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, staged
+from .common import byte_texts, documents, small_or_not, staged
 from .components import components
 
-M, T, BITS = 8, 2, 64
-SEGMENT = BITS // M
-#: Segments that must agree: the longest chain prefix whose budget is below one bit.
-EXACT = (M - 1) // T
-#: A larger blocking group is split into groups of at most 65 by bit flips; see links().
+BITS = 64
+#: A larger blocking group is refined by further exact segments; see links().
 GROUP = 2_048
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
-
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half the shingles' XXH64; no words: 0."""
-    words = text.lower().split()
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle are one sequence."""
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if n <= shingle:
-        return hashed(joined, seed)
+        return np.array([hashed(joined, seed)], np.uint64)
+    if shingle == 1:
+        return np.fromiter((hashed(w, seed) for w in words), np.uint64, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    h = np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
+    count = n - shingle + 1
+    return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts[:count].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, count)
+
+
+def _majority(h: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of h."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65_536):  # bounds the unpacked bits
-        part = h[at : at + 65_536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Bit i is 1 if it is set in over half the shingles' XXH64; no words: 0."""
+    words = text.lower().split()
+    return _majority(_hashes(words, shingle, seed)) if words else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long), one row per row of docs.
 
@@ -64,101 +69,174 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _segment(i: int) -> F.Column:
-    return F.shiftrightunsigned("fp", (i % M) * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+@dataclass(frozen=True)
+class Ring:
+    """bits: largest Hamming distance of a link. segments: how many the ring has; they divide 64."""
+
+    bits: int = 2
+    segments: int = 8
+
+    @property
+    def width(self) -> int:
+        return BITS // self.segments
+
+    @property
+    def exact(self) -> int:
+        """Segments that must agree: the longest chain prefix whose budget is below one bit."""
+        return (self.segments - 1) // self.bits
+
+    def mask(self, start: int) -> int:
+        """The bits of the segments that must agree in a chain from segment start."""
+        return sum(((1 << self.width) - 1) << (i % self.segments) * self.width for i in range(start, start + self.exact))
+
+    def chain_holds(self, diff: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether every prefix of the chain from segment start stays within its proportional budget."""
+        by = (start * self.width).astype(np.uint64)
+        turned = diff >> by | diff << (np.uint64(BITS) - by) % np.uint64(BITS)
+        good = np.ones(diff.shape, bool)
+        for n in range(1, self.segments + 1):
+            good &= np.bitwise_count(turned << np.uint64(BITS - n * self.width)) <= n * self.bits // self.segments
+        return good
+
+    def near(self, diff: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Indices of the differences that pass the chain filter and then the full Hamming check."""
+        at = np.flatnonzero(self.chain_holds(diff, start))
+        return at[np.bitwise_count(diff[at]) <= self.bits]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def _keyed(rows: DataFrame, ways: list[tuple[int, int]]) -> DataFrame:
+    """A row per way (start, mask): start and the fingerprint's bits under the mask are the blocking key."""
+    key = F.array(*(F.struct(F.lit(start).alias("start"), F.lit(_signed(mask)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("part")) for start, mask in ways))
+    return rows.select(*rows.columns, F.explode(key).alias("key"))
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """fp -> one row per ring position: key holds the position and the segments that must agree there."""
-    def key(i: int) -> F.Column:
-        k = F.lit(i).cast("long")
-        for j in range(EXACT):
-            k = F.shiftleft(k, SEGMENT).bitwiseOR(_segment(i + j))
-        return k
 
-    return nodes.select("fp", F.explode(F.array(*map(key, range(M)))).alias("key"))
+def _parts(mask: int, n: int) -> list[int]:
+    """The mask with, in turn, each of n near-equal parts of the other bits added."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in free[k * len(free) // n : (k + 1) * len(free) // n]) for k in range(n)]
 
 
-def chain_holds(diff: np.ndarray, start: int) -> np.ndarray:
-    """Whether every prefix of the chain from segment start stays within its proportional budget."""
-    by_segment = _POP[diff.view(np.uint8).reshape(*diff.shape, M)]
-    total, good = np.zeros(diff.shape, np.int16), np.ones(diff.shape, bool)
-    for l in range(1, M + 1):
-        total += by_segment[..., (start + l - 1) % M]
-        good &= total * M <= l * T
-    return good
+SMALL = 64
 
 
-def spanning(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links of a forest that joins all that the group's links join. Candidates pass the chain filter first."""
+def spanning(fps: np.ndarray, group: np.ndarray, start: np.ndarray, ring: Ring, alike: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links of a forest that joins all that links join within the groups. Candidates pass the chain filter first.
+
+    Rows of a group lie together. ``alike`` (a row of uint64 words each), if given, must also differ in ``most`` bits
+    or fewer. What is joined already is not tested again, so a group of like rows costs far less than its pairs.
+    """
     n = len(fps)
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out, step = [], max(1, 262_144 // n)
-    for a in range(0, n, step):
-        diff = fps[a : a + step, None] ^ fps[None, :]
-        diff = np.ascontiguousarray(diff)
-        rows, cols = np.nonzero(chain_holds(diff, start) & (np.arange(a, min(n, a + step))[:, None] < np.arange(n)[None, :]))
-        near = _POP[diff[rows, cols].view(np.uint8).reshape(-1, 8)].sum(axis=1) <= T
-        for i, j in zip((rows[near] + a).tolist(), cols[near].tolist(), strict=True):
-            x, y = find(i), find(j)
-            if x != y:
-                parent[x] = y
-                out.append((i, j))
+    size = np.bincount(group)[group]
+    root = np.arange(n)
+    members: dict[int, list[int]] = {}
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        x, y = int(root[i]), int(root[j])
+        if x == y:
+            return
+        a, b = members.pop(x, [x]), members.pop(y, [y])
+        if len(a) < len(b):
+            a, b, x = b, a, y
+        root[b] = x
+        a.extend(b)
+        members[x] = a
+        out.append((i, j))
+
+    def kept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at = ring.near(fps[i] ^ fps[j], start[i])
+        if alike is not None and len(at):
+            at = at[np.bitwise_count(alike[i[at]] ^ alike[j[at]]).sum(axis=1) <= most]
+        return at
+
+    for step in range(1, SMALL):  # small groups: all rows with the row that is ``step`` further on, at once
+        i = np.flatnonzero((group[:-step] == group[step:]) & (size[:-step] <= SMALL)) if step < n else np.zeros(0, int)
+        if not len(i):
+            break
+        i = i[root[i] != root[i + step]]
+        for k in i[kept(i, i + step)].tolist():
+            join(k, k + step)
+    firsts = np.flatnonzero(np.diff(group, prepend=-1))
+    for lo in firsts[size[firsts] > SMALL].tolist():
+        hi = lo + int(size[lo])
+        for i in range(lo, hi - 1):
+            other = i + 1 + np.flatnonzero(root[i + 1 : hi] != root[i])
+            if len(other):
+                for j in other[kept(np.full(len(other), i), other)].tolist():
+                    join(i, j)
     return out
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key, each key whole in one partition and bounded -> links (a, b)."""
-    rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def link(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        a, b = [], []
-        for lo, hi in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(keys)])).tolist(), strict=True):
-            if hi - lo > 1:
-                group = fps[lo:hi].view(np.uint64)
-                for i, j in spanning(group, int(keys[lo]) >> (SEGMENT * EXACT)):
-                    a.append(int(fps[lo + i]))
-                    b.append(int(fps[lo + j]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        keys = np.concatenate((rest_k, batch.column("key").to_numpy(zero_copy_only=False)))
-        fps = np.concatenate((rest_f, batch.column("fp").to_numpy(zero_copy_only=False)))
-        if not len(keys):
-            continue
-        whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-        if whole:
-            yield link(keys[:whole], fps[:whole])
-        rest_k, rest_f = keys[whole:], fps[whole:]
-    if len(rest_k):
-        yield link(rest_k, rest_f)
-
-
-def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Distinct fp -> (a, b) whose components are those of all links at Hamming distance T or less.
-
-    A blocking group of more than ``group`` fingerprints is resolved exactly another way: each member meets, in groups
-    of at most 65, every fingerprint that it reaches by one bit flip. Two fingerprints have such a meeting point in
-    common if and only if they differ in two bits or fewer; the smallest member stands for the rest.
+def _linker(ring: Ring, most: int, sketch: int):  # noqa: ANN202
+    """Rows (key.start, key.mask, key.part, id, fp, s0, ...) sorted by key, each key whole and bounded -> links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def link(t: pa.Table) -> pa.RecordBatch:
+            col = {c: t.column(c).to_numpy() for c in t.column_names}
+            new = (np.diff(col["part"]) != 0) | (np.diff(col["mask"]) != 0) | (np.diff(col["start"]) != 0)
+            alike = np.stack([col[f"s{i}"].view(np.uint64) for i in range(sketch)], axis=1) if sketch else None
+            group = np.concatenate(([0], np.cumsum(new)))
+            found = spanning(col["fp"].view(np.uint64), group, col["start"].astype(np.int64), ring, alike, most)
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(col["id"][i]), pa.array(col["id"][j])], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            if not t.num_rows:
+                continue
+            at = [t.column(c).to_numpy() for c in ("start", "mask", "part")]
+            same = (at[0] == at[0][-1]) & (at[1] == at[1][-1]) & (at[2] == at[2][-1])
+            whole = int(np.argmax(same))  # the last key may go on
+            if whole:
+                yield link(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield link(rest)
+
+    return run
+
+
+def links(nodes: DataFrame, ring: Ring = Ring(), most: int = 0, group: int = GROUP) -> DataFrame:  # noqa: B008
+    """Distinct nodes (id, fp, and words s0, s1, ... of a second sketch or none) -> (a, b): ids whose components are
+    those of all links. A link is a fingerprint distance of ring.bits or less, and a sketch distance of ``most`` or less.
+
+    Members of a blocking group of more than ``group`` are blocked anew by more bits: of bits + 1 parts of the bits not
+    yet in the key, links agree in one at least. That goes on until every group is small; a key of 54 bits or more
+    can't hold more distinct fingerprints than fit, and groups of equal fingerprints are then cut up by the sketch.
     """
-    keys = _keys(nodes)
-    large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
-    keys = keys.join(large, "key", "left")
-    ready = keys.where("large IS NULL").select("key", "fp").repartition("key").sortWithinPartitions("key")
-    near = ready.mapInArrow(_link_groups, "a long, b long")
-    hot = keys.where("large").select("fp").distinct()
-    met = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)))
-    met = hot.select("fp", F.explode(met).alias("met"))
-    first = met.groupBy("met").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return near.unionByName(first.select("a", F.explode("all").alias("b")).where("a <> b"))
+    sketch = [c for c in nodes.columns if c not in ("id", "fp")]
+    ways = [(s, ring.mask(s)) for s in range(ring.segments)]
+    rows, out = _keyed(nodes, ways), None
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
+        left = [w for w in ways if bin(w[1]).count("1") < 54]
+        large = staged(sizes, "large-keys") if left else None
+        hot = large.count() if large is not None else 0
+        ready = rows
+        if hot:
+            rows = staged(rows.join(small_or_not(large, hot), "key", "left"), "keyed")
+            ready = rows.where("large IS NULL")
+        flat = ready.select("key.start", "key.mask", "key.part", "id", "fp", *sketch)
+        near = flat.repartition("start", "mask", "part").sortWithinPartitions("start", "mask", "part").mapInArrow(_linker(ring, most, len(sketch)), "a long, b long")
+        out = near if out is None else out.unionByName(near)
+        if not hot:
+            return out
+        again = rows.where("large").select("id", "fp", *sketch, "key.start", "key.mask")
+        finer = []
+        parts = None
+        for start, mask in ways:
+            fresh = [(start, m) for m in _parts(mask, ring.bits + 1)]
+            finer += fresh
+            own = _keyed(again.where((F.col("start") == start) & (F.col("mask") == _signed(mask))).drop("start", "mask"), fresh)
+            parts = own if parts is None else parts.unionByName(own)
+        ways, rows = finer, parts
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> DataFrame:
@@ -169,14 +247,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> Da
     """
     fps = staged(fingerprints(docs, shingle), "simhash-fp")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(links(nodes.select("fp"), group))
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), group=group))
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = member.where("root IS NOT NULL")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = linked.join(of_root, "root").select("fp", "component_id")
+    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = member.join(of_root, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+SKETCH = 4
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def sketch(text: bytes, shingle: int = 5) -> list[int]:
+    """SimHash words of the set of ``shingle``-word shingles: SKETCH * 64 bits, from each shingle's hash mixed SKETCH ways."""
+    words = text.lower().split()
+    if not words:
+        return [0] * SKETCH
+    h = np.unique(_hashes(words, shingle, 1))
+    out = []
+    for odd in _ODD:
+        x = (h ^ (h >> np.uint64(31))) * odd
+        out.append(_majority((x ^ (x >> np.uint64(29))) * _ODD[1] ^ x >> np.uint64(32)))
+    return out
+
+
+def allowed(similarity: float) -> int:
+    """Sketch bits by which two sets of one size and that Jaccard similarity differ on average."""
+    return int(SKETCH * BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ring: Ring = Ring(3, 16), group: int = GROUP) -> DataFrame:  # noqa: B008
+    """docs with row (unique), node and component (long): rows of one component are linked by near-copies.
+
+    Candidates have SimHashes of their words (with repeats) within ring.bits; a link also has an estimated Jaccard
+    similarity of ``similarity`` or more on sets of ``shingle``-word shingles, measured by a 256-bit SimHash of them.
+    Word order and rare edits hardly move the first, so copies with a fiftieth of their words changed still meet.
+    Texts equal but for A-Z case and white space are one node. Null and wordless texts are one node.
+    """
+    new = ["fp", *(f"s{i}" for i in range(SKETCH))]
+    kept = [c for c in docs.columns if c not in ("row", "node", "component", *new)]
+    docs = docs.select(*kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(fingerprint(x, 1), *sketch(x, shingle)) for x in byte_texts(b.column("text"))]
+            cols = np.array(rows, np.uint64).reshape(-1, 1 + SKETCH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(cols[:, k]) for k in range(1 + SKETCH))], [*kept, *new])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.mapInArrow(run, types + "".join(f", {c} long" for c in new)).withColumn("node", F.xxhash64(*new)).withColumn("row", F.monotonically_increasing_id())
+    rows = staged(rows, "near-copies")
+    nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new)), "near-copy-nodes")
+    found = components(links(nodes, ring, allowed(similarity), group))
+    f = found.select(F.col("node").alias("n_"), "root")
+    of = nodes.select("id").join(f, F.col("id") == F.col("n_"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    return rows.drop(*new).join(of, rows["node"] == of["id"]).drop("id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    """The rows of docs with the smallest doc_id of each component of grouped(), one row each; null ids come last."""
+    columns = docs.columns
+    rows = grouped(docs, **how)
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select(*columns)
+
+
 def hex16(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
