@@ -1,15 +1,14 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-The 64 bits are cut into segments on a ring. If two fingerprints differ in at most t bits, some of the m segments
-starts a chain whose first l segments together differ in at most l * t / m bits, for every l from 1 to m. Where that
-budget is below one bit the segments must agree: they are the blocking key, the longer prefixes prune candidates, and
-the full Hamming distance decides.
+The 64 bits are cut into M segments on a ring. If two fingerprints differ in at most T bits, some segment starts a
+chain whose first n segments together differ in at most n * T / M bits, for every n from 1 to M. With M = 8 and T = 2
+the first three segments of that chain must agree: they are the blocking key, the longer prefixes prune candidates,
+and the full Hamming distance decides. grouped() finds documents of a given similarity by longer sketches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from .common import byte_texts, documents, small_or_not, staged
 from .components import components
 
 BITS = 64
-#: A larger blocking group is refined by further exact segments; see links().
+#: A larger blocking group is treated another way; see links() and grouped().
 GROUP = 2_048
 
 def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -69,67 +68,65 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-@dataclass(frozen=True)
-class Ring:
-    """bits: largest Hamming distance of a link. segments: how many the ring has; they divide 64."""
+M, T = 8, 2
+WIDTH = BITS // M
+#: Segments that must agree: the longest chain prefix whose budget is below one bit.
+EXACT = (M - 1) // T
 
-    bits: int = 2
-    segments: int = 8
 
-    @property
-    def width(self) -> int:
-        return BITS // self.segments
+def chain_holds(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether every prefix of the chain from segment start stays within its proportional budget."""
+    by = (start * WIDTH).astype(np.uint64)
+    turned = diff >> by | diff << (np.uint64(BITS) - by) % np.uint64(BITS)
+    good = np.ones(diff.shape, bool)
+    for n in range(1, M + 1):
+        good &= np.bitwise_count(turned << np.uint64(BITS - n * WIDTH)) * M <= n * T
+    return good
 
-    @property
-    def exact(self) -> int:
-        """Segments that must agree: the longest chain prefix whose budget is below one bit."""
-        return (self.segments - 1) // self.bits
 
-    def mask(self, start: int) -> int:
-        """The bits of the segments that must agree in a chain from segment start."""
-        return sum(((1 << self.width) - 1) << (i % self.segments) * self.width for i in range(start, start + self.exact))
+def near(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Indices of the differences that pass the chain filter and then the full Hamming check."""
+    at = np.flatnonzero(chain_holds(diff, start))
+    return at[np.bitwise_count(diff[at]) <= T]
 
-    def chain_holds(self, diff: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether every prefix of the chain from segment start stays within its proportional budget."""
-        by = (start * self.width).astype(np.uint64)
-        turned = diff >> by | diff << (np.uint64(BITS) - by) % np.uint64(BITS)
-        good = np.ones(diff.shape, bool)
-        for n in range(1, self.segments + 1):
-            good &= np.bitwise_count(turned << np.uint64(BITS - n * self.width)) <= n * self.bits // self.segments
-        return good
 
-    def near(self, diff: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Indices of the differences that pass the chain filter and then the full Hamming check."""
-        at = np.flatnonzero(self.chain_holds(diff, start))
-        return at[np.bitwise_count(diff[at]) <= self.bits]
+def alike(diff: np.ndarray, most: int) -> np.ndarray:
+    """The same for differences of sketches, a row of words each: some chain of words keeps to its share of ``most``."""
+    count = np.bitwise_count(diff).astype(np.int64)
+    n = count.shape[1]
+    good = np.zeros(len(count), bool)
+    for start in range(n):
+        sums = np.cumsum(np.roll(count, -start, axis=1), axis=1)
+        good |= (sums * n <= most * np.arange(1, n + 1)).all(axis=1)
+    at = np.flatnonzero(good)
+    return at[count[at].sum(axis=1) <= most]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _keys(nodes: DataFrame) -> DataFrame:
+    """fp -> one row per ring position: key holds the position and the segments that must agree there."""
 
+    def segment(i: int) -> F.Column:
+        return F.shiftrightunsigned("fp", (i % M) * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
-def _keyed(rows: DataFrame, ways: list[tuple[int, int]]) -> DataFrame:
-    """A row per way (start, mask): start and the fingerprint's bits under the mask are the blocking key."""
-    key = F.array(*(F.struct(F.lit(start).alias("start"), F.lit(_signed(mask)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("part")) for start, mask in ways))
-    return rows.select(*rows.columns, F.explode(key).alias("key"))
+    def key(i: int) -> F.Column:
+        k = F.lit(i).cast("long")
+        for j in range(EXACT):
+            k = F.shiftleft(k, WIDTH).bitwiseOR(segment(i + j))
+        return k
 
-
-def _parts(mask: int, n: int) -> list[int]:
-    """The mask with, in turn, each of n near-equal parts of the other bits added."""
-    free = [i for i in range(BITS) if not mask >> i & 1]
-    return [mask | sum(1 << i for i in free[k * len(free) // n : (k + 1) * len(free) // n]) for k in range(n)]
+    return nodes.select("fp", F.explode(F.array(*map(key, range(M)))).alias("key"))
 
 
 SMALL = 64
 
 
-def spanning(fps: np.ndarray, group: np.ndarray, start: np.ndarray, ring: Ring, alike: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Links of a forest that joins all that links join within the groups. Candidates pass the chain filter first.
+def spanning(group: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a forest that joins all that links join within the groups, whose rows lie together.
 
-    Rows of a group lie together. ``alike`` (a row of uint64 words each), if given, must also differ in ``most`` bits
-    or fewer. What is joined already is not tested again, so a group of like rows costs far less than its pairs.
+    ``linked`` gets two arrays of rows and says at which places the two rows are linked. What is joined already is not
+    tested again, so a group of like rows costs far less than its pairs.
     """
-    n = len(fps)
+    n = len(group)
     size = np.bincount(group)[group]
     root = np.arange(n)
     members: dict[int, list[int]] = {}
@@ -147,18 +144,12 @@ def spanning(fps: np.ndarray, group: np.ndarray, start: np.ndarray, ring: Ring,
         members[x] = a
         out.append((i, j))
 
-    def kept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        at = ring.near(fps[i] ^ fps[j], start[i])
-        if alike is not None and len(at):
-            at = at[np.bitwise_count(alike[i[at]] ^ alike[j[at]]).sum(axis=1) <= most]
-        return at
-
     for step in range(1, SMALL):  # small groups: all rows with the row that is ``step`` further on, at once
         i = np.flatnonzero((group[:-step] == group[step:]) & (size[:-step] <= SMALL)) if step < n else np.zeros(0, int)
         if not len(i):
             break
         i = i[root[i] != root[i + step]]
-        for k in i[kept(i, i + step)].tolist():
+        for k in i[linked(i, i + step)].tolist():
             join(k, k + step)
     firsts = np.flatnonzero(np.diff(group, prepend=-1))
     for lo in firsts[size[firsts] > SMALL].tolist():
@@ -166,24 +157,21 @@ def spanning(fps: np.ndarray, group: np.ndarray, start: np.ndarray, ring: Ring,
         for i in range(lo, hi - 1):
             other = i + 1 + np.flatnonzero(root[i + 1 : hi] != root[i])
             if len(other):
-                for j in other[kept(np.full(len(other), i), other)].tolist():
+                for j in other[linked(np.full(len(other), i), other)].tolist():
                     join(i, j)
     return out
 
 
-def _linker(ring: Ring, most: int, sketch: int):  # noqa: ANN202
-    """Rows (key.start, key.mask, key.part, id, fp, s0, ...) sorted by key, each key whole and bounded -> links (a, b)."""
+def _by_key(link: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> Callable:
+    """For mapInArrow over rows (key, id, ...) sorted by key, each key whole in one partition -> links (a, b) of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def link(t: pa.Table) -> pa.RecordBatch:
+        def links_of(t: pa.Table) -> pa.RecordBatch:
             col = {c: t.column(c).to_numpy() for c in t.column_names}
-            new = (np.diff(col["part"]) != 0) | (np.diff(col["mask"]) != 0) | (np.diff(col["start"]) != 0)
-            alike = np.stack([col[f"s{i}"].view(np.uint64) for i in range(sketch)], axis=1) if sketch else None
-            group = np.concatenate(([0], np.cumsum(new)))
-            found = spanning(col["fp"].view(np.uint64), group, col["start"].astype(np.int64), ring, alike, most)
-            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            col["group"] = np.concatenate(([0], np.cumsum(np.diff(col["key"]) != 0)))
+            i, j = np.array(link(col), np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(col["id"][i]), pa.array(col["id"][j])], ["a", "b"])
 
         for batch in batches:
@@ -191,52 +179,39 @@ def _linker(ring: Ring, most: int, sketch: int):  # noqa: ANN202
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             if not t.num_rows:
                 continue
-            at = [t.column(c).to_numpy() for c in ("start", "mask", "part")]
-            same = (at[0] == at[0][-1]) & (at[1] == at[1][-1]) & (at[2] == at[2][-1])
-            whole = int(np.argmax(same))  # the last key may go on
+            keys = t.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if whole:
-                yield link(t.slice(0, whole))
+                yield links_of(t.slice(0, whole))
             rest = t.slice(whole)
         if rest is not None and rest.num_rows:
-            yield link(rest)
+            yield links_of(rest)
 
     return run
 
 
-def links(nodes: DataFrame, ring: Ring = Ring(), most: int = 0, group: int = GROUP) -> DataFrame:  # noqa: B008
-    """Distinct nodes (id, fp, and words s0, s1, ... of a second sketch or none) -> (a, b): ids whose components are
-    those of all links. A link is a fingerprint distance of ring.bits or less, and a sketch distance of ``most`` or less.
+def _link_fingerprints(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    fp, start = col["id"].view(np.uint64), col["key"] >> (WIDTH * EXACT)
+    return spanning(col["group"], lambda i, j: near(fp[i] ^ fp[j], start[i]))
+
 
-    Members of a blocking group of more than ``group`` are blocked anew by more bits: of bits + 1 parts of the bits not
-    yet in the key, links agree in one at least. That goes on until every group is small; a key of 54 bits or more
-    can't hold more distinct fingerprints than fit, and groups of equal fingerprints are then cut up by the sketch.
+def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Distinct fp -> (a, b) whose components are those of all links at Hamming distance T or less.
+
+    A blocking group of more than ``group`` fingerprints is resolved exactly another way: each member meets, in groups
+    of at most 65, every fingerprint that it reaches by one bit flip. Two fingerprints have such a meeting point in
+    common if and only if they differ in two bits or fewer; the smallest member stands for the rest.
     """
-    sketch = [c for c in nodes.columns if c not in ("id", "fp")]
-    ways = [(s, ring.mask(s)) for s in range(ring.segments)]
-    rows, out = _keyed(nodes, ways), None
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
-        left = [w for w in ways if bin(w[1]).count("1") < 54]
-        large = staged(sizes, "large-keys") if left else None
-        hot = large.count() if large is not None else 0
-        ready = rows
-        if hot:
-            rows = staged(rows.join(small_or_not(large, hot), "key", "left"), "keyed")
-            ready = rows.where("large IS NULL")
-        flat = ready.select("key.start", "key.mask", "key.part", "id", "fp", *sketch)
-        near = flat.repartition("start", "mask", "part").sortWithinPartitions("start", "mask", "part").mapInArrow(_linker(ring, most, len(sketch)), "a long, b long")
-        out = near if out is None else out.unionByName(near)
-        if not hot:
-            return out
-        again = rows.where("large").select("id", "fp", *sketch, "key.start", "key.mask")
-        finer = []
-        parts = None
-        for start, mask in ways:
-            fresh = [(start, m) for m in _parts(mask, ring.bits + 1)]
-            finer += fresh
-            own = _keyed(again.where((F.col("start") == start) & (F.col("mask") == _signed(mask))).drop("start", "mask"), fresh)
-            parts = own if parts is None else parts.unionByName(own)
-        ways, rows = finer, parts
+    keys = _keys(nodes)
+    large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
+    keys = keys.join(large, "key", "left")
+    ready = keys.where("large IS NULL").select("key", F.col("fp").alias("id")).repartition("key").sortWithinPartitions("key")
+    found = ready.mapInArrow(_by_key(_link_fingerprints), "a long, b long")
+    hot = keys.where("large").select("fp").distinct()
+    flips = (F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS))
+    met = hot.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("met"))
+    first = met.groupBy("met").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    return found.unionByName(first.select("a", F.explode("all").alias("b")).where("a <> b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> DataFrame:
@@ -247,15 +222,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> Da
     """
     fps = staged(fingerprints(docs, shingle), "simhash-fp")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), group=group))
+    found = components(links(nodes.select("fp"), group))
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = member.join(of_root, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 4
-_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+SKETCH = 8
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(SKETCH)], np.uint64)
 
 
 def sketch(text: bytes, shingle: int = 5) -> list[int]:
@@ -272,36 +247,78 @@ def sketch(text: bytes, shingle: int = 5) -> list[int]:
 
 
 def allowed(similarity: float) -> int:
-    """Sketch bits by which two sets of one size and that Jaccard similarity differ on average."""
-    return int(SKETCH * BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Sketch bits by which two sets of one size and that Jaccard similarity differ on average, and half a standard
+    deviation, so that pairs at the bound are mostly within."""
+    n, p = SKETCH * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * p + 0.5 * np.sqrt(n * p * (1 - p)))
+
 
+#: Words of a passage on average; its ends depend on two neighbouring words only.
+PASSAGE = 32
+#: A node with so many passages that few others have is not looked for by very common passages too.
+RARE = 4
 
-def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ring: Ring = Ring(3, 16), group: int = GROUP) -> DataFrame:  # noqa: B008
+
+def passages(text: bytes) -> np.ndarray:
+    """Distinct SimHashes of the words of each passage, and of the whole text."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    h = _hashes(words, 1, 42)
+    ends = np.flatnonzero(((h[:-1] * _ODD[0] ^ h[1:]) * _ODD[2] >> np.uint64(40)) % np.uint64(PASSAGE) == 0) + 1
+    starts = np.concatenate(([0], ends))
+    ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+    size = np.diff(np.concatenate((starts, [len(h)])))
+    each = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    whole = np.packbits(ones.sum(axis=0) * 2 > len(h), bitorder="little").view(np.uint64)
+    return np.unique(np.concatenate((each, whole ^ _ODD[3])))
+
+
+def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """docs with row (unique), node and component (long): rows of one component are linked by near-copies.
 
-    Candidates have SimHashes of their words (with repeats) within ring.bits; a link also has an estimated Jaccard
-    similarity of ``similarity`` or more on sets of ``shingle``-word shingles, measured by a 256-bit SimHash of them.
-    Word order and rare edits hardly move the first, so copies with a fiftieth of their words changed still meet.
-    Texts equal but for A-Z case and white space are one node. Null and wordless texts are one node.
+    A link is an estimated Jaccard similarity of ``similarity`` or more on sets of ``shingle``-word shingles, measured
+    by a 512-bit SimHash of them: pigeonring chains of its words prune, the full Hamming distance decides. Candidates
+    share the SimHash of a passage or of all words. Passages in more than ``group`` nodes are used only for nodes with
+    fewer than RARE others, so a passage that unlike documents quote does not bring them together, while members of a
+    large group of copies still meet; such a group costs one task little more than its size, as joined rows are not
+    tested again. Texts equal but for A-Z case and white space are one node. Null and wordless texts are one node.
     """
-    new = ["fp", *(f"s{i}" for i in range(SKETCH))]
-    kept = [c for c in docs.columns if c not in ("row", "node", "component", *new)]
+    sums = [f"s{i}" for i in range(SKETCH)]
+    new = ["node", *sums, "passages"]
+    kept = [c for c in docs.columns if c not in ("row", "component", *new)]
     docs = docs.select(*kept)
+    most = allowed(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(fingerprint(x, 1), *sketch(x, shingle)) for x in byte_texts(b.column("text"))]
-            cols = np.array(rows, np.uint64).reshape(-1, 1 + SKETCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(cols[:, k]) for k in range(1 + SKETCH))], [*kept, *new])
+            data = byte_texts(b.column("text"))
+            node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in data], np.uint64).view(np.int64)
+            cols = np.array([sketch(x, shingle) for x in data], np.uint64).reshape(-1, SKETCH).view(np.int64)
+            parts = pa.array([passages(x).view(np.int64) for x in data], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), *(pa.array(cols[:, k]) for k in range(SKETCH)), parts], [*kept, *new])
+
+    def link(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        words = np.stack([col[c] for c in sums], axis=1).view(np.uint64)
+        return spanning(col["group"], lambda i, j: alike(words[i] ^ words[j], most))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(run, types + "".join(f", {c} long" for c in new)).withColumn("node", F.xxhash64(*new)).withColumn("row", F.monotonically_increasing_id())
-    rows = staged(rows, "near-copies")
-    nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new)), "near-copy-nodes")
-    found = components(links(nodes, ring, allowed(similarity), group))
+    rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", passages array<long>")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "near-copies")
+    nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new[1:])), "near-copy-nodes")
+    keyed = nodes.select("id", *sums, F.explode("passages").alias("key"))
+    common = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("common")), "common-passages")
+    n_common = common.count()
+    if n_common:
+        thin = nodes.select("id", F.explode("passages").alias("key")).join(small_or_not(common, n_common), "key", "left")
+        per = thin.groupBy("id").agg(F.count_if(F.col("common").isNull()).alias("rare"), F.collect_set(F.when(F.col("common"), F.col("key"))).alias("keys"))
+        needed = per.where((F.col("rare") < RARE) & (F.size("keys") > 0)).select(F.col("id").alias("id_"), F.explode("keys").alias("key"))
+        rare = keyed.join(small_or_not(common.select("key"), n_common), "key", "left_anti").select("key", "id", *sums)
+        keyed = rare.unionByName(needed.join(nodes, needed["id_"] == nodes["id"]).select("key", "id", *sums))
+    found = components(keyed.select("key", "id", *sums).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
     f = found.select(F.col("node").alias("n_"), "root")
     of = nodes.select("id").join(f, F.col("id") == F.col("n_"), "left").select("id", F.coalesce("root", "id").alias("component"))
-    return rows.drop(*new).join(of, rows["node"] == of["id"]).drop("id")
+    return rows.drop(*new[1:]).join(of, rows["node"] == of["id"]).drop("id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
