@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_prefix_dp
 from .hnsw import op8_hnsw
+from .html_text import op7_html_wrappers
 from .line_rules import op9_line_frequency
 from .mixing import op1_mix_sources
 from .pii import op6_pii_anchors
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
         "op5_quality_gam": op5_quality_gam,
         "op6_pii_anchors": op6_pii_anchors,
+        "op7_html_wrappers": op7_html_wrappers,
         "op8_hnsw": op8_hnsw,
         "op9_line_frequency": op9_line_frequency,
         "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
