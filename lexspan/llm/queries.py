@@ -9,6 +9,7 @@ from .line_rules import op9_line_frequency
 from .mixing import op1_mix_sources
 from .pii import op6_pii_anchors
 from .quality_model import op5_quality_gam
+from .repeats import op4_prefix_free_repeats
 from .simhash import op2_simhash_pigeonring
 from .toxicity import op3_toxicity_counterfactual
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_simhash_pigeonring": op2_simhash_pigeonring,
         "op3_toxicity_counterfactual": op3_toxicity_counterfactual,
+        "op4_prefix_free_repeats": op4_prefix_free_repeats,
         "op5_quality_gam": op5_quality_gam,
         "op6_pii_anchors": op6_pii_anchors,
         "op7_html_wrappers": op7_html_wrappers,
