@@ -1,17 +1,474 @@
-"""All queries by name, with the SQL that each is checked against."""
+"""All queries by name, with the SQL that each is checked against.
+
+Names begin with the operator's place in the inventory. Gold relations come from what was planted in the synthetic
+petitions, so the SQL of an extraction or decision query shares nothing with the patterns that it checks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from .functions import text as T
+from .functions.patterns import CALIBRATED, PRIOR
+from .operators import decisions as D
+from .operators import evaluation as V
+from .operators import extraction as E
+from .operators import intervals as I
+from .operators.sentences import sentences
+from .plans.fixture import AFTER, BEFORE, HEAD, Fixture, ctes
+from .plans.staging import staged
+from .streaming.watch import classified_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
+
+
+def _query(name: str, sql: str | None):  # noqa: ANN202
+    def add(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
+        _ALL[name] = (f, None if sql is None else ctes() + sql)
+        return f
+
+    return add
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: lambda spark, sf_dir, f=f: f(Fixture(spark, sf_dir)) for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["m10_process_v"](spark, sf_dir)
+
+
+def _kb(f: Fixture) -> D.KnowledgeBase:
+    return D.knowledge_base(f.registry, f.statements, f.articles)
+
+
+def _spans(f: Fixture) -> DataFrame:
+    return staged(E.extracted(f.docs), "spans")
+
+
+def _noisy(f: Fixture) -> DataFrame:
+    """Gold spans with starts moved by a rule, one in eleven left out and one in thirteen of another class."""
+    shift = F.col("k") % 7
+    g = f.gold.where("k % 11 <> 3").withColumn("inicio", F.col("inicio") + shift).withColumn("fim", F.col("fim") + F.when(F.col("k") % 5 == 0, 40).otherwise(0))
+    g = g.withColumn("classe", F.when(F.col("k") % 13 == 1, "inventada").otherwise(F.col("classe")))
+    return g.select("documento_id", "inicio", "fim", "classe", "id_canonico", "regra", F.lit(0.9).alias("confianca"))
+
+
+_NOISY = """, noisy AS (SELECT documento_id, inicio + k % 7 AS inicio, fim + CASE WHEN k % 5 = 0 THEN 40 ELSE 0 END AS fim,
+  CASE WHEN k % 13 = 1 THEN 'inventada' ELSE classe END AS classe, id_canonico, regra, 0.9 AS confianca FROM gold WHERE k % 11 <> 3),
+raw AS (SELECT g.documento_id, g.k, g.inicio, g.fim, g.classe, g.id_canonico, n.inicio AS i_, n.fim AS f_, n.classe AS classe_p, n.id_canonico AS id_p, n.regra AS regra_p,
+  (least(g.fim, n.fim) - greatest(g.inicio, n.inicio))::DOUBLE / (greatest(g.fim, n.fim) - least(g.inicio, n.inicio)) AS iou
+  FROM gold g JOIN noisy n ON g.documento_id = n.documento_id AND g.inicio < n.fim AND n.inicio < g.fim),
+a AS (SELECT *, row_number() OVER (PARTITION BY documento_id, k ORDER BY iou DESC, i_) AS ra FROM raw WHERE iou >= 0.5),
+b AS (SELECT *, row_number() OVER (PARTITION BY documento_id, i_, f_ ORDER BY iou DESC, k) AS rb FROM a WHERE ra = 1),
+pairs AS (SELECT *, CASE WHEN classe = classe_p AND (classe <> 'real' OR id_canonico IS NOT DISTINCT FROM id_p) THEN 1 ELSE 0 END AS acerto FROM b WHERE rb = 1)
+"""
+
+
+def _pairs(f: Fixture) -> tuple[DataFrame, DataFrame]:
+    found = _noisy(f)
+    return found, V.matched(I.iou_pairs(f.gold.select("documento_id", "k", "inicio", "fim", "classe", "id_canonico"), found), found)
+
+
+# ---- Sources and sinks
+
+
+@_query("a01_whole_files", "SELECT documento_id, length(texto) AS n, md5(texto) AS h FROM docs WHERE CAST(documento_id AS BIGINT) % 5 = 0")
+def _(f: Fixture) -> DataFrame:
+    """Documents written one row per partition folder as text, read back whole with their names."""
+    from uuid import uuid4
+
+    from .plans.staging import shared_dir
+    from .sources.files import read_documents, write_documents
+
+    path = f"{shared_dir(f.spark)}/txt-{uuid4().hex}"
+    write_documents(f.docs.where("CAST(documento_id AS BIGINT) % 5 = 0"), path)
+    return read_documents(f.spark, path, drop_last_end=True).select("documento_id", F.length("texto").cast("long").alias("n"), F.md5(F.encode("texto", "UTF-8")).alias("h"))
+
+
+@_query("a05_gold_csv", "SELECT documento_id, inicio, fim, trecho, classe, coalesce(CAST(id_canonico AS VARCHAR), '') AS ids FROM gold")
+def _(f: Fixture) -> DataFrame:
+    from uuid import uuid4
+
+    from .plans.staging import shared_dir
+    from .sources.files import read_gold, write_gold
+
+    path = f"{shared_dir(f.spark)}/gold-{uuid4().hex}"
+    write_gold(f.gold, path)
+    return read_gold(f.spark, path).select("documento_id", "inicio", "fim", "trecho", F.col("classificacao").alias("classe"), F.coalesce("id_canonico", F.lit("")).alias("ids"))
+
+
+# ---- Scalars
+
+
+@_query("b01_digits", "SELECT id, regexp_replace(numero, '[^0-9]', '', 'g') AS d FROM registry")
+def _(f: Fixture) -> DataFrame:
+    noisy = F.concat(F.substring("numero", 1, 2), F.translate(F.substring("numero", 3, 2), "58", "SB"), F.expr("substring(numero, 5)"))
+    return f.registry.select("id", T.digits(noisy).alias("d"))
+
+
+@_query("b02_cnj_key", "SELECT id, CASE WHEN numero LIKE '%.%' THEN numero END AS chave FROM registry")
+def _(f: Fixture) -> DataFrame:
+    bare = T.digits(F.regexp_replace("numero", "[.-]", " "))
+    return f.registry.select("id", T.let(bare, T.cnj_key).alias("chave"))
+
+
+@_query("b03_number_key", "SELECT id, numero AS chave, CASE WHEN numero LIKE '%.%' THEN split_part(numero, '.', 3) END AS j FROM registry")
+def _(f: Fixture) -> DataFrame:
+    key = T.number_key(F.concat(F.lit("000"), F.col("numero")))
+    return f.registry.select("id", F.when(F.col("numero").contains("."), T.number_key(F.col("numero"))).otherwise(key).alias("chave"), T.justice(T.number_key(F.col("numero"))).alias("j"))
+
+
+@_query("b04_strip_accents", "SELECT documento_id, k, strip_accents(trecho) AS t FROM gold")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.select("documento_id", "k", T.strip_accents(F.col("trecho")).alias("t"))
+
+
+@_query("b09_class_codes", "SELECT documento_id, k, CASE WHEN trecho LIKE 'AgRg%' THEN 'AgRg,REsp' WHEN trecho LIKE 'Recurso Especial%' THEN 'REsp' ELSE split_part(trecho, ' ', 1) END AS c FROM gold WHERE forma IN (0, 1, 2, 16, 17)")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.where("forma IN (0, 1, 2, 16, 17)").select("documento_id", "k", F.array_join(T.class_codes(F.col("trecho")), ",").alias("c"))
+
+
+@_query("b10_court", "SELECT documento_id, k, CASE WHEN trecho LIKE '%Superior%' THEN 'STJ' WHEN trecho LIKE '%STF%' THEN 'STF' WHEN trecho LIKE '%STJ%' THEN 'STJ' END AS t FROM gold WHERE forma IN (9, 10, 13)")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.where("forma IN (9, 10, 13)").select("documento_id", "k", T.court(F.col("trecho")).alias("t"))
+
+
+@_query("b11_law_code", "SELECT documento_id, k, CASE WHEN trecho LIKE '%CPC%' THEN 'L13105/2015' WHEN trecho LIKE '%CLT%' THEN 'DL5452/1943' WHEN trecho LIKE '%CC%' THEN 'L10406/2002' ELSE 'CF' END AS lei FROM gold WHERE forma IN (11, 12)")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.where("forma IN (11, 12)").select("documento_id", "k", T.law_code(F.col("trecho")).alias("lei"))
+
+
+@_query("b14_similarity", "SELECT a.id, CASE WHEN a.classe = b.classe THEN 3.0 ELSE 0.0 END::DOUBLE AS s FROM registry a JOIN registry b ON b.id = a.id + 1")
+def _(f: Fixture) -> DataFrame:
+    from .functions.patterns import ACCESSORY
+
+    b = f.registry.select((F.col("id") - 1).alias("id"), F.array("classe").alias("b"))
+    return f.registry.join(b, "id").select("id", T.similarity(F.array("classe"), F.col("b"), ACCESSORY).alias("s"))
+
+
+@_query("b17_span_text", "SELECT documento_id, k, trecho AS t FROM gold")
+def _(f: Fixture) -> DataFrame:
+    return f.docs.join(f.gold, "documento_id").select("documento_id", "k", T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")).alias("t"))
+
+
+@_query("b20_cache_key", "SELECT documento_id, k, sha256('v1|modelo|' || trecho) AS chave FROM gold")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.select("documento_id", "k", T.cache_key(F.lit("v1"), F.lit("modelo"), F.col("trecho")).alias("chave"))
+
+
+_PACK = "SELECT d.documento_id, coalesce(string_agg(g.inicio||','||g.fim||','||g.classe||','||coalesce(CAST(g.id_canonico AS VARCHAR), ''), '|' ORDER BY g.inicio), '-') AS citacoes FROM docs d LEFT JOIN gold g ON g.documento_id = d.documento_id GROUP BY d.documento_id"
+
+
+@_query("b22_pack_cells", _PACK)
+def _(f: Fixture) -> DataFrame:
+    return I.packed(f.gold, f.docs)
+
+
+@_query("b22_unpack_cells", "SELECT documento_id, inicio, fim, classe, id_canonico FROM gold")
+def _(f: Fixture) -> DataFrame:
+    return I.unpacked(I.packed(f.gold, f.docs))
+
+
+@_query("b23_level", "SELECT documento_id, CASE WHEN CAST(documento_id AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS nivel FROM docs")
+def _(f: Fixture) -> DataFrame:
+    name = F.concat("documento_id", F.when(F.col("documento_id").cast("long") % 3 == 0, "_n2_a").otherwise("_n1_a"))
+    return f.docs.select("documento_id", T.level(name).alias("nivel"))
+
+
+# ---- Document structure
+
+
+@_query("c01_header_zone", f"SELECT documento_id, {HEAD.index('Cuida')} AS fim FROM docs")
+def _(f: Fixture) -> DataFrame:
+    return f.docs.select("documento_id", E.header_end(F.col("texto")).cast("int").alias("fim"))
+
+
+@_query("c02_own_keys", "SELECT documento_id, '1234567-89.2020.8.26.0100' AS chave FROM docs")
+def _(f: Fixture) -> DataFrame:
+    return f.docs.select("documento_id", F.explode(E.own_keys(F.col("texto"), E.header_end(F.col("texto")))).alias("chave"))
+
+
+@_query("c03_sentences", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a, fim + {len(AFTER)} AS b FROM offsets UNION ALL SELECT documento_id, 0, {len(HEAD) - 1} FROM docs")
+def _(f: Fixture) -> DataFrame:
+    return sentences(f.docs)
+
+
+@_query("c08_gap_windows", "SELECT documento_id, de, ate, faltam FROM (SELECT documento_id, lag(fim) OVER w AS de, inicio AS ate, k - lag(k) OVER w - 1 AS faltam FROM gold WINDOW w AS (PARTITION BY documento_id ORDER BY k)) x WHERE faltam > 0")
+def _(f: Fixture) -> DataFrame:
+    return I.gaps(f.gold.select("documento_id", "inicio", "fim", "k"))
+
+
+# ---- Extraction, decisions
+
+for _name, _kind, _forms in (
+    ("d01_numbered", "numerada", "0, 1, 2, 3, 4, 5, 6, 16, 17, 18, 19"),
+    ("d04_statements", "sumula", "9, 10"),
+    ("d07_themes", "tema", "13"),
+    ("d08_law_articles", "lei", "11, 12"),
+    ("d09_incomplete", "incompleta", "7, 8"),
+):
+
+    @_query(_name, f"SELECT documento_id, inicio, fim, trecho FROM gold WHERE forma IN ({_forms})")
+    def _(f: Fixture, kind: str = _kind) -> DataFrame:
+        s = _spans(f).where(F.col("kind") == kind)
+        return s.join(f.docs, "documento_id").select("documento_id", "inicio", "fim", T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")).alias("trecho"))
+
+
+@_query("d12_vague", "SELECT documento_id, inicio, fim, trecho, tipo FROM gold WHERE forma = 14")
+def _(f: Fixture) -> DataFrame:
+    return E.vague(f.docs, _spans(f)).select("documento_id", "inicio", "fim", "trecho", "tipo")
+
+
+@_query("e01_own_number_filter", "SELECT count(*) AS n FROM gold WHERE forma = 15")
+def _(f: Fixture) -> DataFrame:
+    return _spans(f).where("chave = '1234567-89.2020.8.26.0100' OR (kind = 'numerada' AND chave = '12345')").agg(F.count("*").alias("n"))
+
+
+@_query("f01_key_join", "SELECT documento_id, k, count(s.id) AS donos FROM gold g LEFT JOIN offsets o ON o.doc = CAST(g.documento_id AS BIGINT) AND o.k = g.k LEFT JOIN registry s ON s.numero = o.numero WHERE g.forma < 3 GROUP BY documento_id, k".replace("SELECT documento_id, k", "SELECT g.documento_id, g.k").replace("GROUP BY documento_id, k", "GROUP BY g.documento_id, g.k"))
+def _(f: Fixture) -> DataFrame:
+    keys = D.knowledge_base(f.registry, f.statements, f.articles).keys
+    g = f.gold.where("forma < 3").select("documento_id", "k", T.number_key(F.expr("substring(trecho, instr(trecho, ' ') + 1)")).alias("chave"))
+    return g.join(keys, "chave", "left").groupBy("documento_id", "k").agg(F.count("id").alias("donos"))
+
+
+@_query("m02_numbered_decisions", "SELECT documento_id, inicio, classe, regra, id_canonico FROM gold WHERE forma IN (0, 1, 2, 3, 4, 5, 6, 16, 17, 18, 19)")
+def _(f: Fixture) -> DataFrame:
+    return D.decide_numbered(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
+
+
+@_query("m03_statement_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (9, 10)")
+def _(f: Fixture) -> DataFrame:
+    return D.decide_statements(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
+
+
+@_query("m04_law_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (11, 12)")
+def _(f: Fixture) -> DataFrame:
+    return D.decide_laws(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
+
+
+@_query("m08_rule_confidence", "SELECT regra, conf FROM (VALUES " + ", ".join(f"('{r}', {({**PRIOR, **CALIBRATED})[r]}::DOUBLE)" for r in PRIOR) + ") v(regra, conf)")
+def _(f: Fixture) -> DataFrame:
+    return f.spark.createDataFrame([(r,) for r in PRIOR], "regra string").select("regra", D.confidence(F.col("regra")).cast("double").alias("conf"))
+
+
+_PROCESS = "SELECT documento_id, inicio, fim, tipo, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold"
+
+
+@_query("m10_process_v", _PROCESS)
+def _(f: Fixture) -> DataFrame:
+    return D.process(f.docs, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+
+
+@_query("m10_process_r", _PROCESS + " WHERE forma <> 14")
+def _(f: Fixture) -> DataFrame:
+    return D.process(f.docs, _kb(f)).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+
+
+@_query("k01_watch_stream", _PROCESS + " WHERE forma <> 14")
+def _(f: Fixture) -> DataFrame:
+    return classified_stream(f.docs, _kb(f)).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+
+
+# ---- Joins and sets
+
+
+@_query("f07_overlap_anti_join", "SELECT documento_id, k FROM gold g WHERE k % 4 = 0 AND NOT EXISTS (SELECT 1 FROM gold t WHERE t.documento_id = g.documento_id AND t.k % 4 = 1 AND g.inicio < t.fim + 60 AND t.inicio - 60 < g.fim)")
+def _(f: Fixture) -> DataFrame:
+    wide = f.gold.where("k % 4 = 1").select("documento_id", (F.col("inicio") - 60).alias("inicio"), (F.col("fim") + 60).alias("fim"))
+    return I.without_overlap(f.gold.where("k % 4 = 0"), wide).select("documento_id", "k")
+
+
+@_query("f08_containment_count", "SELECT g.documento_id, g.k, count(t.k) AS n FROM gold g LEFT JOIN gold t ON t.documento_id = g.documento_id AND t.inicio >= g.inicio - 100 AND t.fim <= g.fim + 100 GROUP BY g.documento_id, g.k")
+def _(f: Fixture) -> DataFrame:
+    outer = f.gold.select("documento_id", "k", (F.col("inicio") - 100).alias("inicio"), (F.col("fim") + 100).alias("fim"))
+    return I.contained(f.gold, outer).select("documento_id", "k", "n")
+
+
+@_query("f09_iou_match", _NOISY + "SELECT documento_id, k, i_, f_, round(iou, 9) AS iou FROM pairs")
+def _(f: Fixture) -> DataFrame:
+    return I.iou_pairs(f.gold.select("documento_id", "k", "inicio", "fim"), _noisy(f)).select("documento_id", "k", "i_", "f_", F.round("iou", 9).alias("iou"))
+
+
+_SPURIOUS = "SELECT n.documento_id, n.inicio, n.fim FROM noisy n WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.documento_id = n.documento_id AND p.i_ = n.inicio AND p.f_ = n.fim) AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.documento_id = n.documento_id AND n.inicio >= p.inicio AND n.fim <= p.fim)"
+
+
+@_query("f10_spurious", _NOISY + _SPURIOUS)
+def _(f: Fixture) -> DataFrame:
+    found = _noisy(f)
+    return I.spurious(found, I.iou_pairs(f.gold.select("documento_id", "k", "inicio", "fim"), found)).select("documento_id", "inicio", "fim")
+
+
+@_query("f13_missing_ids", "SELECT documento_id FROM docs WHERE documento_id NOT IN (SELECT documento_id FROM gold WHERE k = 30)")
+def _(f: Fixture) -> DataFrame:
+    return f.docs.select("documento_id").join(f.gold.where("k = 30").select("documento_id").distinct(), "documento_id", "left_anti")
+
+
+@_query("f16_cache_lookup", "SELECT count(*) FILTER (WHERE k % 3 = 0) AS achadas, count(*) FILTER (WHERE k % 3 <> 0) AS faltam FROM (SELECT trecho, min(k) AS k FROM gold GROUP BY trecho) x")
+def _(f: Fixture) -> DataFrame:
+    asked = f.gold.groupBy("trecho").agg(F.min("k").alias("k")).select(T.cache_key(F.col("trecho")).alias("chave"), "k")
+    cache = asked.where("k % 3 = 0").select("chave", F.lit(True).alias("v"))
+    return asked.select("chave").join(cache, "chave", "left").agg(F.count_if("v").alias("achadas"), F.count_if(F.col("v").isNull()).alias("faltam"))
+
+
+@_query("f22_unknown_keys", "SELECT id FROM registry WHERE '9'||numero NOT IN (SELECT numero FROM registry)")
+def _(f: Fixture) -> DataFrame:
+    made = f.registry.select("id", T.number_key(F.concat(F.lit("9"), F.col("numero"))).alias("chave"))
+    return made.join(_kb(f).keys.select("chave"), "chave", "left_anti").select("id")
+
+
+@_query("f23_rewrite", "SELECT documento_id, n, h FROM (SELECT documento_id, length(t) AS n, md5(t) AS h FROM (SELECT d.documento_id, '" + HEAD.replace("\n", "'||chr(10)||'") + f"'||string_agg('{BEFORE}'||CASE WHEN o.forma = 15 THEN o.trecho ELSE '[C'||o.k||']' END||'{AFTER}', ' ' ORDER BY o.ord, o.ln) AS t FROM docs d JOIN offsets o ON CAST(o.doc AS VARCHAR) = d.documento_id GROUP BY d.documento_id) x) y")
+def _(f: Fixture) -> DataFrame:
+    out = I.rewritten(f.docs, f.gold.withColumn("novo_", F.concat(F.lit("[C"), F.col("k").cast("string"), F.lit("]"))), "novo_")
+    return out.select("documento_id", F.length("texto").cast("long").alias("n"), F.md5(F.encode("texto", "UTF-8")).alias("h"))
+
+
+@_query("j04_set_difference", "SELECT trecho FROM gold WHERE k % 2 = 0 EXCEPT SELECT trecho FROM gold WHERE k % 2 = 1")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.where("k % 2 = 0").select("trecho").subtract(f.gold.where("k % 2 = 1").select("trecho"))
+
+
+@_query("j07_map_overlay", "SELECT regra, coalesce(c, p) AS conf FROM (VALUES " + ", ".join(f"('{r}', {p}::DOUBLE, {CALIBRATED[r] if r in CALIBRATED else 'NULL'}::DOUBLE)" for r, p in PRIOR.items()) + ") v(regra, p, c)")
+def _(f: Fixture) -> DataFrame:
+    prior = f.spark.createDataFrame(list(PRIOR.items()), "regra string, p double")
+    over = f.spark.createDataFrame(list(CALIBRATED.items()), "regra string, c double")
+    return prior.join(over, "regra", "left").select("regra", F.coalesce("c", "p").alias("conf"))
+
+
+# ---- Aggregates
+
+
+@_query("g01_inverted_index", "SELECT numero AS chave, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS donos FROM registry GROUP BY numero")
+def _(f: Fixture) -> DataFrame:
+    return D.inverted_index(_kb(f)).select("chave", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "donos")
+
+
+@_query("g05_rule_counts", _NOISY + "SELECT regra_p, count(*) AS n, CAST(sum(acerto) AS BIGINT) AS acertos FROM pairs GROUP BY regra_p")
+def _(f: Fixture) -> DataFrame:
+    return V.rule_counts(_pairs(f)[1])
+
+
+_PRIORS = "(VALUES " + ", ".join(f"('{r}', {p}::DOUBLE)" for r, p in PRIOR.items()) + ") v(regra, p0)"
+
+
+@_query("g06_calibrated", _NOISY + f"SELECT regra_p, n, acertos, round(CASE WHEN acertos = n AND n >= 50 THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, (acertos + 2 * coalesce(p0, 0.9::DOUBLE)) / (n + 2)) END, 6) AS conf FROM (SELECT regra_p, count(*) AS n, CAST(sum(acerto) AS BIGINT) AS acertos FROM pairs GROUP BY regra_p) c LEFT JOIN {_PRIORS} ON v.regra = c.regra_p")
+def _(f: Fixture) -> DataFrame:
+    return V.calibrated(V.rule_counts(_pairs(f)[1]), f.spark.createDataFrame(list(PRIOR.items()), "regra string, p0 double"))
+
+
+@_query("g09_calibration_error", "SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(p - y)) / sum(n), 9) AS ece FROM (SELECT count(*) AS n, avg(p) AS p, avg(y) AS y FROM (SELECT (l_partkey * 37 % 101) / 100.0::DOUBLE AS p, (CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS y FROM lineitem) z GROUP BY least(CAST(floor(p * 15) AS BIGINT), 14)) x")
+def _(f: Fixture) -> DataFrame:
+    li = f.spark.table("lineitem").select((F.col("l_partkey") * 37 % 101 / 100.0).alias("p"), F.when(F.col("l_orderkey") % 3 == 0, 1.0).otherwise(0.0).alias("y"))
+    return V.calibration_error(li)
+
+
+@_query("g11_f1_by_class", _NOISY + """, t AS (SELECT classe, count(*) FILTER (WHERE acerto = 1) AS tp FROM pairs GROUP BY classe),
+c AS (SELECT g.classe, coalesce(t.tp, 0) AS tp, p.n - coalesce(t.tp, 0) AS fp, g.n - coalesce(t.tp, 0) AS fn FROM (SELECT classe, count(*) AS n FROM gold GROUP BY classe) g
+JOIN (SELECT classe, count(*) AS n FROM noisy GROUP BY classe) p ON p.classe = g.classe LEFT JOIN t ON t.classe = g.classe)
+SELECT classe, tp, fp, fn, round(tp::DOUBLE / greatest(1, tp + fp), 6) AS precisao, round(tp::DOUBLE / greatest(1, tp + fn), 6) AS cobertura, round(2.0::DOUBLE * tp / greatest(1, 2 * tp + fp + fn), 6) AS f1 FROM c""")
+def _(f: Fixture) -> DataFrame:
+    found, pairs = _pairs(f)
+    return V.f1_by_class(f.gold, found, pairs)
+
+
+@_query("g14_volume", "SELECT count(*) AS documentos, 0 AS repetidos, CAST(sum(n) AS BIGINT) AS citacoes, max(n) AS maximo, round(avg(n), 6) AS media, 0 AS faltam, 0 AS sobram FROM (SELECT d.documento_id, count(g.k) AS n FROM docs d LEFT JOIN gold g ON g.documento_id = d.documento_id GROUP BY d.documento_id) x".replace(" 0 AS", " 0::BIGINT AS"))
+def _(f: Fixture) -> DataFrame:
+    return V.validated(I.packed(f.gold, f.docs), f.docs.select("documento_id")).withColumn("maximo", F.col("maximo").cast("long"))
+
+
+@_query("g17_unique_owner_keys", "SELECT numero AS chave, min(id) AS id FROM registry GROUP BY numero HAVING count(*) = 1")
+def _(f: Fixture) -> DataFrame:
+    return D.unique_owner_keys(_kb(f))
+
+
+@_query("g18_shared_keys", "SELECT numero AS chave, count(*) AS n FROM registry GROUP BY numero HAVING count(*) > 1 AND count(*) = count(DISTINCT classe)")
+def _(f: Fixture) -> DataFrame:
+    return D.shared_keys(_kb(f))
+
+
+@_query("g21_brier", _NOISY + "SELECT count(*) AS n, round(avg((0.9::DOUBLE - acerto) * (0.9::DOUBLE - acerto)), 9) AS brier FROM pairs")
+def _(f: Fixture) -> DataFrame:
+    return V.brier(_pairs(f)[1])
+
+
+@_query("g22_first_offset", "SELECT documento_id, min(inicio) AS inicio FROM gold GROUP BY documento_id")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.groupBy("documento_id").agg(F.min("inicio").alias("inicio"))
+
+
+@_query("o01_errors", _NOISY + "SELECT 'CLASSE' AS tipo_erro, documento_id, inicio, fim FROM pairs WHERE acerto = 0 UNION ALL SELECT 'FN', g.documento_id, g.inicio, g.fim FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.documento_id = g.documento_id AND p.k = g.k) UNION ALL SELECT 'FP', documento_id, inicio, fim FROM (" + _SPURIOUS + ") s")
+def _(f: Fixture) -> DataFrame:
+    found, pairs = _pairs(f)
+    return V.errors(pairs, f.gold, I.spurious(found, pairs))
+
+
+# ---- Order
+
+
+@_query("h01_overlap_choice", None)
+def _(f: Fixture) -> DataFrame:
+    """Overlapping candidates of two lengths and priorities; tests compare with a plain greedy choice."""
+    long = f.gold.select("documento_id", (F.col("k") % 3).cast("int").alias("prioridade"), "inicio", (F.col("fim") + F.col("k") % 4 * 40).alias("fim"), F.lit(0).alias("ordem"))
+    per = long.groupBy("documento_id").agg(F.collect_list(F.struct("prioridade", "inicio", "fim", "ordem")).alias("s"))
+    return per.select("documento_id", F.explode(E.resolved(F.col("s"))).alias("s")).select("documento_id", "s.*")
+
+
+@_query("h02_sweep", """, s AS (SELECT documento_id, inicio, fim + k % 4 * 40 AS fim, row_number() OVER (PARTITION BY documento_id ORDER BY inicio, fim + k % 4 * 40 DESC) AS r FROM gold),
+w AS (SELECT * FROM s) SELECT documento_id, inicio, fim FROM (WITH RECURSIVE kept AS (SELECT documento_id, r, inicio, fim, fim AS e, TRUE AS ok FROM w WHERE r = 1
+UNION ALL SELECT w.documento_id, w.r, w.inicio, w.fim, CASE WHEN w.inicio >= kept.e THEN w.fim ELSE kept.e END, w.inicio >= kept.e FROM kept JOIN w ON w.documento_id = kept.documento_id AND w.r = kept.r + 1) SELECT * FROM kept) z WHERE ok""")
+def _(f: Fixture) -> DataFrame:
+    return I.sweep(f.gold.select("documento_id", "inicio", (F.col("fim") + F.col("k") % 4 * 40).alias("fim")))
+
+
+@_query("h11_first_seen", "SELECT trecho, documento_id, k FROM (SELECT *, row_number() OVER (PARTITION BY trecho ORDER BY documento_id, k) AS r FROM gold) x WHERE r = 1")
+def _(f: Fixture) -> DataFrame:
+    first = F.min(F.struct("documento_id", "k")).alias("s")
+    return f.gold.groupBy("trecho").agg(first).select("trecho", "s.documento_id", "s.k")
+
+
+@_query("h12_renumber", "SELECT documento_id, inicio, 'g'||(row_number() OVER (PARTITION BY documento_id ORDER BY inicio) - 1) AS citacao_id FROM gold")
+def _(f: Fixture) -> DataFrame:
+    return I.renumbered(f.gold).select("documento_id", "inicio", "citacao_id")
+
+
+@_query("h14_stratified_sample", "SELECT documento_id, k, classe FROM (SELECT *, row_number() OVER (PARTITION BY classe ORDER BY (CAST(documento_id AS BIGINT) * 1103515 + k * 12345) % 2147483648, documento_id, k) AS r FROM gold) x WHERE r <= 40")
+def _(f: Fixture) -> DataFrame:
+    draw = (F.col("documento_id").cast("long") * 1103515 + F.col("k") * 12345) % 2147483648
+    w = Window.partitionBy("classe").orderBy(draw, "documento_id", "k")
+    return f.gold.withColumn("r", F.row_number().over(w)).where("r <= 40").select("documento_id", "k", "classe")
+
+
+@_query("i02_top_two", "SELECT tribunal, id, posto FROM (SELECT tribunal, id, row_number() OVER (PARTITION BY tribunal ORDER BY ano DESC, id) AS posto FROM registry) x WHERE posto <= 2")
+def _(f: Fixture) -> DataFrame:
+    return D.top_two(f.registry.withColumn("nota", F.col("ano")), ["tribunal"]).select("tribunal", "id", F.col("posto").cast("long").alias("posto"))
+
+
+@_query("i05_longest_key", "SELECT tribunal, max(length(numero)) AS n, min(numero) FILTER (WHERE length(numero) = m) AS chave FROM (SELECT *, max(length(numero)) OVER (PARTITION BY tribunal) AS m FROM registry) x GROUP BY tribunal")
+def _(f: Fixture) -> DataFrame:
+    best = F.min(F.struct((-F.length("numero")).alias("n"), F.col("numero").alias("chave"))).alias("s")
+    return f.registry.groupBy("tribunal").agg(best).select("tribunal", (-F.col("s.n")).cast("long").alias("n"), "s.chave")
+
+
+# ---- Synthetic corpus
+
+
+@_query("n14_corpus_offsets", "SELECT count(*) AS n, 0::BIGINT AS errados FROM gold")
+def _(f: Fixture) -> DataFrame:
+    """Every gold span's text is what stands there in the document."""
+    j = f.docs.join(f.gold, "documento_id")
+    return j.agg(F.count("*").alias("n"), F.count_if(T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")) != F.col("trecho")).alias("errados"))
+
+
+@_query("n05_cnj_format", "SELECT id, regexp_replace(numero, '[.-]', ' ', 'g') AS espacos FROM registry WHERE numero LIKE '%.%'")
+def _(f: Fixture) -> DataFrame:
+    d = T.digits(F.col("numero"))
+    spaced = F.regexp_replace(d, r"^([0-9]+)([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$", "$1 $2 $3 $4 $5 $6")
+    return f.registry.where("numero LIKE '%.%'").select("id", spaced.alias("espacos"))

@@ -29,8 +29,8 @@ ARTICLES = [("CF", 5, 800005), ("CF", 93, 800093), ("L13105/2015", 373, 800373),
 PLANTED = """
 SELECT p.doc, p.ord, p.ln, p.forma, k.id, k.tribunal, k.numero, k.classe,
   CASE
-    WHEN p.forma IN (3, 4) THEN k.classe||' '||substr(k.numero,1,2)||replace(substr(k.numero,3),'5','S')
-    WHEN p.forma IN (5, 6) THEN CASE WHEN k.tribunal IN ('STF','STJ') THEN k.classe||' 9'||k.numero ELSE k.classe||' 9'||k.numero END
+    WHEN p.forma IN (3, 4) THEN k.classe||' '||substr(k.numero,1,2)||replace(substr(k.numero,3,2),'5','S')||substr(k.numero,5)
+    WHEN p.forma IN (5, 6) THEN k.classe||' 9'||k.numero
     WHEN p.forma IN (7, 8) THEN 'julgado do '||k.tribunal||' proferido em '||CAST(k.ano AS STRING)||' pela relatoria de '||k.relator
     WHEN p.forma = 9 THEN CASE p.ord%3 WHEN 0 THEN 'Súmula 83 do STJ' WHEN 1 THEN 'Súmula Vinculante nº 10' ELSE 'Súmula nº 211 do Superior Tribunal de Justiça' END
     WHEN p.forma = 10 THEN CASE p.ord%3 WHEN 0 THEN 'Súmula 991 do STF' WHEN 1 THEN 'Súmula 282' ELSE 'Súmula 12 do TJSP' END
@@ -51,10 +51,10 @@ BEFORE, AFTER = "Reforça o argumento o ", ", de resto conhecido no foro."
 
 #: Offsets of every planted phrase: sentences follow each other in (ord, ln) order, a space between them.
 OFFSETS = f"""
-SELECT doc, ord, ln, forma, id, tribunal, numero, classe, trecho, at AS inicio, at + length(trecho) AS fim,
+SELECT doc, ord, ln, forma, id, tribunal, numero, classe, trecho, pos AS inicio, pos + length(trecho) AS fim,
   CAST(row_number() OVER (PARTITION BY doc ORDER BY ord, ln) - 1 AS BIGINT) AS k
 FROM (SELECT *, {len(HEAD)} + {len(BEFORE)} + CAST(sum(length(trecho) + {len(BEFORE) + len(AFTER) + 1}) OVER (PARTITION BY doc ORDER BY ord, ln
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length(trecho) - {len(BEFORE) + len(AFTER) + 1} AS at FROM planted) x
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length(trecho) - {len(BEFORE) + len(AFTER) + 1} AS pos FROM planted) x
 """
 
 #: What the pipeline must say of every planted phrase (V convention; forma 14 is left out in the R convention).
