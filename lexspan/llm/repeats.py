@@ -235,7 +235,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def single(rows: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
         hashes = np.concatenate([r[4] for r in rows])
-        mixed = np.concatenate([r[4] ^ np.uint64(r[0] & (1 << 64) - 1) * _A for r in rows])
+        mixed = np.concatenate([r[4] ^ np.uint64(r[0] * int(_A) & (1 << 64) - 1) for r in rows])
         ref = np.concatenate([np.full(len(r[4]), r[2], np.int64) for r in rows])
         start = np.concatenate([(r[3] >> 20) + np.arange(len(r[4])) for r in rows])
         kind = np.concatenate([np.full(len(r[4]), r[3] & 15) for r in rows])

@@ -62,10 +62,12 @@ def words_of(text: str) -> set[str]:
 
 
 def terms(words: set[str]) -> set[str]:
-    """The words, and the beginnings (x-) of three to eight letters of longer words."""
+    """The words, and the beginnings (x-) of three to eight letters of longer words. An identity term counts only
+    whole, so that all it adds to a score is under the penalty."""
     out = set(words)
+    others = words - _GROUP_OF.keys()
     for n in range(3, 9):
-        out.update([f"{w[:n]}-" for w in words if len(w) > n])
+        out.update([f"{w[:n]}-" for w in others if len(w) > n])
     return out
 
 
