@@ -17,6 +17,8 @@ from .operators import decisions as D
 from .operators import evaluation as V
 from .operators import extraction as E
 from .operators import intervals as I
+from .operators import kb as K
+from .operators import models as M
 from .operators.sentences import sentences
 from .plans.fixture import AFTER, BEFORE, HEAD, Fixture, ctes
 from .plans.staging import staged
@@ -472,3 +474,150 @@ def _(f: Fixture) -> DataFrame:
     d = T.digits(F.col("numero"))
     spaced = F.regexp_replace(d, r"^([0-9]+)([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$", "$1 $2 $3 $4 $5 $6")
     return f.registry.where("numero LIKE '%.%'").select("id", spaced.alias("espacos"))
+
+
+# ---- Knowledge base from texts
+
+_KB_TEXTS = """SELECT id, tribunal, CASE WHEN tribunal = 'TST' THEN 'TRIBUNAL SUPERIOR DO TRABALHO ementa de 2020 com RR 77-11.2019.5.01.0001 citado. Vistos, relatados e discutidos estes autos de Recurso de Revista nº TST-RR-'||numero||', em que é Recorrente Fulano.'
+  ELSE 'TRIBUNAL '||tribunal||' ACÓRDÃO '||classe||' Nº '||numero||' - SP (2016/0199049) CLASSE 32 R$ 1.500 RELATOR: '||relator||'. Como no '||classe||' 555111, julgado.' END AS texto FROM registry"""
+
+
+def _kb_texts(f: Fixture) -> DataFrame:
+    return f.spark.sql(_KB_TEXTS)
+
+
+@_query("d17_kb_header_keys", "SELECT id, numero AS chave FROM registry WHERE length(numero) > 1")
+def _(f: Fixture) -> DataFrame:
+    return K.rulings(_kb_texts(f)).select("id", F.explode("chaves").alias("chave"))
+
+
+@_query("c07_kb_header_classes", "SELECT id, CASE WHEN tribunal <> 'TST' THEN classe END AS c FROM registry WHERE tribunal <> 'TST'")
+def _(f: Fixture) -> DataFrame:
+    return K.rulings(_kb_texts(f)).where("tribunal <> 'TST'").select("id", F.array_join("classes", ",").alias("c"))
+
+
+@_query("f18_manual_keys", "SELECT id, CASE WHEN id % 100 = 7 THEN 'm'||id ELSE numero END AS chave FROM registry")
+def _(f: Fixture) -> DataFrame:
+    manual = f.registry.where("id % 100 = 7").select("id", F.array(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("chaves"))
+    return K.rulings(_kb_texts(f), manual).select("id", F.explode("chaves").alias("chave"))
+
+
+@_query("d20_statement_texts", "SELECT tribunal, CAST(numero AS BIGINT) AS numero, vinculante, CAST(id AS BIGINT) AS id FROM statements")
+def _(f: Fixture) -> DataFrame:
+    text = F.concat(F.lit("Súmula "), F.when(F.col("vinculante"), F.lit("Vinculante ")).otherwise(F.lit("")), F.lit("n. "), F.col("numero").cast("string"), F.lit(" do "), F.col("tribunal"), F.lit("\nTexto."))
+    return K.statements(f.statements.select("id", text.alias("texto")))
+
+
+@_query("d20_article_texts", "SELECT lei, CAST(artigo AS BIGINT) AS artigo, CAST(id AS BIGINT) AS id FROM articles")
+def _(f: Fixture) -> DataFrame:
+    from .functions.patterns import LAWS
+
+    names = F.create_map(*(F.lit(x) for code, forms in LAWS.items() for x in (code, "Constituição Federal" if code == "CF" else forms[0])))
+    text = F.concat(F.lit("Artigo "), F.col("artigo").cast("string"), F.lit("º da "), F.element_at(names, F.col("lei")), F.lit("\nTexto."))
+    return K.articles(f.articles.select("id", text.alias("texto")))
+
+
+@_query("d21_mentioned_keys", "SELECT DISTINCT chave FROM (SELECT o.numero AS chave FROM offsets o WHERE o.forma IN (0, 1, 2, 16, 17, 18, 19) UNION ALL SELECT '1234567-89.2020.8.26.0100') x")
+def _(f: Fixture) -> DataFrame:
+    keys = K.mentioned(f.docs)
+    known = f.registry.select(F.col("numero").alias("chave")).unionByName(f.spark.createDataFrame([("1234567-89.2020.8.26.0100",)], "chave string")).distinct()
+    wanted = f.offsets.where("forma IN (0, 1, 2, 16, 17, 18, 19)").select(F.col("numero").alias("chave")).union(f.spark.createDataFrame([("1234567-89.2020.8.26.0100",)], "chave string")).distinct()
+    return keys.join(known, "chave", "left_semi").join(wanted, "chave", "left_semi")
+
+
+@_query("e17_short_keys", "SELECT id, chave FROM (SELECT id, CAST(id % 20000 AS VARCHAR) AS chave FROM registry) x WHERE length(chave) <= 4")
+def _(f: Fixture) -> DataFrame:
+    return K.short_keys(f.registry.select("id", F.array((F.col("id") % 20000).cast("string"), F.col("numero")).alias("chaves")).where("numero LIKE '%.%' OR length(numero) > 4"))
+
+
+@_query("f14_key_diff", "SELECT id, CASE WHEN id % 3 = 0 THEN numero ELSE '' END AS sairam, CASE WHEN id % 3 = 1 THEN 'x'||id ELSE '' END AS entraram FROM registry WHERE id % 3 < 2")
+def _(f: Fixture) -> DataFrame:
+    old = f.registry.select("id", F.array("numero").alias("chaves"))
+    new = f.registry.where("id % 3 > 0").select("id", F.when(F.col("id") % 3 == 1, F.array("numero", F.concat(F.lit("x"), F.col("id").cast("string")))).otherwise(F.array("numero")).alias("chaves"))
+    return K.key_diff(old, new).select("id", F.array_join("sairam", ",").alias("sairam"), F.array_join("entraram", ",").alias("entraram"))
+
+
+# ---- Model stage
+
+
+@_query("f11_sentence_labels", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a, CASE WHEN forma = 14 THEN 'B' WHEN forma = 15 THEN 'C' ELSE 'A' END AS rotulo FROM offsets UNION ALL SELECT documento_id, 0, 'C' FROM docs")
+def _(f: Fixture) -> DataFrame:
+    return M.labelled(sentences(f.docs), f.gold.where("forma <> 14"), f.gold.where("forma = 14")).select("documento_id", "a", "rotulo")
+
+
+@_query("e09_escalation", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a FROM offsets WHERE forma = 15 AND ord % 3 < 2 OR forma = 14 AND ord % 3 <> 1")
+def _(f: Fixture) -> DataFrame:
+    return M.escalated(f.docs, sentences(f.docs), f.gold.where("forma <> 14")).select("documento_id", "a")
+
+
+@_query("l05_identified_sentences", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a FROM offsets WHERE forma = 15")
+def _(f: Fixture) -> DataFrame:
+    return M.identified(f.docs, sentences(f.docs), f.gold.where("forma <> 14")).select("documento_id", "a")
+
+
+@_query("l06_vague_by_model", "SELECT documento_id, inicio, fim, trecho, tipo FROM gold WHERE forma = 14")
+def _(f: Fixture) -> DataFrame:
+    return M.vague_by_model(f.docs, sentences(f.docs), f.gold.where("forma <> 14"))
+
+
+@_query("f17_anchoring", "SELECT documento_id, inicio, fim FROM gold WHERE k % 3 < 2")
+def _(f: Fixture) -> DataFrame:
+    """Proposals: the phrase itself; with a line break and capitals; and a paraphrase, which must not be found."""
+    s = M.with_text(f.docs, sentences(f.docs))
+    g = f.gold.select("documento_id", "inicio", "k", "trecho")
+    j = s.join(g, ["documento_id"]).where("inicio >= a AND inicio < b")
+    said = F.when(F.col("k") % 3 == 0, F.col("trecho")).when(F.col("k") % 3 == 1, F.upper(F.replace("trecho", F.lit(" "), F.lit("  ")))).otherwise(F.concat(F.lit("paráfrase de "), F.col("trecho")))
+    return M.anchored(j.select("documento_id", "a", "frase", said.alias("proposta"))).select("documento_id", "inicio", "fim")
+
+
+@_query("l02_cached_proposals", "SELECT count(*) FILTER (WHERE k % 2 = 0) AS achadas, count(*) FILTER (WHERE k % 2 = 1) AS perdidas FROM gold")
+def _(f: Fixture) -> DataFrame:
+    asked = f.gold.select(F.concat("documento_id", F.lit(":"), F.col("k").cast("string"), F.lit(" "), "trecho").alias("frase"), "k")
+    cache = asked.where("k % 2 = 0").select(T.cache_key(F.lit("1"), F.lit("m"), F.col("frase")).alias("k"), F.array("frase").alias("v"))
+    return M.remembered(asked.select("frase"), cache, "1", "m").agg(F.count("propostas").alias("achadas"), F.count_if(F.col("propostas").isNull()).alias("perdidas"))
+
+
+# ---- More evaluation, validation and comparison
+
+
+@_query("g20_tau", _NOISY + "SELECT count(*) AS n, count(*) FILTER (WHERE classe_p = 'real') AS como_real, round(avg(CASE WHEN classe_p = 'real' THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS tau FROM pairs WHERE classe = 'inventada'")
+def _(f: Fixture) -> DataFrame:
+    return V.fabricated_called_real(_pairs(f)[1])
+
+
+@_query("o04_variants", """, runs AS (SELECT CASE WHEN CAST(documento_id AS BIGINT) % 2 = 0 THEN 'st' ELSE 'adv' END AS conjunto, v.variante, g.* FROM gold g CROSS JOIN (VALUES ('R'), ('V')) v(variante) WHERE v.variante = 'V' OR g.forma <> 14),
+gs AS (SELECT CASE WHEN CAST(documento_id AS BIGINT) % 2 = 0 THEN 'st' ELSE 'adv' END AS conjunto, * FROM gold WHERE k % 10 > 0)
+SELECT r.conjunto, r.variante, count(*) AS achadas, count(g.k) AS certas, count(*) - count(g.k) AS espurias, min(t.n) - count(g.k) AS faltam
+FROM runs r LEFT JOIN gs g ON g.documento_id = r.documento_id AND g.k = r.k JOIN (SELECT conjunto, count(*) AS n FROM gs GROUP BY conjunto) t ON t.conjunto = r.conjunto GROUP BY r.conjunto, r.variante""")
+def _(f: Fixture) -> DataFrame:
+    kind = F.when(F.col("documento_id").cast("long") % 2 == 0, "st").otherwise("adv").alias("conjunto")
+    columns = ["documento_id", "inicio", "fim", "classe"]
+    runs = f.gold.where("forma <> 14").select(kind, F.lit("R").alias("variante"), *columns).unionByName(f.gold.select(kind, F.lit("V").alias("variante"), *columns))
+    return V.variants(runs, f.gold.where("k % 10 > 0").select(kind, *columns))
+
+
+@_query("g15_counts_by_set", "SELECT substr(regra, 1, 3) AS familia, classe, count(*) AS n FROM gold GROUP BY 1, 2")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.groupBy(F.substring("regra", 1, 3).alias("familia"), "classe").agg(F.count("*").alias("n"))
+
+
+@_query("g19_repeated_ids", "SELECT trecho, count(*) AS n FROM gold GROUP BY trecho HAVING count(*) > 1")
+def _(f: Fixture) -> DataFrame:
+    return f.gold.groupBy("trecho").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query("k03_novelty", "SELECT id FROM registry WHERE id % 5 = 0 OR id % 7 = 0")
+def _(f: Fixture) -> DataFrame:
+    """Entries that the baseline lacks, or has with another date."""
+    base = f.registry.where("id % 5 <> 0").select(F.col("id").alias("i_"), F.when(F.col("id") % 7 == 0, F.col("ano") - 1).otherwise(F.col("ano")).alias("a_"))
+    return f.registry.join(base, (F.col("id") == F.col("i_")) & (F.col("ano") == F.col("a_")), "left_anti").select("id")
+
+
+@_query("a10_documents_as_json", "SELECT documento_id, CAST(count(*) AS BIGINT) AS n, CAST(count(id_canonico) AS BIGINT) AS com_id, CAST(sum(inicio) AS BIGINT) AS s FROM gold GROUP BY documento_id")
+def _(f: Fixture) -> DataFrame:
+    from .sources.files import documents_as_json
+
+    found = f.gold.withColumn("confianca", F.lit(1.0))
+    kind = "documento_id string, citacoes array<struct<inicio:bigint,fim:bigint,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"
+    back = documents_as_json(f.docs, found).select(F.from_json("json", kind).alias("j")).select("j.*").where(F.size("citacoes") > 0)
+    return back.select("documento_id", F.size("citacoes").cast("long").alias("n"), F.size(F.filter("citacoes", lambda c: c["resolucao"].isNotNull())).cast("long").alias("com_id"), F.aggregate("citacoes", F.lit(0).cast("long"), lambda a, c: a + c["inicio"]).alias("s"))

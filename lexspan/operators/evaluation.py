@@ -65,3 +65,24 @@ def validated(cells: DataFrame, expected: DataFrame) -> DataFrame:
     unknown = cells.join(expected, "documento_id", "left_anti").agg(F.count("*").alias("sobram"))
     one = F.lit(1).alias("one")
     return volume.select("*", one).join(missing.select("*", one), "one").join(unknown.select("*", one), "one").drop("one")
+
+
+def level_scores(by_class: DataFrame, level: str = "nivel") -> DataFrame:
+    """Mean F1 over classes per level."""
+    return by_class.groupBy(level).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+
+
+def fabricated_called_real(pairs: DataFrame) -> DataFrame:
+    """tau: the share of matched fabricated citations that were called real."""
+    made_up = pairs.where("classe = 'inventada'")
+    return made_up.agg(F.count("*").alias("n"), F.count_if(F.col("classe_p") == "real").alias("como_real"), F.round(F.avg((F.col("classe_p") == "real").cast("double")), 9).alias("tau"))
+
+
+def variants(runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """conjunto, variante -> achadas, certas, espurias, faltam: runs (conjunto, variante, documento_id, inicio, fim, classe)
+    against gold (conjunto, documento_id, inicio, fim, classe) on exact spans."""
+    g = gold.select("conjunto", "documento_id", "inicio", "fim", F.col("classe").alias("classe_g"))
+    j = runs.join(g, ["conjunto", "documento_id", "inicio", "fim"], "left")
+    per = j.groupBy("conjunto", "variante").agg(F.count("*").alias("achadas"), F.count_if(F.col("classe") == F.col("classe_g")).alias("certas"), F.count_if(F.col("classe_g").isNull()).alias("espurias"))
+    total = g.groupBy("conjunto").agg(F.count("*").alias("total"))
+    return per.join(total, "conjunto").select("conjunto", "variante", "achadas", "certas", "espurias", (F.col("total") - F.col("achadas") + F.col("espurias")).alias("faltam"))
