@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import noise as N
 from .functions import text as T
 from .functions.patterns import CALIBRATED, PRIOR
 from .operators import decisions as D
@@ -621,3 +622,23 @@ def _(f: Fixture) -> DataFrame:
     kind = "documento_id string, citacoes array<struct<inicio:bigint,fim:bigint,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"
     back = documents_as_json(f.docs, found).select(F.from_json("json", kind).alias("j")).select("j.*").where(F.size("citacoes") > 0)
     return back.select("documento_id", F.size("citacoes").cast("long").alias("n"), F.size(F.filter("citacoes", lambda c: c["resolucao"].isNotNull())).cast("long").alias("com_id"), F.aggregate("citacoes", F.lit(0).cast("long"), lambda a, c: a + c["inicio"]).alias("s"))
+
+
+# ---- Noise that keys must survive
+
+
+@_query("n06_letter_noise", "SELECT id, numero AS chave FROM registry WHERE length(numero) > 4")
+def _(f: Fixture) -> DataFrame:
+    noisy = N.letter_for_digit(F.col("numero"), F.col("id"))
+    return f.registry.where("length(numero) > 4").select("id", T.number_key(noisy).alias("chave"))
+
+
+@_query("n16_joint_noise", "SELECT id, numero AS chave FROM registry WHERE numero LIKE '%.%'")
+def _(f: Fixture) -> DataFrame:
+    return f.registry.where("numero LIKE '%.%'").select("id", T.number_key(N.broken_joint(F.col("numero"), F.col("id"))).alias("chave"))
+
+
+@_query("n04_plain_format", "SELECT id, left(numero, 3)||'.'||substr(numero, 4) AS escrito, numero AS chave FROM registry WHERE length(numero) = 6 AND numero NOT LIKE '%.%'")
+def _(f: Fixture) -> DataFrame:
+    written = N.thousands(F.col("numero"))
+    return f.registry.where("length(numero) = 6 AND numero NOT LIKE '%.%'").select("id", written.alias("escrito"), T.number_key(written).alias("chave"))

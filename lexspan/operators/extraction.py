@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import LETTER, MONTHS, NUMBER, PATTERNS, STATES, VAGUE, VAGUE_PATTERN, tolerant
+from ..functions.patterns import LETTER, MONTHS, NUMBER, PATTERNS, SLOT_PATTERN, STATES, VAGUE_PATTERN, tolerant
 from ..functions.text import justice, number_key
 
 MARK, FIELD = "\u0001", "\u0003"
@@ -131,12 +131,26 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def vague(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """Known vague phrases after the header that overlap no span of ``taken``; the first of overlapping ones stays."""
-    found = docs.select("documento_id", header_end(F.col("texto")).alias("fim_cab"), F.explode(matches(F.col("texto"), VAGUE_PATTERN, 1)).alias("m"))
-    found = found.where("m.inicio >= fim_cab").select("documento_id", "m.inicio", "m.fim", F.col("m.g")[0].alias("trecho"))
-    law = "|".join(tolerant(v) for v, t in VAGUE if t == "lei")
-    found = found.withColumn("tipo", F.when(F.col("trecho").rlike(f"(?iu)^(?:{law})$"), F.lit("lei")).otherwise(F.lit("jurisprudencia")))
+    """Vague phrases after the header that overlap no span of ``taken``: documento_id, inicio, fim, trecho, tipo, fonte.
+
+    Known phrases go before noun phrases that follow a known beginning of a sentence; of those with one start the known
+    one stays, and what starts before the last kept one ends is dropped. Digits and single words are out.
+    """
+    d = docs.select("documento_id", "texto", header_end(F.col("texto")).alias("fim_cab"))
+    known = F.transform(matches(F.col("texto"), VAGUE_PATTERN, 1), lambda m: F.struct(m["inicio"].alias("inicio"), F.lit(0).alias("ordem"), m["fim"].alias("fim")))
+    after = F.transform(matches(F.col("texto"), SLOT_PATTERN, 2), lambda m: F.struct((m["fim"] - F.length(m["g"][1])).alias("inicio"), F.lit(1).alias("ordem"), m["fim"].alias("fim")))
+    found = d.select("documento_id", "texto", "fim_cab", F.explode(F.concat(known, after)).alias("m")).where("m.inicio >= fim_cab")
+    text = F.substring("texto", F.col("m.inicio").cast("int") + 1, (F.col("m.fim") - F.col("m.inicio")).cast("int"))
+    found = found.select("documento_id", "m.*", text.alias("trecho")).where(~F.col("trecho").rlike("[0-9]") & F.trim("trecho").rlike(r"\s"))
     t = taken.select(F.col("documento_id").alias("d_"), F.col("inicio").alias("i_"), F.col("fim").alias("f_"))
-    return found.join(t, (F.col("documento_id") == F.col("d_")) & (F.col("inicio") < F.col("f_")) & (F.col("i_") < F.col("fim")), "left_anti")
+    free = found.join(t, (F.col("documento_id") == F.col("d_")) & (F.col("inicio") < F.col("f_")) & (F.col("i_") < F.col("fim")), "left_anti")
+    first = free.groupBy("documento_id", "inicio").agg(F.min(F.struct("ordem", (-F.col("fim")).alias("menos"), "fim", "trecho")).alias("s")).select("documento_id", "inicio", "s.ordem", "s.fim", "s.trecho")
+    rows = first.groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("inicio", "fim", "trecho", "ordem"))).alias("s"))
 
+    def step(acc: Column, s: Column) -> Column:
+        clash = F.coalesce(F.try_element_at(acc, F.lit(-1))["fim"] > s["inicio"], F.lit(False))
+        return F.when(clash, acc).otherwise(F.array_append(acc, s))
 
+    kept = rows.select("documento_id", F.explode(F.aggregate("s", F.slice("s", 1, 0), step)).alias("s")).select("documento_id", "s.*")
+    law = F.col("trecho").rlike(r"(?iu)\b(?:dispositiv|lei|legisla|norma|artigo|preceito|diploma|c[óo]digo)")
+    return kept.select("documento_id", "inicio", "fim", "trecho", F.when(law, "lei").otherwise("jurisprudencia").alias("tipo"), F.when(F.col("ordem") == 0, "inventario").otherwise("slot").alias("fonte"))

@@ -110,3 +110,37 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'm10_process_v' in q and not any(n.startswith('op') for n in q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0, out.stderr
+
+
+def test_vague_phrases_after_known_beginnings(spark):
+    text = HEADER + "Reforça o argumento a orientação reiterada do colegiado local, de resto. Vale invocar o julgado 12 da casa. Cumpre destacar a jurisprudência pacífica desta Corte. Nada aqui."
+    docs = spark.createDataFrame([("d", text)], "documento_id string, texto string")
+    none = spark.createDataFrame([], "documento_id string, inicio long, fim long")
+    got = sorted((r.inicio, text[r.inicio : r.fim], r.fonte) for r in E.vague(docs, none).collect())
+    assert [g[1:] for g in got] == [("orientação reiterada do colegiado local", "slot"), ("jurisprudência pacífica desta Corte", "inventario")]
+    all_taken = spark.createDataFrame([("d", 0, len(text))], "documento_id string, inicio long, fim long")
+    assert E.vague(docs, all_taken).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from lexspan import cli
+
+    texts = {"a": "o REsp 1.741.784/SP e a Súmula 83 do STJ", "b": "o REsp 999.999, o art. 373 do CPC"}
+    (tmp_path / "in").mkdir()
+    for name, t in texts.items():
+        (tmp_path / "in" / f"{name}.txt").write_text(HEADER + f"Reforça o argumento {t}, de resto conhecido no foro.\r\nFim.", newline="")
+    rows = [
+        (1, "STJ", "acordao", "SUPERIOR TRIBUNAL DE JUSTIÇA ACÓRDÃO RECURSO ESPECIAL Nº 1.741.784 - SP (2016/0199049) RELATOR: X"),
+        (2, None, "sumula", "Súmula n. 83 do STJ\nTexto"), (3, None, "dispositivo", "Artigo 373º do Código de Processo Civil\nTexto"),
+    ]
+    spark.createDataFrame(rows, "id long, tribunal string, natureza string, texto string").write.parquet(str(tmp_path / "kb"))
+    cli.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "kb"))
+    found = spark.read.parquet(str(tmp_path / "out/decisions")).orderBy("documento_id", "inicio").collect()
+    assert [(r.documento_id, r.classe, r.id_canonico) for r in found] == [("a", "real", 1), ("a", "real", 2), ("b", "inventada", None), ("b", "real", 3)]
+    (tmp_path / "ids.csv").write_text("documento_id\na\nb\nc\n")
+    figures = cli.validate(spark, str(tmp_path / "out"), str(tmp_path / "ids.csv")).first()
+    assert (figures.documentos, figures.citacoes, figures.faltam, figures.sobram) == (2, 4, 1, 0)
+    gold = [f"1,{r.documento_id},g{i},{r.inicio},{r.fim},x,{r.tipo},{r.classe},{r.id_canonico or ''}" for i, r in enumerate(found)]
+    (tmp_path / "gold.csv").write_text("﻿nivel,documento_id,citacao_id,inicio,fim,trecho,tipo,classificacao,id_canonico\n" + "\n".join(gold) + "\n")
+    scores = cli.evaluate(spark, str(tmp_path / "out"), str(tmp_path / "gold.csv"))
+    assert {r.f1 for r in scores["f1"].collect()} == {1.0} and scores["errors"].count() == 0
