@@ -253,25 +253,31 @@ def allowed(similarity: float) -> int:
     return int(n * p + 0.5 * np.sqrt(n * p * (1 - p)))
 
 
-#: Words of a passage on average; its ends depend on two neighbouring words only.
-PASSAGE = 32
-#: A node with so many passages that few others have is not looked for by very common passages too.
-RARE = 4
+#: MinHash bands and values in each. Two sets of Jaccard similarity s share no band with probability (1 - s ** ROWS) ** BANDS,
+#: whatever their size: 0.0002 at 0.8.
+BANDS, ROWS = 16, 4
+_MASK, _TIMES = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1)
 
 
-def passages(text: bytes) -> np.ndarray:
-    """Distinct SimHashes of the words of each passage, and of the whole text."""
+def minima(text: bytes, shingle: int = 5) -> np.ndarray:
+    """BANDS * ROWS MinHash values of the set of ``shingle``-word shingles; no words: zeros."""
     words = text.lower().split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    h = _hashes(words, 1, 42)
-    ends = np.flatnonzero(((h[:-1] * _ODD[0] ^ h[1:]) * _ODD[2] >> np.uint64(40)) % np.uint64(PASSAGE) == 0) + 1
-    starts = np.concatenate(([0], ends))
-    ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
-    size = np.diff(np.concatenate((starts, [len(h)])))
-    each = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
-    whole = np.packbits(ones.sum(axis=0) * 2 > len(h), bitorder="little").view(np.uint64)
-    return np.unique(np.concatenate((each, whole ^ _ODD[3])))
+    least = np.full(BANDS * ROWS, ~np.uint64(0) if words else np.uint64(0))
+    h = _hashes(words, shingle, 1) if words else np.zeros(0, np.uint64)
+    for at in range(0, len(h), 4_096):  # bounds the mixed hashes
+        x = (h[at : at + 4_096] ^ _MASK[:, None]) * _TIMES[:, None]
+        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """Rows of minima() -> rows of BANDS keys, each from a band's values and its place."""
+    x = least.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(_MASK[:BANDS], x.shape[:2])
+    for k in range(ROWS):
+        key = (key ^ x[:, :, k]) * _TIMES[k]
+        key = key ^ key >> np.uint64(29)
+    return key
 
 
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
@@ -279,13 +285,12 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
 
     A link is an estimated Jaccard similarity of ``similarity`` or more on sets of ``shingle``-word shingles, measured
     by a 512-bit SimHash of them: pigeonring chains of its words prune, the full Hamming distance decides. Candidates
-    share the SimHash of a passage or of all words. Passages in more than ``group`` nodes are used only for nodes with
-    fewer than RARE others, so a passage that unlike documents quote does not bring them together, while members of a
-    large group of copies still meet; such a group costs one task little more than its size, as joined rows are not
-    tested again. Texts equal but for A-Z case and white space are one node. Null and wordless texts are one node.
+    share a MinHash band, however many nodes have it; a large group of copies costs one task little more than its size,
+    as joined rows are not tested again. Texts equal but for A-Z case and white space are one node. Null and wordless
+    texts are one node.
     """
     sums = [f"s{i}" for i in range(SKETCH)]
-    new = ["node", *sums, "passages"]
+    new = ["node", *sums, "bands"]
     kept = [c for c in docs.columns if c not in ("row", "component", *new)]
     docs = docs.select(*kept)
     most = allowed(similarity)
@@ -295,7 +300,8 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
             data = byte_texts(b.column("text"))
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in data], np.uint64).view(np.int64)
             cols = np.array([sketch(x, shingle) for x in data], np.uint64).reshape(-1, SKETCH).view(np.int64)
-            parts = pa.array([passages(x).view(np.int64) for x in data], pa.list_(pa.int64()))
+            least = np.array([minima(x, shingle) for x in data], np.uint64).reshape(-1, BANDS * ROWS)
+            parts = pa.array(list(bands(least).view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), *(pa.array(cols[:, k]) for k in range(SKETCH)), parts], [*kept, *new])
 
     def link(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -303,19 +309,11 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
         return spanning(col["group"], lambda i, j: alike(words[i] ^ words[j], most))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", passages array<long>")
+    rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", bands array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "near-copies")
     nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new[1:])), "near-copy-nodes")
-    keyed = nodes.select("id", *sums, F.explode("passages").alias("key"))
-    common = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("common")), "common-passages")
-    n_common = common.count()
-    if n_common:
-        thin = nodes.select("id", F.explode("passages").alias("key")).join(small_or_not(common, n_common), "key", "left")
-        per = thin.groupBy("id").agg(F.count_if(F.col("common").isNull()).alias("rare"), F.collect_set(F.when(F.col("common"), F.col("key"))).alias("keys"))
-        needed = per.where((F.col("rare") < RARE) & (F.size("keys") > 0)).select(F.col("id").alias("id_"), F.explode("keys").alias("key"))
-        rare = keyed.join(small_or_not(common.select("key"), n_common), "key", "left_anti").select("key", "id", *sums)
-        keyed = rare.unionByName(needed.join(nodes, needed["id_"] == nodes["id"]).select("key", "id", *sums))
-    found = components(keyed.select("key", "id", *sums).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
+    keyed = nodes.select(F.explode("bands").alias("key"), "id", *sums)
+    found = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
     f = found.select(F.col("node").alias("n_"), "root")
     of = nodes.select("id").join(f, F.col("id") == F.col("n_"), "left").select("id", F.coalesce("root", "id").alias("component"))
     return rows.drop(*new[1:]).join(of, rows["node"] == of["id"]).drop("id")

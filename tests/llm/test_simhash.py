@@ -102,3 +102,19 @@ def test_near_copies_of_a_given_similarity(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs, group=2).collect()) == [0, 4, 5, 6, 7, 9]
     odd = odd_documents(spark, "1 AS node")
     assert simhash.one_of_each(odd).columns == odd.columns and simhash.one_of_each(odd.limit(0)).count() == 0
+
+
+def edited(rng, words, edits, mark):
+    w = list(words)
+    for at in rng.choice(len(w), edits, replace=False):
+        w[int(at)] = f"{mark}x{at}"
+    return " ".join(w)
+
+
+def test_large_group_of_copies_with_edits_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in rng.integers(0, 5_000, 700)]
+    rows = [(i, edited(rng, words, 5, i)) for i in range(simhash.GROUP + 352)]
+    rows += [(10_000 + i, " ".join(f"v{int(x)}" for x in rng.integers(0, 5_000, 400))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs, group=500).collect()) == [0, 10_000, 10_001, 10_002]
