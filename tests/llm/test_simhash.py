@@ -104,6 +104,11 @@ def test_near_copies_of_a_given_similarity(spark):
     assert simhash.one_of_each(odd).columns == odd.columns and simhash.one_of_each(odd.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
 def edited(rng, words, edits, mark):
     w = list(words)
     for at in rng.choice(len(w), edits, replace=False):
@@ -118,3 +123,16 @@ def test_large_group_of_copies_with_edits_of_their_own(spark):
     rows += [(10_000 + i, " ".join(f"v{int(x)}" for x in rng.integers(0, 5_000, 400))) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in simhash.one_of_each(docs, group=500).collect()) == [0, 10_000, 10_001, 10_002]
+
+
+def test_short_near_copies_are_candidates():
+    rng = np.random.default_rng(5)
+    for size, edits in ((40, 1), (50, 1), (60, 1), (100, 2), (400, 6)):
+        met = pairs = 0
+        while pairs < 400:
+            words = [f"w{int(x)}" for x in rng.integers(0, 5_000, size)]
+            a, b = " ".join(words), edited(rng, words, edits, "z")
+            if jaccard(a, b) >= 0.8:
+                pairs += 1
+                met += bool((np.equal(*simhash.bands(np.array([simhash.minima(x.encode()) for x in (a, b)])))).any())
+        assert met >= 398, size
