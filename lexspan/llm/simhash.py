@@ -3,7 +3,7 @@
 The 64 bits are cut into M segments on a ring. If two fingerprints differ in at most T bits, some segment starts a
 chain whose first n segments together differ in at most n * T / M bits, for every n from 1 to M. With M = 8 and T = 2
 the first three segments of that chain must agree: they are the blocking key, the longer prefixes prune candidates,
-and the full Hamming distance decides. grouped() finds documents of a given similarity by longer sketches.
+and the full Hamming distance decides. grouped() finds documents of a given similarity by MinHash bands.
 """
 
 from __future__ import annotations
@@ -90,18 +90,6 @@ def near(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
     return at[np.bitwise_count(diff[at]) <= T]
 
 
-def alike(diff: np.ndarray, most: int) -> np.ndarray:
-    """The same for differences of sketches, a row of words each: some chain of words keeps to its share of ``most``."""
-    count = np.bitwise_count(diff).astype(np.int64)
-    n = count.shape[1]
-    good = np.zeros(len(count), bool)
-    for start in range(n):
-        sums = np.cumsum(np.roll(count, -start, axis=1), axis=1)
-        good |= (sums * n <= most * np.arange(1, n + 1)).all(axis=1)
-    at = np.flatnonzero(good)
-    return at[count[at].sum(axis=1) <= most]
-
-
 def _keys(nodes: DataFrame) -> DataFrame:
     """fp -> one row per ring position: key holds the position and the segments that must agree there."""
 
@@ -229,30 +217,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> Da
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 8
-_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(SKETCH)], np.uint64)
-
-
-def sketch(text: bytes, shingle: int = 5) -> list[int]:
-    """SimHash words of the set of ``shingle``-word shingles: SKETCH * 64 bits, from each shingle's hash mixed SKETCH ways."""
-    words = text.lower().split()
-    if not words:
-        return [0] * SKETCH
-    h = np.unique(_hashes(words, shingle, 1))
-    out = []
-    for odd in _ODD:
-        x = (h ^ (h >> np.uint64(31))) * odd
-        out.append(_majority((x ^ (x >> np.uint64(29))) * _ODD[1] ^ x >> np.uint64(32)))
-    return out
-
-
-def allowed(similarity: float) -> int:
-    """Sketch bits by which two sets of one size and that Jaccard similarity differ on average, and half a standard
-    deviation, so that pairs at the bound are mostly within."""
-    n, p = SKETCH * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * p + 0.5 * np.sqrt(n * p * (1 - p)))
-
-
 #: MinHash bands and values in each. Two sets of Jaccard similarity s share no band with probability (1 - s ** ROWS) ** BANDS,
 #: whatever their size: 0.0002 at 0.8.
 BANDS, ROWS = 16, 4
@@ -280,40 +244,109 @@ def bands(least: np.ndarray) -> np.ndarray:
     return key
 
 
+def estimated(similarity: float) -> int:
+    """Equal MinHash values that sets of that similarity have on average, less four standard deviations."""
+    n = BANDS * ROWS
+    return int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity)))
+
+
+def exactly(sets: list[np.ndarray], similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For spanning(): at which places two of the sorted sets have that Jaccard similarity or more."""
+    size = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(size) - size
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    n = len(distinct)
+
+    def items(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets at these places in a row, and the place in ``at`` of each item."""
+        of = np.repeat(np.arange(len(at)), size[at])
+        first = np.cumsum(size[at]) - size[at]
+        return flat[np.arange(len(of)) - first[of] + starts[at][of]], of
+
+    def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        b, of = items(j)
+        if (i == i[0]).all():
+            marked = np.zeros(n, bool)
+            marked[flat[starts[i[0]] : starts[i[0]] + size[i[0]]]] = True
+            hit = marked[b]
+        else:
+            a, of_a = items(i)
+            a, b = of_a * n + a, of * n + b
+            hit = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+        return np.bincount(of[hit], minlength=len(j))
+
+    def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        maybe = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        if len(maybe):
+            part = np.cumsum(size[j[maybe]]) // 2_000_000  # bounds the items at hand
+            for at in np.split(maybe, np.flatnonzero(np.diff(part)) + 1):
+                both = common(i[at], j[at])
+                out[at] = both >= similarity * (size[i[at]] + size[j[at]] - both) - 1e-9
+        return np.flatnonzero(out)
+
+    return linked
+
+
+#: A component of candidates with more than so many times GROUP nodes is compared in pairs of blocks of that size.
+BLOCK = 16
+
+
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """docs with row (unique), node and component (long): rows of one component are linked by near-copies.
 
-    A link is an estimated Jaccard similarity of ``similarity`` or more on sets of ``shingle``-word shingles, measured
-    by a 512-bit SimHash of them: pigeonring chains of its words prune, the full Hamming distance decides. Candidates
-    share a MinHash band, however many nodes have it; a large group of copies costs one task little more than its size,
-    as joined rows are not tested again. Texts equal but for A-Z case and white space are one node. Null and wordless
-    texts are one node.
+    A link is a Jaccard similarity of ``similarity`` or more of the sets of hashes of ``shingle``-word shingles. Nodes
+    that share a MinHash band, and by all their MinHash values may be that similar, are in one component of candidates;
+    in each component all pairs are compared exactly, but for those that links join already. Every node meets all that
+    have its bands, however many; a component of more than BLOCK * ``group`` nodes is dealt out in pairs of blocks. Texts
+    equal but for A-Z case and white space are one node. Null and wordless texts are one node.
     """
-    sums = [f"s{i}" for i in range(SKETCH)]
+    sums = [f"s{i}" for i in range(BANDS * ROWS // 8)]
     new = ["node", *sums, "bands"]
     kept = [c for c in docs.columns if c not in ("row", "component", *new)]
     docs = docs.select(*kept)
-    most = allowed(similarity)
+    least = estimated(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = byte_texts(b.column("text"))
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in data], np.uint64).view(np.int64)
-            cols = np.array([sketch(x, shingle) for x in data], np.uint64).reshape(-1, SKETCH).view(np.int64)
-            least = np.array([minima(x, shingle) for x in data], np.uint64).reshape(-1, BANDS * ROWS)
-            parts = pa.array(list(bands(least).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), *(pa.array(cols[:, k]) for k in range(SKETCH)), parts], [*kept, *new])
+            values = np.array([minima(x, shingle) for x in data], np.uint64).reshape(-1, BANDS * ROWS)
+            low = values.astype(np.uint8).view(np.int64)  # a byte of each value
+            parts = pa.array(list(bands(values).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), *(pa.array(low[:, k]) for k in range(len(sums))), parts], [*kept, *new])
+
+    def candidates(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        low = np.stack([col[c] for c in sums], axis=1).view(np.uint8)
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.flatnonzero((low[i] == low[j]).sum(axis=1) >= least)
+
+        return spanning(col["group"], linked)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_hashes(w, shingle, 1).view(np.int64)) if (w := x.lower().split()) else np.zeros(0, np.int64) for x in byte_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     def link(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        words = np.stack([col[c] for c in sums], axis=1).view(np.uint64)
-        return spanning(col["group"], lambda i, j: alike(words[i] ^ words[j], most))
+        return spanning(col["group"], exactly(list(col["set"]), similarity))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", bands array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "near-copies")
     nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new[1:])), "near-copy-nodes")
     keyed = nodes.select(F.explode("bands").alias("key"), "id", *sums)
-    found = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
+    near_ones = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(candidates), "a long, b long"))
+    near_ones = staged(near_ones.withColumnsRenamed({"node": "n_", "root": "root_"}), "near-copy-candidates")
+    blocks = near_ones.groupBy("root_").agg(F.ceil(F.count("*") / (BLOCK * group)).cast("int").alias("blocks"))
+    other = F.explode(F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))).otherwise(F.array(F.lit(0))))
+    place = near_ones.join(blocks, "root_").withColumn("block", F.pmod(F.xxhash64("n_"), "blocks").cast("int")).withColumn("other", other)
+    place = place.select("n_", F.xxhash64("root_", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+    texts = rows.join(near_ones, rows["node"] == near_ones["n_"], "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(sets_of, "id long, set array<long>")
+    sets = place.join(sets, place["n_"] == sets["id"]).select("key", "id", "set")
+    found = components(sets.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
     f = found.select(F.col("node").alias("n_"), "root")
     of = nodes.select("id").join(f, F.col("id") == F.col("n_"), "left").select("id", F.coalesce("root", "id").alias("component"))
     return rows.drop(*new[1:]).join(of, rows["node"] == of["id"]).drop("id")

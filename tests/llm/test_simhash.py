@@ -136,3 +136,34 @@ def test_short_near_copies_are_candidates():
                 pairs += 1
                 met += bool((np.equal(*simhash.bands(np.array([simhash.minima(x.encode()) for x in (a, b)])))).any())
         assert met >= 398, size
+
+
+def test_links_are_exact_similarities(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for k in range(300):
+        words = [f"w{k}x{int(x)}" for x in rng.integers(0, 5_000, 120)]
+        a = " ".join(words)
+        b = edited(rng, words, int(rng.integers(2, 5)), f"z{k}")
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want += [2 * k] if jaccard(a, b) >= 0.8 else [2 * k, 2 * k + 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == want
+
+
+def test_large_components_go_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{int(x)}" for x in rng.integers(0, 5_000, 200)]
+    texts = [" ".join(words)]
+    for i in range(150):  # chains: each copy is near the one it was made of
+        texts.append(edited(rng, texts[int(rng.integers(0, len(texts)))].split(), 4, i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(set(root)) < 100
+    for group in (2, simhash.GROUP):
+        assert sorted(r.doc_id for r in simhash.one_of_each(docs, group=group).collect()) == sorted(set(root))
