@@ -3,7 +3,7 @@
 A page becomes a tree of blocks. A host's wrapper is a union-free expression over such trees: same-host pages are
 aligned one after another; siblings that repeat become a repeated group, parts that only some pages have become
 optional, and texts that differ become text slots, while texts that stay the same are template text. The wrapper says
-which part of the host's pages is the article and which texts in it belong to the template.
+which part of the host's pages is the article and which texts in it are the same on all pages that have them.
 """
 
 from __future__ import annotations
@@ -356,12 +356,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the article of every row's whole html, "" if it has none.
 
     Null html is empty; a null or odd url belongs to the host "". Repeated rows are pages of their own. Only page_id,
-    url and html are read. Rules are a row per host: broadcast up to a counted bound, joined by host beyond it.
+    url and html are read. Texts of the article stay however many pages have them, so a page's text does not depend on
+    how many pages its host has. Rules are a row per host: broadcast up to a counted bound, joined by host beyond it.
     """
 
     def to_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = [json.dumps(rules(json.loads(w), n)) for w, n in zip(b.column("wrapper").to_pylist(), b.column("pages").to_pylist(), strict=True)]
+            r = [json.dumps({**rules(json.loads(w), n), "fixed": []}) for w, n in zip(b.column("wrapper").to_pylist(), b.column("pages").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(r, pa.string())], ["host", "rule"])
 
     known = staged(wrappers(pages).mapInArrow(to_rules, "host string, rule string"), "wrapper-rules")

@@ -56,3 +56,13 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id or 0), r.text, r.n_chars) for r in H.extracted(pages).collect())
     assert got == [(0, "b", 1), (1, "", 0), (1, "a", 1), (1, "a", 1)]
     assert H.extracted(pages.limit(0)).count() == 0
+
+
+def test_article_texts_of_one_page_stay(spark):
+    def page(i):
+        once = "<h2 id=some-title>Some title</h2><blockquote>said once</blockquote><pre>code</pre>" if i == 7 else ""
+        return f"<body><article><h1>T{i}</h1>{once}<p>a{i}</p></article></body>"
+
+    pages = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extracted(pages).collect()}
+    assert got == {i: f"T{i}\nSome title\nsaid once\ncode\na{i}" if i == 7 else f"T{i}\na{i}" for i in range(40)}
