@@ -66,3 +66,9 @@ def test_article_texts_of_one_page_stay(spark):
     pages = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(40)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in H.extracted(pages).collect()}
     assert got == {i: f"T{i}\nSome title\nsaid once\ncode\na{i}" if i == 7 else f"T{i}\na{i}" for i in range(40)}
+
+
+def test_text_does_not_depend_on_the_host_having_30_pages(spark):
+    rows = [(i, f"http://h{n}/x", f"<body><article><h2>Summary</h2><p>a{i}</p></article></body>") for n in (29, 30) for i in range(n)]
+    got = {r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {f"Summary\na{i}" for i in range(30)}
