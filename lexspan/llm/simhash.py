@@ -279,7 +279,7 @@ def exactly(sets: list[np.ndarray], similarity: float) -> Callable[[np.ndarray,
         out = np.zeros(len(i), bool)
         maybe = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
         if len(maybe):
-            part = np.cumsum(size[j[maybe]]) // 2_000_000  # bounds the items at hand
+            part = np.cumsum(size[j[maybe]]) // 500_000  # bounds the items at hand
             for at in np.split(maybe, np.flatnonzero(np.diff(part)) + 1):
                 both = common(i[at], j[at])
                 out[at] = both >= similarity * (size[i[at]] + size[j[at]] - both) - 1e-9
@@ -330,7 +330,13 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     def link(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        return spanning(col["group"], exactly(list(col["set"]), similarity))
+        first = np.flatnonzero(np.diff(col["group"], prepend=-1))
+        starts = first[np.flatnonzero(np.diff(first // 500, prepend=-1))]  # some groups at a time: bounds the sets at hand
+        out: list[tuple[int, int]] = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(col["group"])], strict=True):
+            found = spanning(col["group"][lo:hi] - col["group"][lo], exactly(list(col["set"][lo:hi]), similarity))
+            out += [(lo + i, lo + j) for i, j in found]
+        return out
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", bands array<long>")
