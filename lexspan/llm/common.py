@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut into smaller ones: bounds what a Python worker holds beside the batch itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import documents, slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -144,7 +144,29 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def account_at(text: str, start: int, end: int) -> Span | None:
+class Runs:
+    """Runs of value characters of one text. The last run read is kept, so that cues within a run read it once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.start, self.end, self.digit = text, 0, 0, -1
+
+    def value_end(self, s: int) -> tuple[int, bool]:
+        """End of the run from s, without full stops at its end, and whether a digit is in it."""
+        text = self.text
+        if not self.start <= s < self.end:
+            e, n = s, len(text)
+            while e < n and text[e] in _VALUE:
+                e += 1
+            self.start, self.end, self.digit = s, e, e - 1
+            while self.digit >= s and text[self.digit] not in _DIGIT:
+                self.digit -= 1
+            self.bare = e
+            while self.bare > s and text[self.bare - 1] == ".":
+                self.bare -= 1
+        return max(self.bare, s), self.digit >= s
+
+
+def account_at(text: str, start: int, end: int, runs: Runs) -> Span | None:
     """The value after a cue: an IBAN, or eight or more value characters with a digit among them after = or :."""
     n = len(text)
     if start and text[start - 1] in _ALNUM or end < n and text[end] in _ALNUM:
@@ -154,16 +176,14 @@ def account_at(text: str, start: int, end: int) -> Span | None:
         mark |= text[e] in "=:#"
         e += 1
     s = e
-    while e < n and text[e] in _VALUE:
-        e += 1
-    value = text[s:e].rstrip(".")
+    e, digit = runs.value_end(s)
     grouped, g = "", s
     while g < n and len(grouped) < 34 and (text[g] in _ALNUM or text[g] == " " and g + 1 < n and text[g + 1] in _ALNUM):
         grouped += text[g].strip()
         g += 1
-        if iban(grouped) and (g == n or text[g] not in _ALNUM):
+        if len(grouped) > 14 and (g == n or text[g] not in _ALNUM) and iban(grouped):
             return ("account", s, g)
-    return ("account", s, s + len(value)) if mark and len(value) >= 8 and any(c in _DIGIT for c in value) else None
+    return ("account", s, e) if mark and digit and e - s >= 8 else None
 
 
 def find(text: str) -> list[Span]:
@@ -171,6 +191,7 @@ def find(text: str) -> list[Span]:
     digits: list[int] = []
     out: list[Span] = []
     email_end = cue_end = url_end = 0
+    runs = Runs(text)
     for end, (what, length) in _automaton().iter(text):
         p = end + 1 - length
         if what == "digit":
@@ -187,7 +208,7 @@ def find(text: str) -> list[Span]:
             if found:
                 url_end = found[2]
         else:
-            found = account_at(text, p, end + 1) if p >= cue_end else None
+            found = account_at(text, p, end + 1, runs) if p >= cue_end else None
             if found:
                 cue_end = found[2]
         if found:
@@ -222,7 +243,7 @@ def scanned(docs: DataFrame, masked: bool = False) -> DataFrame:
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             all_spans = [find(t) for t in texts(b.column("text"))]
             columns = {c: b.column(c) for c in kept}
             if masked:
@@ -241,5 +262,7 @@ def scanned(docs: DataFrame, masked: bool = False) -> DataFrame:
 
 
 def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of every document: counts and digest of the base spans, and all spans. Null texts are empty; rows
+    with null or repeated doc_ids are rows of their own; other columns are not read."""
     out = scanned(documents(spark, sf_dir).select("doc_id", F.col("text").cast("string")))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")

@@ -1,12 +1,16 @@
 """Personal data against the plain patterns."""
 
+import hashlib
 import random
 import re
+import time
 
 import pytest
 
 from lexspan.llm import pii
 
+from .helpers import SF, odd_documents
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -53,3 +57,39 @@ def test_scanned_edges(spark):
     assert [(r.n_email, r.n_phone) for r in got] == [(1, 0), (0, 0), (0, 0), (0, 0), (0, 20_000)]
     assert pii.scanned(docs.limit(0)).count() == 0
     assert [r.text for r in pii.scanned(docs, masked=True).where("doc_id is null").collect()] == ["[EMAIL]"]
+
+
+@pytest.mark.parametrize("text", ["token=" * 200_000, "token:. " * 100_000, "iban DE89 " * 50_000, "a@" * 300_000, "http://x@" * 50_000, "1." * 200_000, "+1 " * 100_000, "4 " * 200_000])
+def test_very_long_texts_take_time_in_proportion(text):
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 5
+
+
+def test_a_cue_in_the_run_of_another():
+    text = "token=secret=abc.token=abcd1234.. password=passwd=zzzzzzzzzz"
+    assert [s for s in pii.find(text) if s[0] == "account"] == [("account", 6, 31)]
+    text = "token=token=token=password=a1b2c3d4e5..."
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "account"] == ["token=token=password=a1b2c3d4e5"]
+
+
+def as_brute(doc_id, text):
+    spans = brute(text or "")
+    counts = tuple(sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))
+    return (doc_id, *counts, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest())
+
+
+def test_query_is_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = pii.op6_pii_anchors(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(as_brute(d.doc_id, d.text) for d in docs)
+    for r in got:  # base spans stay among all spans
+        base = [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark, "'x' AS n_ip")
+    got = pii.scanned(docs).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got), key=key) == sorted((as_brute(d.doc_id, d.text) for d in docs.collect()), key=key)
