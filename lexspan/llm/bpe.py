@@ -1,9 +1,11 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
-For every prefix of a word there is one last token in its BPE encoding. An automaton over the vocabulary reports, for
-every position, the tokens that end there, longest first; a token is the prefix's last one if the pair that it forms
-with the last token of the prefix before it is compatible: merging in rank order leaves both tokens standing. Back
-pointers from the word's end give the exact ids. Words are encoded once per worker and kept in a bounded cache.
+For every prefix of a word there is one last token in its BPE encoding. An automaton over the vocabulary (Aho-Corasick:
+its suffix links are those of a suffix automaton of the tokens) reports, for every position, the tokens that end there,
+longest first; a token is the prefix's last one if the pair that it forms with the last token of the prefix before it is
+compatible: merging in rank order leaves both tokens standing. Back pointers from the word's end give the exact ids.
+Normaliser and word pattern are read from the tokenizer's file. Words are encoded once per worker and kept in a cache
+bounded in bytes.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import ahocorasick
@@ -23,11 +26,64 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts
+from .common import documents, slices, texts
 
 _END = "</w>"
 _STOP = "\ue000"  # stands for the end mark inside the automaton; byte symbols never use it
-_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: What \s means in the file's patterns: the white-space property, without the separators 1C to 1F that Python adds.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Pairs whose compatibility a worker remembers at most, and bytes of words that it keeps encoded at most.
+PAIRS, CACHE = 200_000, 64 << 20
+
+
+def _pattern(file_pattern: str) -> regex.Pattern:
+    """A pattern of the file with its meaning of \\s, alone or inside a class."""
+    out, inside, at = [], False, 0
+    while at < len(file_pattern):
+        two = file_pattern[at : at + 2]
+        if two[0] == "\\" and len(two) == 2:
+            out.append((_SPACE[1:-1] if inside else _SPACE) if two == r"\s" else two)
+            at += 2
+            continue
+        inside = two[0] == "[" or inside and two[0] != "]"
+        out.append(two[0])
+        at += 1
+    return regex.compile("".join(out))
+
+
+def _lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
+
+
+def normaliser(d: dict | None) -> Callable[[str], str]:
+    """The file's normaliser: a sequence of NFC, replacement and lower case; another kind is an error."""
+    if d is None:
+        return lambda text: text
+    if d["type"] == "Sequence":
+        steps = [normaliser(x) for x in d["normalizers"]]
+
+        def run(text: str) -> str:
+            for step in steps:
+                text = step(text)
+            return text
+
+        return run
+    if d["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
+        return lambda text: text if text.isascii() else unicodedata.normalize(d["type"], text)
+    if d["type"] == "Replace" and "Regex" in d["pattern"]:
+        found, new = _pattern(d["pattern"]["Regex"]), d["content"].replace("\\", r"\\")
+        return lambda text: found.sub(new, text)
+    if d["type"] == "Lowercase":
+        return _lower
+    raise ValueError(f"normaliser {d['type']} is not known")
+
+
+def word_pattern(d: dict) -> str:
+    """The pattern whose matches are the words: an inverted split that drops the rest, then bytes as symbols."""
+    split, *rest = d["pretokenizers"]
+    if split["type"] != "Split" or not split["invert"] or split["behavior"] != "Removed" or [x["type"] for x in rest] != ["ByteLevel"] or rest[0]["add_prefix_space"] or rest[0]["use_regex"]:
+        raise ValueError("the word splitter of this file is not known")
+    return split["pattern"]["Regex"]
 
 
 def byte_symbols() -> list[str]:
@@ -48,13 +104,14 @@ class Encoder:
     merges: list[tuple[str, str]]
     added: dict[str, int]
     word_pattern: str
-    cache_words: int = 300_000
+    normalise: Callable[[str], str]
+    cache_bytes: int = CACHE
     names: dict[int, str] = field(init=False)
 
     def __post_init__(self) -> None:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self._of_byte = byte_symbols()
-        self._words = regex.compile(self.word_pattern)
+        self._words = _pattern(self.word_pattern)
         self._added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         # tokens are numbered by the rank of the merge that makes them, atoms first
         atoms = [t for t in self.vocab if len(t.removesuffix(_END)) == 1 or t == _END]
@@ -68,15 +125,16 @@ class Encoder:
             if t not in atoms:
                 self._split[rank[t]] = (rank[a], rank[b])
         self._id = [self.vocab[t] for t in rank]
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._automaton = ahocorasick.Automaton()
         for t, r in rank.items():
             short = t.replace(_END, _STOP)
             if self._stands(t, r):
                 self._automaton.add_word(short, (len(short), r))
         self._automaton.make_automaton()
-        self._ids: dict[str, bytes] = {}
-        self._shown: dict[str, str] = {}
+        self._known: dict[str, tuple[bytes, str]] = {}
+        self._before: dict[str, tuple[bytes, str]] = {}
+        self._held = 0
 
     def _stands(self, token: str, r: int) -> bool:
         """Whether merging the token's own symbols gives the token itself."""
@@ -88,10 +146,10 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' texts together is these two tokens."""
-        key = (a, b)
+        key = a << 32 | b
         found = self._compatible.get(key)
         if found is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) >= PAIRS:
                 self._compatible.clear()
             found = self._compatible[key] = self._valid(a, b, len(self._id))
         return found
@@ -135,23 +193,40 @@ class Encoder:
         return out[::-1]
 
     def _slow(self, symbols: str) -> list[int]:
-        """Merging by rank, for words with symbols that the vocabulary lacks; those are dropped."""
+        """Merging by rank with a heap, for words with symbols that the vocabulary lacks; those are dropped."""
         parts = [self._rank[s] for s in [*symbols[:-1], symbols[-1] + _END] if s in self._rank]
-        while len(parts) > 1:
-            best = min(((self._pairs[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self._pairs), default=None)
-            if best is None:
-                break
-            parts[best[1] : best[1] + 2] = [best[0]]
-        return parts
-
-    def _learn(self, word: str) -> None:
-        if len(self._ids) >= self.cache_words:
-            self._ids.clear()
-            self._shown.clear()
-        symbols = word if word.isascii() and word.isprintable() else "".join([self._of_byte[b] for b in word.encode()])
+        n = len(parts)
+        after, before, alive = [*range(1, n), -1][:n], [*range(-1, n - 1)], [True] * n
+        heap = [(self._pairs[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self._pairs]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], alive[j], after[i] = r, False, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (parts[x], parts[y]) in self._pairs:
+                    heappush(heap, (self._pairs[parts[x], parts[y]], x, parts[x], parts[y]))
+        return [p for p, ok in zip(parts, alive, strict=True) if ok]
+
+    def _learnt(self, word: str) -> tuple[bytes, str]:
+        if found := self._before.get(word):
+            return self._kept(word, found)
+        symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self._of_byte[b] for b in word.encode()])
         ids = [self._id[r] for r in self.word_ranks(symbols)]
-        self._ids[word] = struct.pack(f"<{len(ids)}I", *ids)
-        self._shown[word] = " ".join([self.names[i] for i in ids])
+        out = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+        return self._kept(word, out)
+
+    def _kept(self, word: str, out: tuple[bytes, str]) -> tuple[bytes, str]:
+        """Two generations of half the bound each: what is asked for again outlives the clearing."""
+        self._held += 2 * len(word) + len(out[0]) + len(out[1]) + 350  # and what the entry itself takes
+        if 2 * self._held > self.cache_bytes:
+            self._before, self._known, self._held = self._known, {}, 0
+        self._known[word] = out
+        return out
 
     def _pieces(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         at = 0
@@ -161,40 +236,21 @@ class Encoder:
         yield self.words(text[at:] if at else text), None
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = _SPACES.sub(" ", text).replace("Σ", "σ").lower()
-        else:
-            text = text.lower()
-        return self._words.findall(text)
+        return self._words.findall(self.normalise(text))
 
     def encode_packed(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids, shown = [], []
         for words, after in self._pieces(text):
-            if len(words) > self.cache_words // 2:  # keep the cache bounded within one text too
-                for lo in range(0, len(words), self.cache_words // 2):
-                    self._append(words[lo : lo + self.cache_words // 2], ids, shown)
-            else:
-                self._append(words, ids, shown)
+            new = self._learnt
+            found = [self._known.get(w) or new(w) for w in words]
+            ids.extend([f[0] for f in found])
+            shown.extend([f[1] for f in found])
             if after is not None:
                 ids.append(struct.pack("<I", after))
                 shown.append(self.names[after])
         return b"".join(ids), " ".join(filter(None, shown))
 
-    def _append(self, words: list[str], ids: list[bytes], shown: list[str]) -> None:
-        known = self._ids
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > self.cache_words:
-                known.clear()
-                self._shown.clear()
-                new = set(words)
-            for w in new:
-                self._learn(w)
-        ids.extend(map(known.__getitem__, words))
-        shown.extend(map(self._shown.__getitem__, words))
-
     def encode(self, text: str) -> list[int]:
         packed = self.encode_packed(text)[0]
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
@@ -213,8 +269,7 @@ def vocabulary_path() -> str:
 def encoder(content: str) -> Encoder:
     d = json.loads(content)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in d["model"]["merges"]]
-    pattern = next(p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-    return Encoder(d["model"]["vocab"], merges, {t["content"]: t["id"] for t in d["added_tokens"]}, pattern)
+    return Encoder(d["model"]["vocab"], merges, {t["content"]: t["id"] for t in d["added_tokens"]}, word_pattern(d["pre_tokenizer"]), normaliser(d["normalizer"]))
 
 
 _MADE: dict[str, Encoder] = {}
@@ -235,7 +290,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hashlib.sha256(sent.value.encode()).hexdigest()
         e = _MADE.get(key) or _MADE.setdefault(key, encoder(sent.value))
-        for b in batches:
+        for b in slices(batches):
             n, h, d, ids = [], [], [], []
             for t in texts(b.column("text")):
                 packed, shown = e.encode_packed(t)
@@ -252,5 +307,6 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
 
 
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of every document; null texts are empty, repeated and null doc_ids are rows of their own."""
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").cast("string"))
     return encoded(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

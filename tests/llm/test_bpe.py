@@ -38,7 +38,7 @@ def test_odd_strings(encoder, library):
 
 def test_long_words_and_a_small_cache(encoder, library):
     rng = random.Random(2)
-    small = bpe.Encoder(encoder.vocab, encoder.merges, encoder.added, encoder.word_pattern, cache_words=10)
+    small = bpe.Encoder(encoder.vocab, encoder.merges, encoder.added, encoder.word_pattern, encoder.normalise, cache_bytes=3_000)
     for n in (1, 5, 30, 3000):
         text = " ".join("".join(rng.choice("abcdeinorst") for _ in range(n)) for _ in range(40))
         ids = library.encode(text, add_special_tokens=False).ids
@@ -63,3 +63,21 @@ def test_odd_rows(spark, library):
     got = bpe.encoded(docs, keep_ids=True).collect()
     assert sorted(map(str, (r.ids for r in got))) == sorted(str(library.encode(d.text or "", add_special_tokens=False).ids) for d in docs.collect())
     assert bpe.encoded(docs.limit(0)).count() == 0
+
+
+def test_words_with_symbols_that_no_token_covers(encoder):
+    lacking = bpe.Encoder({t: i for t, i in encoder.vocab.items() if t not in ("q", "q</w>")}, [m for m in encoder.merges if not any("q" in x for x in m)], {}, encoder.word_pattern, encoder.normalise)
+    word = "theqinternationalq" * 2_000
+    assert lacking.word_ranks("theqinternationalx") == lacking._slow("theqinternationalx") == lacking._slow("theinternationalx")
+    assert len(lacking.word_ranks(word)) >= 4_000
+    rng = random.Random(3)
+    for _ in range(300):
+        w = "".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 40)))
+        assert encoder._slow(w) == encoder.word_ranks(w)
+
+
+def test_the_file_says_how_to_normalise():
+    assert bpe.normaliser({"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": "-"})("a \t\x1cb\xa0c") == "a-\x1cb-c"
+    assert bpe.normaliser(None)("Ab") == "Ab"
+    with pytest.raises(ValueError, match="not known"):
+        bpe.normaliser({"type": "BertNormalizer"})
