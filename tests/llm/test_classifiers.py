@@ -15,8 +15,7 @@ def auc(y, s):
     return (rank[y == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * (len(y) - n1))
 
 
-def held_out(spark, query, column):
-    sf = "/root/testdata/sf0.01"
+def held_out(spark, query, column, sf="/root/testdata/sf0.01"):
     rows = {r.doc_id: r for r in query(spark, sf).collect()}
     labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     return rows, labels
@@ -30,10 +29,36 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    rows, labels = held_out(spark, toxicity.op3_toxicity_counterfactual, "toxic")
+    rows, labels = held_out(spark, toxicity.op3_toxicity_counterfactual, "toxic", "/root/testdata/sf0.1")
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for d, r in rows.items())
     clean = [r.predicted for d, r in rows.items() if r.held_out and labels.get(d) == 0]
     assert sum(clean) <= 0.03 * len(clean)
+    toxic = [r.predicted for d, r in rows.items() if r.held_out and labels.get(d) == 1]
+    assert len(toxic) >= 100 and sum(toxic) >= 0.85 * len(toxic), (sum(toxic), len(toxic), sum(clean), len(clean))
+    test = [(labels[d], r.score) for d, r in rows.items() if r.held_out and labels.get(d) is not None]
+    assert auc(*map(np.array, zip(*test, strict=True))) > 0.93
+
+
+def test_scores_through_the_query(spark):
+    """Every score of the query by the plain definition, and neutral mentions: no group is flagged, none differs much."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.op3_toxicity_counterfactual(spark, sf).collect()}
+    for d in docs.collect():
+        z = model.bias + sum(v for t, v in model.weights.items() if t in toxicity.terms(toxicity.words_of(d.text)))
+        assert abs(got[d.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+    for group in toxicity.IDENTITY_TERMS:
+        said = [model.score(f"The {t} live here.") for t in group]
+        assert max(said) < toxicity.THRESHOLD and max(said) - min(said) < 0.05
+
+
+def test_counterfactuals_swap_every_mention():
+    got = toxicity.counterfactuals("Women and women work. No one else. Gay men sing.")
+    assert ("Women and women work", "men and men work") in got and (" Gay men sing", " Gay women sing") in got and (" Gay men sing", " lesbian men sing") in got
+    assert len(got) == 5 + 6 + 5
+    assert toxicity.difference(" Gay men sing", " Gay women sing") == "+women -men"
+    assert toxicity.difference("men and women", "women and women") == "-men"  # the other is there already
 
 
 def test_counterfactual_penalty_evens_identity_terms(spark):
