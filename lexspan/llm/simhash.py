@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, small_or_not, staged
+from .common import byte_texts, documents, slices, staged
 from .components import components
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(x, shingle) for x in byte_texts(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
@@ -308,7 +308,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
     least = estimated(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = byte_texts(b.column("text"))
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in data], np.uint64).view(np.int64)
             values = np.array([minima(x, shingle) for x in data], np.uint64).reshape(-1, BANDS * ROWS)
@@ -325,7 +325,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
         return spanning(col["group"], linked)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(_hashes(w, shingle, 1).view(np.int64)) if (w := x.lower().split()) else np.zeros(0, np.int64) for x in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 

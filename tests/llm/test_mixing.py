@@ -45,7 +45,7 @@ def test_query_meets_its_targets_and_reruns_agree(spark):
 def test_excess_is_reshared(spark):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(1, "a"), (1, "b"), (500, "c"), (3, "c"), (2, None), (40, "d")])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.taken(mixing.mix(docs, block=7, buckets=4)).collect()
+    got = mixing.taken(mixing.mix(docs, block=7, bucket_rows=2)).collect()
     check(got)
     assert len(got) == 6
 
@@ -65,3 +65,37 @@ def test_odd_rows_and_empty_table(spark):
     check(got)
     assert mixing.taken(mixing.mix(docs.limit(0))).count() == 0
     assert mixing.taken(mixing.mix(docs.where("text IS NULL"))).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_what_is_taken_comes_from_the_schedule(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: whole(*a, **k).where("false"))
+    assert mixing.taken(mixing.mix(docs)).agg(F.sum("taken")).first()[0] == 0
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: whole(*a, **k).where("rank % 2 = 0"))
+    half = mixing.mix(docs, block=64)
+    assert {r.odd for r in half.where("take > 0").selectExpr("slot IS NULL AS odd").distinct().collect()} == {False}
+    assert 0.3 < half.agg(F.sum("take")).first()[0] / docs.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] < 0.7
+
+
+def test_repeated_rows_and_null_ids_spread(spark):
+    rows = [(None, f"text {i} of many words", "a") for i in range(300)] + [(5, "one text", "a")] * 500 + [(i, "w " * 40, "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.taken(mixing.mix(docs, block=16, bucket_rows=100)).collect()
+    assert len(got) == 1000
+    check(got)
+    assert mixing.mix(docs).select("h").distinct().count() == 300 + 1 + 200
+    groups = spark.createDataFrame([(1, 10_000), (2, 3)], "h long, n long")
+    assert sorted((r.h, r.i) for r in mixing.each(groups, chunk=64).collect()) == [(1, i) for i in range(10_000)] + [(2, i) for i in range(3)]
+
+
+def test_whole_times_are_what_is_taken(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = mixing.mix(docs).cache()
+    want = {r.doc_id: (r.taken, r["size"], r.first_slot) for r in mixing.taken(pieces).collect()}
+    got = {r.doc_id: r.slots for r in mixing.whole_times(pieces).collect()}
+    for d, (taken, size, first) in want.items():
+        slots = got.get(d, [])
+        assert abs(len(slots) - taken / max(size, 1)) <= 0.5, d
+        assert not slots or min(slots) >= first
+    pieces.unpersist()
