@@ -64,7 +64,7 @@ class ToxicityModel:
             if of is None:
                 if len(known) >= WORDS:
                     known.clear()
-                of = known[word] = tuple(t for t in terms({word}) if t in w)
+                of = known[word] = tuple([t for t in terms_of(word) if t in w])
             if of:
                 found.update(of)
         return self.bias + sum(w[t] for t in sorted(found))
@@ -80,11 +80,11 @@ def words_of(text: str) -> set[str]:
 def terms(words: set[str]) -> set[str]:
     """The words, and the beginnings (x-) of three to eight letters of longer words. An identity term counts only
     whole, so that all it adds to a score is under the penalty."""
-    out = set(words)
-    others = words - _GROUP_OF.keys()
-    for n in range(3, 9):
-        out.update([f"{w[:n]}-" for w in others if len(w) > n])
-    return out
+    return {t for w in words for t in terms_of(w)}
+
+
+def terms_of(word: str) -> list[str]:
+    return [word] if word in _GROUP_OF else [word, *[word[:n] + "-" for n in range(3, min(9, len(word)))]]
 
 
 def counterfactuals(text: str) -> list[tuple[str, str]]:
