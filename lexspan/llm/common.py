@@ -46,9 +46,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint if the counted rows are within the bound, else df for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+#: Characters of a table that may be broadcast at most, where rows have no bounded size.
+BROADCAST_CHARS = 64 << 20
+
+
+def small_or_not(df: DataFrame, rows: int, chars: int = 0) -> DataFrame:
+    """A broadcast hint if the counted rows and characters are within the bounds, else df for a shuffled join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
