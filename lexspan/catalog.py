@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import noise as N
 from .functions import text as T
-from .functions.patterns import CALIBRATED, PRIOR
+from .functions.vocabulary import CALIBRATED, PRIOR
 from .operators import decisions as D
 from .operators import evaluation as V
 from .operators import extraction as E
 from .operators import intervals as I
 from .operators import kb as K
 from .operators import models as M
+from .operators import pipeline as P
+from .operators import proposals as S
 from .operators.sentences import sentences
-from .plans.fixture import AFTER, BEFORE, HEAD, Fixture, ctes
+from .plans.fixture import AFTER, BEFORE, BY_NUMBER, HEAD, NUMBERED, Fixture, ctes, quoted
 from .plans.staging import staged
 from .streaming.watch import classified_stream
 
@@ -84,16 +86,16 @@ def _pairs(f: Fixture) -> tuple[DataFrame, DataFrame]:
 # ---- Sources and sinks
 
 
-@_query("a01_whole_files", "SELECT documento_id, length(texto) AS n, md5(texto) AS h FROM docs WHERE CAST(documento_id AS BIGINT) % 5 = 0")
+@_query("a01_whole_files", "SELECT documento_id, length(texto) AS n, md5(texto) AS h FROM docs")
 def _(f: Fixture) -> DataFrame:
-    """Documents written one row per partition folder as text, read back whole with their names."""
+    """All documents written as text files by name, read back whole."""
     from uuid import uuid4
 
     from .plans.staging import shared_dir
     from .sources.files import read_documents, write_documents
 
     path = f"{shared_dir(f.spark)}/txt-{uuid4().hex}"
-    write_documents(f.docs.where("CAST(documento_id AS BIGINT) % 5 = 0"), path)
+    write_documents(f.docs, path)
     return read_documents(f.spark, path, drop_last_end=True).select("documento_id", F.length("texto").cast("long").alias("n"), F.md5(F.encode("texto", "UTF-8")).alias("h"))
 
 
@@ -140,19 +142,20 @@ def _(f: Fixture) -> DataFrame:
     return f.gold.where("forma IN (0, 1, 2, 16, 17)").select("documento_id", "k", F.array_join(T.class_codes(F.col("trecho")), ",").alias("c"))
 
 
-@_query("b10_court", "SELECT documento_id, k, CASE WHEN trecho LIKE '%Superior%' THEN 'STJ' WHEN trecho LIKE '%STF%' THEN 'STF' WHEN trecho LIKE '%STJ%' THEN 'STJ' END AS t FROM gold WHERE forma IN (9, 10, 13)")
+@_query("b10_court", "SELECT documento_id, k, CASE WHEN trecho LIKE '%Superior%' THEN 'STJ' WHEN trecho LIKE '%STF%' OR trecho LIKE '%5TF%' THEN 'STF' WHEN trecho LIKE '%STJ%' THEN 'STJ' END AS t FROM gold WHERE forma IN (9, 10, 13, 22, 23, 31)")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.where("forma IN (9, 10, 13)").select("documento_id", "k", T.court(F.col("trecho")).alias("t"))
+    return f.gold.where("forma IN (9, 10, 13, 22, 23, 31)").select("documento_id", "k", T.court(F.col("trecho")).alias("t"))
 
 
-@_query("b11_law_code", "SELECT documento_id, k, CASE WHEN trecho LIKE '%CPC%' THEN 'L13105/2015' WHEN trecho LIKE '%CLT%' THEN 'DL5452/1943' WHEN trecho LIKE '%CC%' THEN 'L10406/2002' ELSE 'CF' END AS lei FROM gold WHERE forma IN (11, 12)")
+@_query("b11_law_code", "SELECT documento_id, k, CASE WHEN trecho LIKE '%CPC%' THEN 'L13105/2015' WHEN trecho LIKE '%CLT%' THEN 'DL5452/1943' WHEN trecho LIKE '%CC%' THEN 'L10406/2002' WHEN trecho LIKE '%8.078%' THEN 'L8078/1990' ELSE 'CF' END AS lei FROM gold WHERE forma IN (11, 12, 30)")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.where("forma IN (11, 12)").select("documento_id", "k", T.law_code(F.col("trecho")).alias("lei"))
+    law = F.regexp_extract("trecho", " d[ao] ([^0-9]*(?:8.*|[A-Z].*))$", 1)
+    return f.gold.where("forma IN (11, 12, 30)").select("documento_id", "k", T.law_code(law).alias("lei"))
 
 
 @_query("b14_similarity", "SELECT a.id, CASE WHEN a.classe = b.classe THEN 3.0 ELSE 0.0 END::DOUBLE AS s FROM registry a JOIN registry b ON b.id = a.id + 1")
 def _(f: Fixture) -> DataFrame:
-    from .functions.patterns import ACCESSORY
+    from .functions.vocabulary import ACCESSORY
 
     b = f.registry.select((F.col("id") - 1).alias("id"), F.array("classe").alias("b"))
     return f.registry.join(b, "id").select("id", T.similarity(F.array("classe"), F.col("b"), ACCESSORY).alias("s"))
@@ -200,7 +203,7 @@ def _(f: Fixture) -> DataFrame:
     return f.docs.select("documento_id", F.explode(E.own_keys(F.col("texto"), E.header_end(F.col("texto")))).alias("chave"))
 
 
-@_query("c03_sentences", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a, fim + {len(AFTER)} AS b FROM offsets UNION ALL SELECT documento_id, 0, {len(HEAD) - 1} FROM docs")
+@_query("c03_sentences", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a, fim + {len(AFTER)} AS b FROM offsets UNION ALL SELECT documento_id, 0, {len(HEAD.rstrip())} FROM docs")
 def _(f: Fixture) -> DataFrame:
     return sentences(f.docs)
 
@@ -212,18 +215,28 @@ def _(f: Fixture) -> DataFrame:
 
 # ---- Extraction, decisions
 
+_NUMBERED, _OF_KB = (", ".join(map(str, x)) for x in (NUMBERED, BY_NUMBER))
+_HYPHENATED, _CASES = "trecho LIKE 'TST-%'", "trecho LIKE 'processo%'"
+#: The statement families share a kind: what tells them apart is the beginning of the phrase.
+_SHAPES = {"d04_statements": r"^(Súmula( Vinculante)?( nº)? [0-9]|SV)", "d05_statements_of_list": "^(?i)(enunciado|verbete)", "d06_statements_court_first": "^Súmula (do )?(?!Vinc)[A-Z]"}
+
 for _name, _kind, _forms in (
-    ("d01_numbered", "numerada", "0, 1, 2, 3, 4, 5, 6, 16, 17, 18, 19"),
-    ("d04_statements", "sumula", "9, 10"),
-    ("d07_themes", "tema", "13"),
-    ("d08_law_articles", "lei", "11, 12"),
-    ("d09_incomplete", "incompleta", "7, 8"),
+    ("d01_numbered", "numerada", f"forma IN ({_NUMBERED}) AND NOT ({_HYPHENATED}) AND NOT ({_CASES})"),
+    ("d02_hyphenated", "hifenizada", _HYPHENATED),
+    ("d03_case_numbers", "processo_cnj", _CASES),
+    ("d04_statements", "sumula", "forma IN (9, 10, 26)"),
+    ("d05_statements_of_list", "sumula", "forma = 22"),
+    ("d06_statements_court_first", "sumula", "forma = 23"),
+    ("d07_themes", "tema", "forma IN (13, 29)"),
+    ("d08_law_articles", "lei", "forma IN (11, 12, 30)"),
+    ("d09_incomplete", "incompleta", "forma IN (7, 8, 31)"),
 ):
 
-    @_query(_name, f"SELECT documento_id, inicio, fim, trecho FROM gold WHERE forma IN ({_forms})")
-    def _(f: Fixture, kind: str = _kind) -> DataFrame:
+    @_query(_name, f"SELECT documento_id, inicio, fim, trecho FROM gold WHERE {_forms}")
+    def _(f: Fixture, kind: str = _kind, name: str = _name) -> DataFrame:
         s = _spans(f).where(F.col("kind") == kind)
-        return s.join(f.docs, "documento_id").select("documento_id", "inicio", "fim", T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")).alias("trecho"))
+        s = s.join(f.docs, "documento_id").select("documento_id", "inicio", "fim", T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")).alias("trecho"))
+        return s.where(F.col("trecho").rlike(_SHAPES[name])) if name in _SHAPES else s
 
 
 @_query("d12_vague", "SELECT documento_id, inicio, fim, trecho, tipo FROM gold WHERE forma = 14")
@@ -231,34 +244,43 @@ def _(f: Fixture) -> DataFrame:
     return E.vague(f.docs, _spans(f)).select("documento_id", "inicio", "fim", "trecho", "tipo")
 
 
-@_query("e01_own_number_filter", "SELECT count(*) AS n FROM gold WHERE forma = 15")
+@_query(
+    "e01_own_number_filter",
+    f"SELECT documento_id, inicio, fim FROM (SELECT CAST(doc AS VARCHAR) AS documento_id, inicio, fim FROM offsets WHERE forma = 15 AND ord % 3 = 1 UNION ALL SELECT documento_id, {HEAD.index('Autos')}, {HEAD.index('0100') + 4} FROM docs) x",
+)
 def _(f: Fixture) -> DataFrame:
-    return _spans(f).where("chave = '1234567-89.2020.8.26.0100' OR (kind = 'numerada' AND chave = '12345')").agg(F.count("*").alias("n"))
+    """The spans that the document's own number takes out: the header's, and where a sentence repeats it."""
+    return E.own_number_spans(f.docs).select("documento_id", F.col("inicio").cast("int").alias("inicio"), F.col("fim").cast("int").alias("fim"))
 
 
-@_query("f01_key_join", "SELECT documento_id, k, count(s.id) AS donos FROM gold g LEFT JOIN offsets o ON o.doc = CAST(g.documento_id AS BIGINT) AND o.k = g.k LEFT JOIN registry s ON s.numero = o.numero WHERE g.forma < 3 GROUP BY documento_id, k".replace("SELECT documento_id, k", "SELECT g.documento_id, g.k").replace("GROUP BY documento_id, k", "GROUP BY g.documento_id, g.k"))
+@_query("f01_key_join", f"SELECT g.documento_id, g.k, count(s.id) AS donos FROM gold g LEFT JOIN offsets o ON o.doc = CAST(g.documento_id AS BIGINT) AND o.k = g.k LEFT JOIN registry s ON s.numero = CASE WHEN g.forma IN (5, 6) THEN 'x' ELSE o.numero END WHERE g.forma IN ({_NUMBERED}) GROUP BY g.documento_id, g.k")
 def _(f: Fixture) -> DataFrame:
-    keys = D.knowledge_base(f.registry, f.statements, f.articles).keys
-    g = f.gold.where("forma < 3").select("documento_id", "k", T.number_key(F.expr("substring(trecho, instr(trecho, ' ') + 1)")).alias("chave"))
-    return g.join(keys, "chave", "left").groupBy("documento_id", "k").agg(F.count("id").alias("donos"))
+    number = F.regexp_extract(F.replace("trecho", F.lit("\n"), F.lit("")), "([0-9][0-9S.\u00a0\u2011-]+)(?:/SP)?$", 1)
+    g = f.gold.where(f"forma IN ({_NUMBERED})").select("documento_id", "k", T.number_key(number).alias("chave"))
+    return D.owners(g, _kb(f)).select("documento_id", "k", "donos")
 
 
-@_query("m02_numbered_decisions", "SELECT documento_id, inicio, classe, regra, id_canonico FROM gold WHERE forma IN (0, 1, 2, 3, 4, 5, 6, 16, 17, 18, 19)")
+@_query("m02_numbered_decisions", "SELECT documento_id, inicio, classe, regra, id_canonico FROM gold WHERE forma IN (" + _NUMBERED + ")")
 def _(f: Fixture) -> DataFrame:
     return D.decide_numbered(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
 
 
-@_query("m03_statement_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (9, 10)")
+@_query("m03_statement_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (9, 10, 22, 23, 26)")
 def _(f: Fixture) -> DataFrame:
     return D.decide_statements(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
 
 
-@_query("m04_law_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (11, 12)")
+@_query("m04_law_decisions", "SELECT documento_id, inicio, classe, regra, CAST(id_canonico AS BIGINT) AS id_canonico FROM gold WHERE forma IN (11, 12, 30)")
 def _(f: Fixture) -> DataFrame:
     return D.decide_laws(_spans(f), _kb(f)).select("documento_id", "inicio", "classe", "regra", "id_canonico")
 
 
-@_query("m08_rule_confidence", "SELECT regra, conf FROM (VALUES " + ", ".join(f"('{r}', {({**PRIOR, **CALIBRATED})[r]}::DOUBLE)" for r in PRIOR) + ") v(regra, conf)")
+_CONF = """VALUES ('real_unico', 1.0), ('real_desempate', 1.0), ('real_duplicata', 0.6), ('inventada_ausente', 1.0), ('inventada_tribunal', 0.8), ('lei_real', 1.0), ('lei_inventada', 1.0),
+  ('sumula_real', 1.0), ('sumula_inventada', 1.0), ('sumula_outro_tribunal', 1.0), ('sumula_sem_tribunal', 0.6), ('sumula_ambigua', 0.6), ('tema', 1.0), ('incompleta', 1.0), ('incompleta_parcial', 0.8),
+  ('vaga', 1.0), ('s1_vaga', 1.0), ('s2_vaga', 1.0), ('s2_real', 0.9), ('s2_inventada', 0.8), ('s2_incompleta', 0.8)"""
+
+
+@_query("m08_rule_confidence", f"SELECT r AS regra, c::DOUBLE AS conf FROM ({_CONF}) v(r, c)")
 def _(f: Fixture) -> DataFrame:
     return f.spark.createDataFrame([(r,) for r in PRIOR], "regra string").select("regra", D.confidence(F.col("regra")).cast("double").alias("conf"))
 
@@ -268,12 +290,12 @@ _PROCESS = "SELECT documento_id, inicio, fim, tipo, classe, regra, CAST(id_canon
 
 @_query("m10_process_v", _PROCESS)
 def _(f: Fixture) -> DataFrame:
-    return D.process(f.docs, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+    return P.process(f.docs, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
 
 
 @_query("m10_process_r", _PROCESS + " WHERE forma <> 14")
 def _(f: Fixture) -> DataFrame:
-    return D.process(f.docs, _kb(f)).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+    return P.process(f.docs, _kb(f)).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
 
 
 @_query("k01_watch_stream", _PROCESS + " WHERE forma <> 14")
@@ -284,10 +306,11 @@ def _(f: Fixture) -> DataFrame:
 # ---- Joins and sets
 
 
-@_query("f07_overlap_anti_join", "SELECT documento_id, k FROM gold g WHERE k % 4 = 0 AND NOT EXISTS (SELECT 1 FROM gold t WHERE t.documento_id = g.documento_id AND t.k % 4 = 1 AND g.inicio < t.fim + 60 AND t.inicio - 60 < g.fim)")
+@_query("f07_overlap_anti_join", "SELECT g.documento_id, g.k FROM gold g LEFT JOIN gold t ON t.documento_id = g.documento_id AND t.k <> g.k AND t.classe = 'inventada' AND g.inicio < t.fim + 60 AND t.inicio - 60 < g.fim WHERE g.classe <> 'inventada' AND t.k IS NULL")
 def _(f: Fixture) -> DataFrame:
-    wide = f.gold.where("k % 4 = 1").select("documento_id", (F.col("inicio") - 60).alias("inicio"), (F.col("fim") + 60).alias("fim"))
-    return I.without_overlap(f.gold.where("k % 4 = 0"), wide).select("documento_id", "k")
+    """Spans of other classes that no fabricated one comes within 60 characters of."""
+    wide = f.gold.where("classe = 'inventada'").select("documento_id", (F.col("inicio") - 60).alias("inicio"), (F.col("fim") + 60).alias("fim"))
+    return I.without_overlap(f.gold.where("classe <> 'inventada'"), wide).select("documento_id", "k")
 
 
 @_query("f08_containment_count", "SELECT g.documento_id, g.k, count(t.k) AS n FROM gold g LEFT JOIN gold t ON t.documento_id = g.documento_id AND t.inicio >= g.inicio - 100 AND t.fim <= g.fim + 100 GROUP BY g.documento_id, g.k")
@@ -310,25 +333,28 @@ def _(f: Fixture) -> DataFrame:
     return I.spurious(found, I.iou_pairs(f.gold.select("documento_id", "k", "inicio", "fim"), found)).select("documento_id", "inicio", "fim")
 
 
-@_query("f13_missing_ids", "SELECT documento_id FROM docs WHERE documento_id NOT IN (SELECT documento_id FROM gold WHERE k = 30)")
+@_query("f13_missing_ids", "SELECT documento_id FROM docs WHERE documento_id NOT IN (SELECT documento_id FROM gold WHERE k = 30) UNION ALL SELECT documento_id||'x' FROM gold WHERE k = 30")
 def _(f: Fixture) -> DataFrame:
-    return f.docs.select("documento_id").join(f.gold.where("k = 30").select("documento_id").distinct(), "documento_id", "left_anti")
+    """Documents without a 31st span, and names that no document has."""
+    other = f.gold.where("k = 30").select(F.concat("documento_id", F.lit("x")).alias("documento_id"))
+    missing, unknown = V.missing_ids(f.docs, f.gold.where("k = 30").select("documento_id").unionByName(other))
+    return missing.unionByName(unknown)
 
 
-@_query("f16_cache_lookup", "SELECT count(*) FILTER (WHERE k % 3 = 0) AS achadas, count(*) FILTER (WHERE k % 3 <> 0) AS faltam FROM (SELECT trecho, min(k) AS k FROM gold GROUP BY trecho) x")
+@_query("f16_cache_lookup", "SELECT count(*) FILTER (WHERE k % 3 = 0) AS achadas, count(*) FILTER (WHERE k % 3 <> 0) AS perdidas FROM (SELECT trecho, min(k) AS k FROM gold GROUP BY trecho) x")
 def _(f: Fixture) -> DataFrame:
-    asked = f.gold.groupBy("trecho").agg(F.min("k").alias("k")).select(T.cache_key(F.col("trecho")).alias("chave"), "k")
-    cache = asked.where("k % 3 = 0").select("chave", F.lit(True).alias("v"))
-    return asked.select("chave").join(cache, "chave", "left").agg(F.count_if("v").alias("achadas"), F.count_if(F.col("v").isNull()).alias("faltam"))
+    asked = f.gold.groupBy(F.col("trecho").alias("frase")).agg(F.min("k").alias("k"))
+    cache = asked.where("k % 3 = 0").select(T.cache_key(F.lit("1"), F.lit("m"), F.col("frase")).alias("k"), F.array("frase").alias("v"))
+    return M.misses(asked.select("frase"), cache, "1", "m")
 
 
-@_query("f22_unknown_keys", "SELECT id FROM registry WHERE '9'||numero NOT IN (SELECT numero FROM registry)")
+@_query("f22_unknown_keys", "SELECT r.id FROM registry r LEFT JOIN (SELECT DISTINCT numero FROM registry) k ON k.numero = CASE WHEN r.id % 3 = 0 THEN r.numero ELSE '9'||r.numero END WHERE k.numero IS NULL")
 def _(f: Fixture) -> DataFrame:
-    made = f.registry.select("id", T.number_key(F.concat(F.lit("9"), F.col("numero"))).alias("chave"))
-    return made.join(_kb(f).keys.select("chave"), "chave", "left_anti").select("id")
+    made = F.when(F.col("id") % 3 == 0, F.col("numero")).otherwise(F.concat(F.lit("9"), F.col("numero")))
+    return D.unknown_keys(f.registry.select("id", T.number_key(made).alias("chave")), _kb(f).keys).select("id")
 
 
-@_query("f23_rewrite", "SELECT documento_id, n, h FROM (SELECT documento_id, length(t) AS n, md5(t) AS h FROM (SELECT d.documento_id, '" + HEAD.replace("\n", "'||chr(10)||'") + f"'||string_agg('{BEFORE}'||CASE WHEN o.forma = 15 THEN o.trecho ELSE '[C'||o.k||']' END||'{AFTER}', ' ' ORDER BY o.ord, o.ln) AS t FROM docs d JOIN offsets o ON CAST(o.doc AS VARCHAR) = d.documento_id GROUP BY d.documento_id) x) y")
+@_query("f23_rewrite", "SELECT documento_id, n, h FROM (SELECT documento_id, length(t) AS n, md5(t) AS h FROM (SELECT d.documento_id, '" + quoted(HEAD)[1:-1] + f"'||string_agg('{BEFORE}'||CASE WHEN o.forma = 15 THEN o.trecho ELSE '[C'||o.k||']' END||'{AFTER}', ' ' ORDER BY o.ord, o.ln) AS t FROM docs d JOIN offsets o ON CAST(o.doc AS VARCHAR) = d.documento_id GROUP BY d.documento_id) x) y")
 def _(f: Fixture) -> DataFrame:
     out = I.rewritten(f.docs, f.gold.withColumn("novo_", F.concat(F.lit("[C"), F.col("k").cast("string"), F.lit("]"))), "novo_")
     return out.select("documento_id", F.length("texto").cast("long").alias("n"), F.md5(F.encode("texto", "UTF-8")).alias("h"))
@@ -336,14 +362,13 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("j04_set_difference", "SELECT trecho FROM gold WHERE k % 2 = 0 EXCEPT SELECT trecho FROM gold WHERE k % 2 = 1")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.where("k % 2 = 0").select("trecho").subtract(f.gold.where("k % 2 = 1").select("trecho"))
+    return V.only_in_first(f.gold.where("k % 2 = 0").select("trecho"), f.gold.where("k % 2 = 1").select("trecho"))
 
 
-@_query("j07_map_overlay", "SELECT regra, coalesce(c, p) AS conf FROM (VALUES " + ", ".join(f"('{r}', {p}::DOUBLE, {CALIBRATED[r] if r in CALIBRATED else 'NULL'}::DOUBLE)" for r, p in PRIOR.items()) + ") v(regra, p, c)")
+@_query("j07_map_overlay", f"SELECT r AS regra, c::DOUBLE AS conf FROM ({_CONF}) v(r, c)")
 def _(f: Fixture) -> DataFrame:
-    prior = f.spark.createDataFrame(list(PRIOR.items()), "regra string, p double")
-    over = f.spark.createDataFrame(list(CALIBRATED.items()), "regra string, c double")
-    return prior.join(over, "regra", "left").select("regra", F.coalesce("c", "p").alias("conf"))
+    prior, over = (f.spark.createDataFrame(list(t.items()), "regra string, conf double") for t in (PRIOR, CALIBRATED))
+    return D.confidence_of_table(prior, prior, over)
 
 
 # ---- Aggregates
@@ -369,7 +394,7 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("g09_calibration_error", "SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(p - y)) / sum(n), 9) AS ece FROM (SELECT count(*) AS n, avg(p) AS p, avg(y) AS y FROM (SELECT (l_partkey * 37 % 101) / 100.0::DOUBLE AS p, (CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS y FROM lineitem) z GROUP BY least(CAST(floor(p * 15) AS BIGINT), 14)) x")
 def _(f: Fixture) -> DataFrame:
-    li = f.spark.table("lineitem").select((F.col("l_partkey") * 37 % 101 / 100.0).alias("p"), F.when(F.col("l_orderkey") % 3 == 0, 1.0).otherwise(0.0).alias("y"))
+    li = f.lineitem.select((F.col("l_partkey") * 37 % 101 / 100.0).alias("p"), F.when(F.col("l_orderkey") % 3 == 0, 1.0).otherwise(0.0).alias("y"))
     return V.calibration_error(li)
 
 
@@ -404,10 +429,16 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("g22_first_offset", "SELECT documento_id, min(inicio) AS inicio FROM gold GROUP BY documento_id")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.groupBy("documento_id").agg(F.min("inicio").alias("inicio"))
+    return I.first_start(f.gold)
 
 
-@_query("o01_errors", _NOISY + "SELECT 'CLASSE' AS tipo_erro, documento_id, inicio, fim FROM pairs WHERE acerto = 0 UNION ALL SELECT 'FN', g.documento_id, g.inicio, g.fim FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.documento_id = g.documento_id AND p.k = g.k) UNION ALL SELECT 'FP', documento_id, inicio, fim FROM (" + _SPURIOUS + ") s")
+@_query(
+    "o01_errors",
+    _NOISY + """, sp AS (SELECT n.documento_id, n.inicio, n.fim FROM noisy n LEFT JOIN pairs p ON p.documento_id = n.documento_id AND p.i_ = n.inicio AND p.f_ = n.fim
+  LEFT JOIN pairs q ON q.documento_id = n.documento_id AND n.inicio >= q.inicio AND n.fim <= q.fim WHERE p.k IS NULL AND q.k IS NULL)
+SELECT 'CLASSE' AS tipo_erro, documento_id, inicio, fim FROM pairs WHERE acerto = 0
+UNION ALL SELECT 'FN', g.documento_id, g.inicio, g.fim FROM gold g LEFT JOIN pairs p ON p.documento_id = g.documento_id AND p.k = g.k WHERE p.k IS NULL UNION ALL SELECT 'FP', documento_id, inicio, fim FROM sp""",
+)
 def _(f: Fixture) -> DataFrame:
     found, pairs = _pairs(f)
     return V.errors(pairs, f.gold, I.spurious(found, pairs))
@@ -416,14 +447,37 @@ def _(f: Fixture) -> DataFrame:
 # ---- Order
 
 
-@_query("h01_overlap_choice", None)
+@_query(
+    "h01_overlap_choice",
+    """, s AS (SELECT documento_id, CAST(k % 3 AS INTEGER) AS prioridade, inicio, fim + k % 4 * 40 AS fim FROM gold), w AS (SELECT *, row_number() OVER (PARTITION BY documento_id ORDER BY prioridade DESC, fim - inicio DESC, inicio) AS r FROM s)
+SELECT documento_id, prioridade, inicio, fim, 0 AS ordem FROM (WITH RECURSIVE kept AS (SELECT documento_id, r, prioridade, inicio, fim, [{'i': inicio, 'f': fim}] AS l, TRUE AS ok FROM w WHERE r = 1
+UNION ALL SELECT w.documento_id, w.r, w.prioridade, w.inicio, w.fim, CASE WHEN len(list_filter(kept.l, lambda x: x.i < w.fim AND w.inicio < x.f)) = 0 THEN list_append(kept.l, {'i': w.inicio, 'f': w.fim}) ELSE kept.l END,
+  len(list_filter(kept.l, lambda x: x.i < w.fim AND w.inicio < x.f)) = 0 FROM kept JOIN w ON w.documento_id = kept.documento_id AND w.r = kept.r + 1) SELECT * FROM kept) z WHERE ok""",
+)
 def _(f: Fixture) -> DataFrame:
-    """Overlapping candidates of two lengths and priorities; tests compare with a plain greedy choice."""
+    """Overlapping candidates of two lengths and priorities, chosen greedily."""
     long = f.gold.select("documento_id", (F.col("k") % 3).cast("int").alias("prioridade"), "inicio", (F.col("fim") + F.col("k") % 4 * 40).alias("fim"), F.lit(0).alias("ordem"))
     per = long.groupBy("documento_id").agg(F.collect_list(F.struct("prioridade", "inicio", "fim", "ordem")).alias("s"))
     return per.select("documento_id", F.explode(E.resolved(F.col("s"))).alias("s")).select("documento_id", "s.*")
 
 
+@_query(
+    "h15_assignment",
+    """, g AS (SELECT documento_id, k, k * 10 AS inicio, k * 10 + 14 AS fim FROM gold), n AS (SELECT documento_id, k * 10 + k % 5 AS inicio, k * 10 + k % 5 + 12 AS fim FROM gold WHERE k % 4 <> 1),
+p AS (SELECT g.documento_id, g.k, n.inicio AS i_, (least(g.fim, n.fim) - greatest(g.inicio, n.inicio))::DOUBLE / (greatest(g.fim, n.fim) - least(g.inicio, n.inicio)) AS iou FROM g JOIN n ON n.documento_id = g.documento_id AND g.inicio < n.fim AND n.inicio < g.fim),
+w AS (SELECT *, row_number() OVER (PARTITION BY documento_id ORDER BY iou DESC, k, i_) AS r FROM p WHERE iou >= 0.3)
+SELECT documento_id, k, i_ FROM (WITH RECURSIVE kept AS (SELECT documento_id, r, k, i_, [k] AS ks, [i_] AS js, TRUE AS ok FROM w WHERE r = 1
+UNION ALL SELECT w.documento_id, w.r, w.k, w.i_, CASE WHEN list_contains(kept.ks, w.k) OR list_contains(kept.js, w.i_) THEN kept.ks ELSE list_append(kept.ks, w.k) END,
+  CASE WHEN list_contains(kept.ks, w.k) OR list_contains(kept.js, w.i_) THEN kept.js ELSE list_append(kept.js, w.i_) END, NOT (list_contains(kept.ks, w.k) OR list_contains(kept.js, w.i_))
+  FROM kept JOIN w ON w.documento_id = kept.documento_id AND w.r = kept.r + 1) SELECT * FROM kept) z WHERE ok""",
+)
+def _(f: Fixture) -> DataFrame:
+    """One-to-one pairs where spans overlap their neighbours too, so that a best partner may be taken already."""
+    g = f.gold.select("documento_id", "k", (F.col("k") * 10).alias("inicio"), (F.col("k") * 10 + 14).alias("fim"))
+    n = f.gold.where("k % 4 <> 1").select("documento_id", (F.col("k") * 10 + F.col("k") % 5).alias("inicio"), (F.col("k") * 10 + F.col("k") % 5 + 12).alias("fim"))
+    return I.iou_pairs(g, n, 0.3).select("documento_id", "k", "i_")
+
+
 @_query("h02_sweep", """, s AS (SELECT documento_id, inicio, fim + k % 4 * 40 AS fim, row_number() OVER (PARTITION BY documento_id ORDER BY inicio, fim + k % 4 * 40 DESC) AS r FROM gold),
 w AS (SELECT * FROM s) SELECT documento_id, inicio, fim FROM (WITH RECURSIVE kept AS (SELECT documento_id, r, inicio, fim, fim AS e, TRUE AS ok FROM w WHERE r = 1
 UNION ALL SELECT w.documento_id, w.r, w.inicio, w.fim, CASE WHEN w.inicio >= kept.e THEN w.fim ELSE kept.e END, w.inicio >= kept.e FROM kept JOIN w ON w.documento_id = kept.documento_id AND w.r = kept.r + 1) SELECT * FROM kept) z WHERE ok""")
@@ -433,8 +487,7 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("h11_first_seen", "SELECT trecho, documento_id, k FROM (SELECT *, row_number() OVER (PARTITION BY trecho ORDER BY documento_id, k) AS r FROM gold) x WHERE r = 1")
 def _(f: Fixture) -> DataFrame:
-    first = F.min(F.struct("documento_id", "k")).alias("s")
-    return f.gold.groupBy("trecho").agg(first).select("trecho", "s.documento_id", "s.k")
+    return I.first_seen(f.gold, "trecho", ["documento_id", "k"])
 
 
 @_query("h12_renumber", "SELECT documento_id, inicio, 'g'||(row_number() OVER (PARTITION BY documento_id ORDER BY inicio) - 1) AS citacao_id FROM gold")
@@ -445,8 +498,7 @@ def _(f: Fixture) -> DataFrame:
 @_query("h14_stratified_sample", "SELECT documento_id, k, classe FROM (SELECT *, row_number() OVER (PARTITION BY classe ORDER BY (CAST(documento_id AS BIGINT) * 1103515 + k * 12345) % 2147483648, documento_id, k) AS r FROM gold) x WHERE r <= 40")
 def _(f: Fixture) -> DataFrame:
     draw = (F.col("documento_id").cast("long") * 1103515 + F.col("k") * 12345) % 2147483648
-    w = Window.partitionBy("classe").orderBy(draw, "documento_id", "k")
-    return f.gold.withColumn("r", F.row_number().over(w)).where("r <= 40").select("documento_id", "k", "classe")
+    return V.stratified(f.gold, ["classe"], 40, draw, ["documento_id", "k"]).select("documento_id", "k", "classe")
 
 
 @_query("i02_top_two", "SELECT tribunal, id, posto FROM (SELECT tribunal, id, row_number() OVER (PARTITION BY tribunal ORDER BY ano DESC, id) AS posto FROM registry) x WHERE posto <= 2")
@@ -456,8 +508,7 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("i05_longest_key", "SELECT tribunal, max(length(numero)) AS n, min(numero) FILTER (WHERE length(numero) = m) AS chave FROM (SELECT *, max(length(numero)) OVER (PARTITION BY tribunal) AS m FROM registry) x GROUP BY tribunal")
 def _(f: Fixture) -> DataFrame:
-    best = F.min(F.struct((-F.length("numero")).alias("n"), F.col("numero").alias("chave"))).alias("s")
-    return f.registry.groupBy("tribunal").agg(best).select("tribunal", (-F.col("s.n")).cast("long").alias("n"), "s.chave")
+    return D.longest_key(_kb(f), "tribunal")
 
 
 # ---- Synthetic corpus
@@ -470,11 +521,9 @@ def _(f: Fixture) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.count_if(T.span_text(F.col("texto"), F.col("inicio"), F.col("fim")) != F.col("trecho")).alias("errados"))
 
 
-@_query("n05_cnj_format", "SELECT id, regexp_replace(numero, '[.-]', ' ', 'g') AS espacos FROM registry WHERE numero LIKE '%.%'")
+@_query("n05_cnj_format", "SELECT id, numero AS escrito FROM registry WHERE numero LIKE '%.%'")
 def _(f: Fixture) -> DataFrame:
-    d = T.digits(F.col("numero"))
-    spaced = F.regexp_replace(d, r"^([0-9]+)([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$", "$1 $2 $3 $4 $5 $6")
-    return f.registry.where("numero LIKE '%.%'").select("id", spaced.alias("espacos"))
+    return f.registry.where("numero LIKE '%.%'").select("id", N.unified(T.digits(F.col("numero"))).alias("escrito"))
 
 
 # ---- Knowledge base from texts
@@ -484,7 +533,7 @@ _KB_TEXTS = """SELECT id, tribunal, CASE WHEN tribunal = 'TST' THEN 'TRIBUNAL SU
 
 
 def _kb_texts(f: Fixture) -> DataFrame:
-    return f.spark.sql(_KB_TEXTS)
+    return f.sql(_KB_TEXTS)
 
 
 @_query("d17_kb_header_keys", "SELECT id, numero AS chave FROM registry WHERE length(numero) > 1")
@@ -492,9 +541,9 @@ def _(f: Fixture) -> DataFrame:
     return K.rulings(_kb_texts(f)).select("id", F.explode("chaves").alias("chave"))
 
 
-@_query("c07_kb_header_classes", "SELECT id, CASE WHEN tribunal <> 'TST' THEN classe END AS c FROM registry WHERE tribunal <> 'TST'")
+@_query("c07_kb_header_classes", "SELECT id, CASE WHEN tribunal <> 'TST' THEN classe ELSE '' END AS c FROM registry")
 def _(f: Fixture) -> DataFrame:
-    return K.rulings(_kb_texts(f)).where("tribunal <> 'TST'").select("id", F.array_join("classes", ",").alias("c"))
+    return K.rulings(_kb_texts(f)).select("id", F.array_join("classes", ",").alias("c"))
 
 
 @_query("f18_manual_keys", "SELECT id, CASE WHEN id % 100 = 7 THEN 'm'||id ELSE numero END AS chave FROM registry")
@@ -511,19 +560,24 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("d20_article_texts", "SELECT lei, CAST(artigo AS BIGINT) AS artigo, CAST(id AS BIGINT) AS id FROM articles")
 def _(f: Fixture) -> DataFrame:
-    from .functions.patterns import LAWS
+    from .functions.grammar import listed
+    from .functions.vocabulary import LAWS
 
-    names = F.create_map(*(F.lit(x) for code, forms in LAWS.items() for x in (code, "Constituição Federal" if code == "CF" else forms[0])))
+    names = F.create_map(*(F.lit(x) for code, forms in LAWS.items() for x in (code, "Constituição Federal" if code == "CF" else listed(forms)[0])))
     text = F.concat(F.lit("Artigo "), F.col("artigo").cast("string"), F.lit("º da "), F.element_at(names, F.col("lei")), F.lit("\nTexto."))
     return K.articles(f.articles.select("id", text.alias("texto")))
 
 
-@_query("d21_mentioned_keys", "SELECT DISTINCT chave FROM (SELECT o.numero AS chave FROM offsets o WHERE o.forma IN (0, 1, 2, 16, 17, 18, 19) UNION ALL SELECT '1234567-89.2020.8.26.0100') x")
+@_query(
+    "d21_mentioned_keys",
+    f"""SELECT DISTINCT chave FROM (SELECT CASE WHEN forma IN (5, 6) THEN '9'||numero ELSE numero END AS chave FROM offsets WHERE forma IN ({_NUMBERED}) UNION ALL SELECT '1234567-89.2020.8.26.0100'
+  UNION ALL SELECT CAST(r.ano AS VARCHAR) FROM offsets o JOIN registry r ON r.id = o.id WHERE o.forma IN (7, 8) UNION ALL SELECT '9373' FROM offsets WHERE forma = 12 AND ord % 3 = 0 UNION ALL SELECT '12345' FROM offsets WHERE forma = 15 AND ord % 3 = 0
+  UNION ALL SELECT '8078' FROM offsets WHERE forma = 30 AND ord % 3 > 0 UNION ALL SELECT '1990' FROM offsets WHERE forma = 30 AND ord % 3 = 1
+  UNION ALL SELECT CASE ord % 3 WHEN 0 THEN '2020' ELSE '2019' END FROM offsets WHERE forma = 31 AND ord % 3 < 2) x WHERE length(chave) >= 4""",
+)
 def _(f: Fixture) -> DataFrame:
-    keys = K.mentioned(f.docs)
-    known = f.registry.select(F.col("numero").alias("chave")).unionByName(f.spark.createDataFrame([("1234567-89.2020.8.26.0100",)], "chave string")).distinct()
-    wanted = f.offsets.where("forma IN (0, 1, 2, 16, 17, 18, 19)").select(F.col("numero").alias("chave")).union(f.spark.createDataFrame([("1234567-89.2020.8.26.0100",)], "chave string")).distinct()
-    return keys.join(known, "chave", "left_semi").join(wanted, "chave", "left_semi")
+    """Every key of every text, whether the registry has it or not."""
+    return K.mentioned(f.docs)
 
 
 @_query("e17_short_keys", "SELECT id, chave FROM (SELECT id, CAST(id % 20000 AS VARCHAR) AS chave FROM registry) x WHERE length(chave) <= 4")
@@ -546,7 +600,7 @@ def _(f: Fixture) -> DataFrame:
     return M.labelled(sentences(f.docs), f.gold.where("forma <> 14"), f.gold.where("forma = 14")).select("documento_id", "a", "rotulo")
 
 
-@_query("e09_escalation", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a FROM offsets WHERE forma = 15 AND ord % 3 < 2 OR forma = 14 AND ord % 3 <> 1")
+@_query("e09_escalation", f"SELECT CAST(doc AS VARCHAR) AS documento_id, inicio - {len(BEFORE)} AS a FROM offsets WHERE forma = 15 AND ord % 3 = 1 OR forma = 14")
 def _(f: Fixture) -> DataFrame:
     return M.escalated(f.docs, sentences(f.docs), f.gold.where("forma <> 14")).select("documento_id", "a")
 
@@ -575,7 +629,7 @@ def _(f: Fixture) -> DataFrame:
 def _(f: Fixture) -> DataFrame:
     asked = f.gold.select(F.concat("documento_id", F.lit(":"), F.col("k").cast("string"), F.lit(" "), "trecho").alias("frase"), "k")
     cache = asked.where("k % 2 = 0").select(T.cache_key(F.lit("1"), F.lit("m"), F.col("frase")).alias("k"), F.array("frase").alias("v"))
-    return M.remembered(asked.select("frase"), cache, "1", "m").agg(F.count("propostas").alias("achadas"), F.count_if(F.col("propostas").isNull()).alias("perdidas"))
+    return M.misses(asked.select("frase"), cache, "1", "m")
 
 
 # ---- More evaluation, validation and comparison
@@ -599,29 +653,30 @@ def _(f: Fixture) -> DataFrame:
 
 @_query("g15_counts_by_set", "SELECT substr(regra, 1, 3) AS familia, classe, count(*) AS n FROM gold GROUP BY 1, 2")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.groupBy(F.substring("regra", 1, 3).alias("familia"), "classe").agg(F.count("*").alias("n"))
+    return V.counts_by_set(f.gold, "regra", "classe")
 
 
 @_query("g19_repeated_ids", "SELECT trecho, count(*) AS n FROM gold GROUP BY trecho HAVING count(*) > 1")
 def _(f: Fixture) -> DataFrame:
-    return f.gold.groupBy("trecho").agg(F.count("*").alias("n")).where("n > 1")
+    return V.repeated(f.gold, "trecho")
 
 
 @_query("k03_novelty", "SELECT id FROM registry WHERE id % 5 = 0 OR id % 7 = 0")
 def _(f: Fixture) -> DataFrame:
     """Entries that the baseline lacks, or has with another date."""
-    base = f.registry.where("id % 5 <> 0").select(F.col("id").alias("i_"), F.when(F.col("id") % 7 == 0, F.col("ano") - 1).otherwise(F.col("ano")).alias("a_"))
-    return f.registry.join(base, (F.col("id") == F.col("i_")) & (F.col("ano") == F.col("a_")), "left_anti").select("id")
+    base = f.registry.where("id % 5 <> 0").select("id", F.when(F.col("id") % 7 == 0, F.col("ano") - 1).otherwise(F.col("ano")).alias("ano"))
+    return V.novelty(f.registry.select("id", "ano"), base, "id", "ano").select("id")
 
 
-@_query("a10_documents_as_json", "SELECT documento_id, CAST(count(*) AS BIGINT) AS n, CAST(count(id_canonico) AS BIGINT) AS com_id, CAST(sum(inicio) AS BIGINT) AS s FROM gold GROUP BY documento_id")
+@_query("a10_documents_as_json", "SELECT documento_id, CAST(count(*) AS BIGINT) AS n, CAST(count(id_canonico) AS BIGINT) AS com_id, CAST(sum(inicio) AS BIGINT) AS s, md5(string_agg(trecho, '|' ORDER BY inicio)) AS h FROM gold GROUP BY documento_id")
 def _(f: Fixture) -> DataFrame:
     from .sources.files import documents_as_json
 
-    found = f.gold.withColumn("confianca", F.lit(1.0))
-    kind = "documento_id string, citacoes array<struct<inicio:bigint,fim:bigint,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"
+    found = f.gold.select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico", F.lit(1.0).alias("confianca"))
+    kind = "documento_id string, citacoes array<struct<inicio:bigint,fim:bigint,trecho:string,tipo:string,classificacao:string,resolucao:struct<id_canonico:string>,confianca:double>>"
     back = documents_as_json(f.docs, found).select(F.from_json("json", kind).alias("j")).select("j.*").where(F.size("citacoes") > 0)
-    return back.select("documento_id", F.size("citacoes").cast("long").alias("n"), F.size(F.filter("citacoes", lambda c: c["resolucao"].isNotNull())).cast("long").alias("com_id"), F.aggregate("citacoes", F.lit(0).cast("long"), lambda a, c: a + c["inicio"]).alias("s"))
+    text = F.md5(F.encode(F.array_join(F.transform("citacoes", lambda c: c["trecho"]), "|"), "UTF-8"))
+    return back.select("documento_id", F.size("citacoes").cast("long").alias("n"), F.size(F.filter("citacoes", lambda c: c["resolucao"].isNotNull())).cast("long").alias("com_id"), F.aggregate("citacoes", F.lit(0).cast("long"), lambda a, c: a + c["inicio"]).alias("s"), text.alias("h"))
 
 
 # ---- Noise that keys must survive
@@ -642,3 +697,6 @@ def _(f: Fixture) -> DataFrame:
 def _(f: Fixture) -> DataFrame:
     written = N.thousands(F.col("numero"))
     return f.registry.where("length(numero) = 6 AND numero NOT LIKE '%.%'").select("id", written.alias("escrito"), T.number_key(written).alias("chave"))
+
+
+from . import catalog_extra  # noqa: E402, F401

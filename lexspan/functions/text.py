@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import CLASSES, COURT_OF_DIGIT, COURTS, HYPHENS, LAWS, OCR_DIGITS, OCR_LETTERS, class_forms, either, plain, tolerant
+from .families import CLASS, COURT, LAW_KIND, LAW_NAME, LAW_NUMBER, MARKED, short_forms
+from .grammar import ANY, HYPHENS, LETTER, SPACE, TAKEN, cased, kept, key_of_name, key_of_short, listed, plain, word
+from .vocabulary import CLASS_NAMES, COURT_OF_DIGIT, COURTS, LAWS, OCR_DIGITS, OCR_LETTERS
 
 _ACCENTED = "ÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜàáâãäçèéêëìíîïñòóôõöùúûü"
 _L = "[" + "".join("\\" + c if c in "|!" else c for c in OCR_LETTERS) + "]"
@@ -45,17 +49,43 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, _ACCENTED, plain(_ACCENTED))
 
 
+def lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def folded(text: Column) -> Column:
+    """key_of_name() of a found text."""
+    low = F.replace(F.lower(strip_accents(text)), F.lit("rn"), F.lit("m"))
+    return F.regexp_replace(F.translate(low, *TAKEN), SPACE, "")
+
+
+def _class_keys() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters of short forms in their case -> code; folded names and short forms -> code. The first of a key stays."""
+    exact: dict[str, str] = {}
+    loose: dict[str, str] = {}
+    for code, names in CLASS_NAMES.items():
+        for form in short_forms(code):
+            exact.setdefault(key_of_short(form), code)
+        for name in listed(names):
+            loose.setdefault(key_of_name(name), code)
+    for code in CLASS_NAMES:
+        for form in map(key_of_short, short_forms(code)):
+            if len(form) > 2:
+                exact.setdefault(form.upper(), code)
+            loose.setdefault(key_of_name(form), code)
+    return exact, loose
+
+
+_EXACT, _LOOSE = _class_keys()
+
+
 def class_codes(chain: Column) -> Column:
     """Codes of a chain of classes in order: leftmost scan, longest form first."""
-    any_form = "(?iu)(" + either([class_forms(c) for c in CLASSES]) + ")"
-    found = F.regexp_extract_all(F.coalesce(chain, F.lit("")), F.lit(any_form), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(chain, F.lit("")), F.lit(f"(?iu)({CLASS})"), F.lit(1))
 
     def code(atom: Column) -> Column:
-        out = None
-        for c in CLASSES:
-            is_c = atom.rlike(f"(?iu)^{class_forms(c)}$")
-            out = F.when(is_c, F.lit(c)) if out is None else out.when(is_c, F.lit(c))
-        return out
+        letters = F.regexp_replace(atom, "[^0-9A-Za-z|]", "")
+        return F.coalesce(lookup(_EXACT, letters), lookup(_LOOSE, folded(letters)), lookup(_LOOSE, folded(atom)))
 
     return F.filter(F.transform(found, code), lambda c: c.isNotNull())
 
@@ -77,12 +107,9 @@ def similarity(a: Column, b: Column, accessory: tuple[str, ...]) -> Column:
 
 
 def court(text: Column) -> Column:
-    """The first court that the text names."""
-    out = None
-    for c, names in COURTS.items():
-        is_c = text.rlike("(?iu)" + either([rf"(?-i:{c.replace('S', '[S5]')}\b)"] + [tolerant(x) for x in names]))
-        out = F.when(is_c, F.lit(c)) if out is None else out.when(is_c, F.lit(c))
-    return out
+    """The court that the text names first."""
+    keys = {key_of_name(n): c for c, names in COURTS.items() for n in (c, *listed(names))}
+    return lookup(keys, folded(F.regexp_extract(text, f"(?iu)({COURT})", 1)))
 
 
 def court_of_digit(digit: Column) -> Column:
@@ -94,25 +121,32 @@ def court_of_digit(digit: Column) -> Column:
 
 def law_code(text: Column) -> Column:
     """Canonical code of a law: by number and year, else by the longest name that the text has."""
-    shape = rf"(?iu)({tolerant('lei complementar')}|LC)?({tolerant('decreto-lei')}|DL)?(?:{tolerant('lei')})?\s*(?:n[º°o.]*\s*)?([0-9]{{1,2}}\.?[0-9]{{0,3}})(?:\s*/\s*([0-9]{{4}}|[0-9]{{2}}))?"
-    numbered = text.rlike(rf"(?iu)(?:{tolerant('lei')}|LC|DL)\s*(?:n[º°o.]*\s*)?[0-9]")
-    number = F.regexp_replace(F.regexp_extract(text, shape, 3), "[^0-9]", "")
-    year = F.regexp_extract(text, shape, 4)
-    year = F.when(F.length(year) == 2, F.concat(F.when(F.try_to_number(year, F.lit("99")) > 30, F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
-    kind = F.when(F.regexp_extract(text, shape, 1) != "", F.lit("LC")).when(F.regexp_extract(text, shape, 2) != "", F.lit("DL")).otherwise(F.lit("L"))
-    written = F.concat(kind, number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise(F.lit("")))
-    known = None
-    for code in LAWS:
-        if "/" in code:
-            n = "".join(c for c in code.split("/")[0] if c.isdigit())
-            fits = (number == n) & ((year == "") | (year == code.split("/")[1])) & ((kind == "LC") == F.lit(code.startswith("LC")))
-            known = F.when(fits, F.lit(code)) if known is None else known.when(fits, F.lit(code))
-    names = sorted(((f, code) for code, forms in LAWS.items() for f in forms), key=lambda x: -len(x[0].lstrip("=")))
-    named = None
-    for f, code in names:
-        has = text.rlike(rf"(?<![A-Za-z])(?-i:{f[1:]})(?![A-Za-z])" if f[0] == "=" else rf"(?iu)(?<![A-Za-z]){tolerant(f)}(?![A-Za-z])")
-        named = F.when(has, F.lit(code)) if named is None else named.when(has, F.lit(code))
-    return F.when(numbered, F.coalesce(known, written)).otherwise(named)
+    # the names' pattern takes the longest at a place; of several places the longest is the law's
+    names = {key_of_name(n): code for code, line in LAWS.items() for n in listed(line) if n.upper() != n}
+    acronyms = {n: code for code, line in LAWS.items() for n in listed(line) if n.upper() == n}
+    said = F.regexp_extract_all(text, F.lit(f"(?iu)(?<![{LETTER}])({LAW_NAME})"), F.lit(1))
+    longest = F.array_sort(F.transform(said, lambda n, i: F.struct((-F.length(n)).alias("a"), i.alias("b"), n.alias("n"))))
+    best = F.try_element_at(longest, F.lit(1))["n"]
+    named = F.coalesce(lookup(acronyms, best), lookup(names, folded(best)))
+
+    shape = f"(?iu)(?<![{LETTER}])" + kept(LAW_KIND) + ANY + MARKED + r"(\d{1,2}(?:\.?\d{3})?)"
+    written = F.regexp_extract(text, f"(?iu)(?<![{LETTER}]){LAW_NUMBER}", 0)
+    head = F.regexp_extract(written, shape, 1)
+    kind = F.when(head.rlike(f"(?iu)^(?:{word('lei complementar')}|{cased('LC')})"), "LC").when(head.rlike(f"(?iu)^(?:{word('decreto-lei')}|{cased('DL')})"), "DL").otherwise("L")
+    number = F.replace(F.regexp_extract(written, shape, 2), F.lit("."), F.lit(""))
+    tail = F.regexp_extract(F.regexp_replace(written, shape, "\u0001"), "\u0001(?s:(.*))$", 1)
+    year = full_year(F.regexp_extract(tail, r"(\d{4}|\d{2})$", 1))
+    by_number = {("LC" if c.startswith("LC") else "") + re.sub("^[A-Z]+", "", c).split("/")[0]: c for c in LAWS if "/" in c}
+    known = lookup(by_number, F.concat(F.when(kind == "LC", "LC").otherwise(""), number))
+    fits = known.isNotNull() & ((year == "") | known.endswith(F.concat(F.lit("/"), year)))
+    plain_code = F.concat(kind, number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise(""))
+    return F.when(written != "", F.when(fits, known).otherwise(plain_code)).otherwise(named)
+
+
+def full_year(year: Column) -> Column:
+    """Two digits over 30 are of the last century; others stay as they are."""
+    century = F.when(year > "30", F.lit("19")).otherwise(F.lit("20"))
+    return F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
 
 
 def cache_key(*parts: Column) -> Column:

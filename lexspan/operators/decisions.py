@@ -7,10 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ACCESSORY, CALIBRATED, COURT_OF_CLASS, PRIOR
-from ..functions.text import class_codes, court, court_of_digit, digits, justice, law_code, number_key, principal, similarity
-from ..plans.staging import staged
-from .extraction import extracted, vague
+from ..functions.text import class_codes, court, court_of_digit, digits, full_year, justice, law_code, number_key, principal, similarity
+from ..functions.vocabulary import ACCESSORY, CALIBRATED, COURT_OF_CLASS, PRIOR
 
 
 @dataclass(frozen=True)
@@ -38,6 +36,36 @@ def confidence(rule: Column, calibrated: bool = True) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), rule)
 
 
+def confidence_of_table(rules: DataFrame, prior: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """regra, conf: the calibrated value where there is one, else the prior (prior and calibrated: regra, conf)."""
+    p, c = prior.select("regra", F.col("conf").alias("p_")), calibrated.select("regra", F.col("conf").alias("c_"))
+    return rules.select("regra").join(p, "regra", "left").join(c, "regra", "left").select("regra", F.coalesce("c_", "p_").alias("conf"))
+
+
+def owners(keys: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """keys (with chave) and donos: how many rulings of the knowledge base have the key."""
+    n = kb.keys.groupBy(F.col("chave").alias("k_")).agg(F.countDistinct("id").alias("donos"))
+    return keys.join(n, F.col("chave") == F.col("k_"), "left").drop("k_").withColumn("donos", F.coalesce("donos", F.lit(0)))
+
+
+def unknown_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose chave is not among the known ones: what a fabricated citation may use."""
+    return keys.join(known.select("chave").distinct(), "chave", "left_anti")
+
+
+def longest_key(kb: KnowledgeBase, by: str = "id") -> DataFrame:
+    """The longest key of each ruling (or court), of equal ones the first in order."""
+    best = F.min(F.struct((-F.length("chave")).alias("n"), "chave")).alias("s")
+    return kb.keys.groupBy(by).agg(best).select(by, (-F.col("s.n")).cast("long").alias("n"), "s.chave")
+
+
+def names_of(ids: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """ids (id) of statements and articles -> what they are called: tribunal and numero, or lei and artigo."""
+    s = kb.statements.select("id", "tribunal", "numero", "vinculante")
+    a = kb.articles.select("id", "lei", "artigo")
+    return ids.join(s, "id", "left").join(a, "id", "left").where("tribunal IS NOT NULL OR lei IS NOT NULL")
+
+
 def _court_of(spans: DataFrame) -> DataFrame:
     codes = F.concat(class_codes(F.col("cadeia")), class_codes(F.col("sufixo")))
     by_class = F.create_map(*(F.lit(x) for pair in COURT_OF_CLASS.items() for x in pair))
@@ -89,7 +117,7 @@ def decide_laws(spans: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """Articles: by law and number; an article with a letter, or of another year's code, is fabricated."""
     s = spans.where("kind = 'lei'").withColumn("codigo", law_code(F.col("lei"))).where("codigo IS NOT NULL")
     s = s.withColumn("artigo", F.coalesce(F.try_to_number(digits(F.col("num")), F.lit("999999")).cast("bigint"), F.lit(0)))
-    year = F.when(F.length("leiano") == 2, F.concat(F.when(F.col("leiano") > "30", F.lit("19")).otherwise(F.lit("20")), F.col("leiano"))).otherwise(F.col("leiano"))
+    year = full_year(F.col("leiano"))
     other = F.col("codigo").contains("/") & year.isNotNull() & ~F.coalesce(F.col("codigo").endswith(year), F.lit(False))
     k = kb.articles.select(F.col("lei").alias("l_"), F.col("artigo").alias("a_"), F.col("id").alias("i_"))
     j = s.withColumn("fora", F.col("suf").isNotNull() | other).join(k, (F.col("codigo") == F.col("l_")) & (F.col("artigo") == F.col("a_")), "left")
@@ -117,24 +145,17 @@ def decide(spans: DataFrame, kb: KnowledgeBase) -> DataFrame:
     return out.withColumn("confianca", F.round(confidence(F.col("regra")), 4))
 
 
-def process(docs: DataFrame, kb: KnowledgeBase, with_vague: bool = False) -> DataFrame:
-    """All layers: spans, vague phrases on request, decisions, and a last sweep by start, then end.
-
-    documento_id, inicio, fim, kind, tipo, classe, regra, id_canonico, confianca.
-    """
-    spans = staged(extracted(docs), "spans")
-    out = decide(spans, kb)
-    if with_vague:
-        v = vague(docs, spans).select("documento_id", "inicio", "fim", F.lit("vaga").alias("kind"), "tipo", F.lit("incompleta").alias("classe"), F.lit("vaga").alias("regra"), F.lit(None).cast("bigint").alias("id_canonico"))
-        out = out.unionByName(v.withColumn("confianca", F.round(confidence(F.col("regra")), 4)))
-    return out
-
-
 def unique_owner_keys(kb: KnowledgeBase) -> DataFrame:
     """Keys with one owner."""
     return kb.keys.groupBy("chave").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("chave", "id")
 
 
+def wholly_unique(kb: KnowledgeBase) -> DataFrame:
+    """id of the rulings all of whose keys have one owner."""
+    owners = kb.keys.groupBy("chave").agg(F.countDistinct("id").alias("n"))
+    return kb.keys.join(owners, "chave").groupBy("id").agg(F.max("n").alias("n")).where("n = 1").select("id")
+
+
 def shared_keys(kb: KnowledgeBase) -> DataFrame:
     """Keys with several owners whose chains all differ."""
     per = kb.keys.groupBy("chave").agg(F.countDistinct("id").alias("n"), F.countDistinct("classes").alias("chains"))

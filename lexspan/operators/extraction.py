@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import LETTER, MONTHS, NUMBER, PATTERNS, SLOT_PATTERN, STATES, VAGUE_PATTERN, tolerant
+from ..functions.families import FAMILIES, MARKED, SLOT_PATTERN, VAGUE_PATTERN
+from ..functions.grammar import ANY, BLANK, LETTER, NUMBER, cased, maybe, word, words
 from ..functions.text import justice, number_key
+from ..functions.vocabulary import LAW_STEMS, MONTHS, STATES
 
 MARK, FIELD = "\u0001", "\u0003"
 GROUPS = ("cadeia", "trib", "num", "sufixo", "uf", "sv", "vinc", "outro", "suf", "lei", "leiano", "ano", "nome")
@@ -70,13 +72,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     All families are found in one pass over each row. An empty group is null. A null text has no rows.
     """
-    families = [_family(order, *p) for order, p in enumerate(PATTERNS)]
+    families = [_family(order, *p) for order, p in enumerate(FAMILIES)]
     out = docs.select("documento_id", "texto").withColumn("fim_cab", header_end(F.col("texto"))).withColumn("proprias", own_keys(F.col("texto"), F.col("fim_cab")))
     out = out.withColumn("c", F.explode(F.concat(*families))).select("documento_id", "texto", "fim_cab", "proprias", "c.*")
     return out.where("kind <> 'incompleta' OR ano IS NOT NULL OR trib IS NOT NULL")
 
 
-def _trimmed(c: DataFrame) -> DataFrame:
+def trimmed(c: DataFrame) -> DataFrame:
     """Ends lose spaces and punctuation, but not the dot of an initial, Min. or Rel.; starts lose spaces and commas."""
     text = F.substring(F.col("texto"), F.col("inicio").cast("int") + 1, (F.col("fim") - F.col("inicio")).cast("int"))
     keeps = F.regexp_extract(text, r"^((?s:.*?(?:\b[A-Z]|[Mm]in|[Rr]el)\.))[ \t\n,;.\-– ]*$", 1)
@@ -89,7 +91,8 @@ def _trimmed(c: DataFrame) -> DataFrame:
 def _extended(c: DataFrame) -> DataFrame:
     """A labour-court number takes in the "processo nº TST-Ag-" before it."""
     before = F.substring(F.col("texto"), (F.greatest(F.col("inicio") - 80, F.lit(0)) + 1).cast("int"), F.least(F.col("inicio"), F.lit(80)).cast("int"))
-    prefix = rf"(?iu)(?:{tolerant('processo')}\s*(?:n\.?\s*[º°o]\.?\s*)?)?(?-i:(?:T[S5]T\s*-\s*)?(?:[A-Z][A-Za-z]{{0,7}}\s*-\s*)*)$"
+    hyphen = f"{ANY}-{ANY}"
+    prefix = "(?iu)" + maybe(word("processo"), ANY, MARKED) + cased(maybe("T[S5]T", hyphen), "(?:[A-Z][A-Za-z]{0,7}", hyphen, ")*") + "$"
     grows = F.col("kind").isin("numerada", "hifenizada") & F.coalesce(justice(F.col("chave")) == "5", F.lit(False))
     return c.withColumn("inicio", F.when(grows, F.col("inicio") - F.length(F.regexp_extract(before, prefix, 0))).otherwise(F.col("inicio")))
 
@@ -100,7 +103,7 @@ def is_distractor() -> Column:
     before = F.substring(F.col("texto"), F.greatest(start - 12, F.lit(0)) + 1, F.least(start, F.lit(12)))
     after = F.substring(F.col("texto"), end + 1, F.lit(24))
     chain = F.trim(F.coalesce("cadeia", F.lit("")))
-    date = rf"^{'[ \t ]'}*,?{'[ \t ]'}*de[ \t ]+(?i:{'|'.join([*MONTHS, 'marco'])})\b"
+    date = rf"(?iu)^{BLANK}*,?{BLANK}*de{BLANK}+{words(MONTHS)}(?![{LETTER}])"
     place = chain.isin(*STATES) & before.rlike(r"[/\-–]\s*$")
     address = chain.rlike(r"^Ap\.?$") & justice(F.col("chave")).isNull()
     return before.rlike(r"(?i)OAB\s*[/\-–:]?\s*$") | ((F.col("kind") == "numerada") & (place | after.rlike(date) | address))
@@ -117,19 +120,31 @@ def resolved(spans: Column) -> Column:
     return F.transform(by_start, lambda k: k["s"])
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """Candidates extended and trimmed, with propria: a number in the header, or the document's own."""
+    c = trimmed(_extended(candidates(docs).withColumn("chave", number_key(F.col("num")))))
+    own = (F.col("inicio") < F.col("fim_cab")) | F.coalesce(F.array_contains("proprias", F.col("chave")), F.lit(False))
+    return c.withColumn("propria", F.col("kind").isin(*NUMBERED) & own)
+
+
+def own_number_spans(docs: DataFrame) -> DataFrame:
+    """documento_id, inicio, fim, kind, chave of what is dropped as the document's own number."""
+    return _judged(docs).where("propria").select("documento_id", "inicio", "fim", "kind", "chave")
+
+
 def extracted(docs: DataFrame) -> DataFrame:
     """Citation spans of each document, none overlapping another: candidates extended, trimmed, without the document's
     own number and distractors, then resolved."""
-    c = candidates(docs).withColumn("chave", number_key(F.col("num")))
-    c = _trimmed(_extended(c))
-    numbered = F.col("kind").isin(*NUMBERED)
-    own = numbered & ((F.col("inicio") < F.col("fim_cab")) | F.coalesce(F.array_contains("proprias", F.col("chave")), F.lit(False)))
-    c = c.where(~own & ~is_distractor())
+    c = _judged(docs).where(~F.col("propria") & ~is_distractor())
     fields = ["prioridade", "inicio", "fim", "ordem", "kind", "chave", *GROUPS]
     grouped = c.groupBy("documento_id").agg(F.collect_list(F.struct(*fields)).alias("spans"))
     return grouped.select("documento_id", F.explode(resolved(F.col("spans"))).alias("s")).select("documento_id", "s.*")
 
 
+def about_law(text: Column) -> Column:
+    return text.rlike(rf"(?iu)(?<![{LETTER}])(?:{'|'.join(LAW_STEMS.split())})")
+
+
 def vague(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """Vague phrases after the header that overlap no span of ``taken``: documento_id, inicio, fim, trecho, tipo, fonte.
 
@@ -152,5 +167,5 @@ def vague(docs: DataFrame, taken: DataFrame) -> DataFrame:
         return F.when(clash, acc).otherwise(F.array_append(acc, s))
 
     kept = rows.select("documento_id", F.explode(F.aggregate("s", F.slice("s", 1, 0), step)).alias("s")).select("documento_id", "s.*")
-    law = F.col("trecho").rlike(r"(?iu)\b(?:dispositiv|lei|legisla|norma|artigo|preceito|diploma|c[óo]digo)")
+    law = about_law(F.col("trecho"))
     return kept.select("documento_id", "inicio", "fim", "trecho", F.when(law, "lei").otherwise("jurisprudencia").alias("tipo"), F.when(F.col("ordem") == 0, "inventario").otherwise("slot").alias("fonte"))

@@ -24,18 +24,21 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def iou_pairs(gold: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
-    """documento_id, k (gold), inicio/fim of both, iou: one-to-one pairs with that overlap or more, best first.
+    """documento_id, k (gold), inicio/fim of both, iou: one-to-one pairs with that overlap or more.
 
-    With spans that don't overlap among themselves a span has at most one partner above one half; at one half exactly
-    the earlier is taken, on either side.
+    Greedy within a document: the best overlap first, of equal ones the earlier gold span, then the earlier found one; a
+    pair is taken unless one of its spans is taken already.
     """
     f = _other(found)
     j = gold.join(f, (F.col("documento_id") == F.col("d_")) & (F.col("inicio") < F.col("f_")) & (F.col("i_") < F.col("fim")))
     common = F.least("fim", "f_") - F.greatest("inicio", "i_")
-    j = j.withColumn("iou", common / (F.greatest("fim", "f_") - F.least("inicio", "i_"))).where(F.col("iou") >= least)
-    by_gold = Window.partitionBy("documento_id", "k").orderBy(F.desc("iou"), "i_")
-    by_found = Window.partitionBy("documento_id", "i_", "f_").orderBy(F.desc("iou"), "k")
-    return j.withColumn("a", F.row_number().over(by_gold)).where("a = 1").withColumn("b", F.row_number().over(by_found)).where("b = 1").drop("a", "b", "d_")
+    j = j.withColumn("iou", common / (F.greatest("fim", "f_") - F.least("inicio", "i_"))).where(F.col("iou") >= least).drop("d_")
+    columns = [c for c in j.columns if c != "documento_id"]
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o1"), F.col("inicio").alias("o2"), F.col("k").alias("o3"), F.col("i_").alias("o4"), F.col("f_").alias("o5"), F.struct(*columns).alias("r"))))
+    clash = lambda acc, s: F.exists(acc, lambda e: (e["r"]["k"] == s["r"]["k"]) | (e["r"]["i_"] == s["r"]["i_"]) & (e["r"]["f_"] == s["r"]["f_"]))
+    per = j.groupBy("documento_id").agg(ranked.alias("all"))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, s: F.when(clash(acc, s), acc).otherwise(F.array_append(acc, s)))
+    return per.select("documento_id", F.explode(kept).alias("s")).select("documento_id", *(F.col(f"s.r.{c}").alias(c) for c in columns))
 
 
 def spurious(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -48,24 +51,33 @@ def spurious(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def sweep(spans: DataFrame) -> DataFrame:
-    """By start, then the longer first: a span that starts before the last kept one ends is dropped."""
-    keyed = F.array_sort(F.collect_list(F.struct(F.col("inicio").alias("a"), (-F.col("fim")).alias("b"))))
-    zero = F.struct(F.lit(-1).cast("bigint").alias("end"), F.array().cast("array<struct<inicio:bigint,fim:bigint>>").alias("out"))
+    """By start, then the longer first: a span that starts before the last kept one ends is dropped. All columns stay;
+    of rows with equal spans the first by the other columns' order is kept."""
+    rest = [c for c in spans.columns if c not in ("documento_id", "inicio", "fim")]
+    keyed = F.array_sort(F.collect_list(F.struct(F.col("inicio").alias("a"), (-F.col("fim")).alias("b"), F.struct(F.lit(0).alias("z_"), *rest).alias("r"))))
 
     def step(acc, s):  # noqa: ANN001, ANN202
-        keep = s["a"] >= acc["end"]
-        one = F.struct(s["a"].alias("inicio"), (-s["b"]).alias("fim"))
-        return F.struct(F.when(keep, -s["b"]).otherwise(acc["end"]).alias("end"), F.when(keep, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        end = F.coalesce(-F.try_element_at(acc, F.lit(-1))["b"], F.lit(-1).cast("bigint"))
+        return F.when(s["a"] >= end, F.array_append(acc, s)).otherwise(acc)
 
-    per = spans.groupBy("documento_id").agg(F.aggregate(keyed, zero, step, lambda acc: acc["out"]).alias("out"))
-    return per.select("documento_id", F.explode("out").alias("s")).select("documento_id", "s.inicio", "s.fim")
+    per = spans.groupBy("documento_id").agg(keyed.alias("all")).select("documento_id", F.explode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("s"))
+    return per.select("documento_id", F.col("s.a").alias("inicio"), (-F.col("s.b")).alias("fim"), *(F.col(f"s.r.{c}").alias(c) for c in rest))
 
 
-def gaps(spans: DataFrame) -> DataFrame:
-    """Open stretches between numbered spans whose numbers leave one out: documento_id, de, ate, faltam."""
+def gaps(spans: DataFrame, documents: DataFrame | None = None, total: str = "n") -> DataFrame:
+    """Open stretches between numbered spans whose numbers leave one out: documento_id, de, ate, faltam.
+
+    With documents (documento_id, fim_texto and how many spans there should be) also the stretch after the last span, if
+    the last numbers are missing.
+    """
     w = Window.partitionBy("documento_id").orderBy("k")
     s = spans.withColumn("de", F.lag("fim").over(w)).withColumn("antes", F.lag("k").over(w))
-    return s.where("k - antes > 1").select("documento_id", "de", F.col("inicio").alias("ate"), (F.col("k") - F.col("antes") - 1).alias("faltam"))
+    out = s.where("k - antes > 1").select("documento_id", "de", F.col("inicio").alias("ate"), (F.col("k") - F.col("antes") - 1).alias("faltam"))
+    if documents is None:
+        return out
+    last = spans.groupBy("documento_id").agg(F.max(F.struct("k", "fim")).alias("m"))
+    open_ = documents.join(last, "documento_id", "left").select("documento_id", F.coalesce("m.fim", F.lit(0)).alias("de"), F.col("fim_texto").alias("ate"), (F.col(total) - F.coalesce(F.col("m.k"), F.lit(-1)) - 1).alias("faltam"))
+    return out.unionByName(open_.where("faltam > 0"))
 
 
 def renumbered(spans: DataFrame, prefix: str = "g") -> DataFrame:
@@ -99,3 +111,29 @@ def rewritten(docs: DataFrame, spans: DataFrame, replacement: str) -> DataFrame:
     folded = F.aggregate("s", zero, step)
     tail = F.concat(folded["out"], F.substring(F.col("texto"), folded["at"].cast("int") + 1, F.length("texto")))
     return j.select("documento_id", F.when(F.col("s").isNull(), F.col("texto")).otherwise(tail).alias("texto"))
+
+
+def first_start(spans: DataFrame) -> DataFrame:
+    """documento_id, inicio of the earliest span."""
+    return spans.groupBy("documento_id").agg(F.min("inicio").alias("inicio"))
+
+
+def first_seen(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """Of rows with one text the first by ``order``."""
+    first = F.min(F.struct(*order)).alias("s")
+    return rows.groupBy(text).agg(first).select(text, *(f"s.{c}" for c in order))
+
+
+def as_arrays(spans: DataFrame) -> DataFrame:
+    """documento_id, spans: the spans of each document in order."""
+    return spans.groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("inicio", "fim"))).alias("spans"))
+
+
+def best_cover(spans: DataFrame, snippets: DataFrame, share: float = 0.8) -> DataFrame:
+    """Of the spans (with ordem) inside each snippet that cover at least that share of it, the longest, of equal ones the
+    first found: documento_id, i_, f_ (the snippet), inicio, fim, ordem."""
+    t = snippets.select(F.col("documento_id").alias("d_"), F.col("inicio").alias("i_"), F.col("fim").alias("f_"))
+    j = spans.join(t, (F.col("documento_id") == F.col("d_")) & (F.col("inicio") >= F.col("i_")) & (F.col("fim") <= F.col("f_")))
+    j = j.where((F.col("fim") - F.col("inicio")) >= share * (F.col("f_") - F.col("i_")))
+    best = F.min(F.struct((F.col("inicio") - F.col("fim")).alias("n"), "ordem", "inicio", "fim")).alias("s")
+    return j.groupBy("documento_id", "i_", "f_").agg(best).select("documento_id", "i_", "f_", "s.inicio", "s.fim", "s.ordem")

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 REGISTRY = """
-SELECT id, tribunal, ano, relator, classe,
+SELECT id, tribunal, ano, relator, CASE WHEN segunda THEN CASE tribunal WHEN 'STF' THEN 'ARE' WHEN 'STJ' THEN 'RMS' WHEN 'TSE' THEN 'REspE' WHEN 'TST' THEN 'AIRR' ELSE 'RSE' END
+    ELSE CASE tribunal WHEN 'STF' THEN 'RE' WHEN 'STJ' THEN 'REsp' WHEN 'TSE' THEN 'RO' WHEN 'TST' THEN 'RR' ELSE 'APL' END END AS classe,
   CASE WHEN tribunal IN ('STF','STJ') THEN CAST(100000+b*7 AS STRING)
   ELSE CAST(b+1 AS STRING)||'-'||lpad(CAST(b%90+10 AS STRING),2,'0')||'.'||CAST(ano AS STRING)||'.'
     ||CASE tribunal WHEN 'TST' THEN '5' WHEN 'TSE' THEN '6' ELSE '7' END||'.'
     ||lpad(CAST(b%27+1 AS STRING),2,'0')||'.'||lpad(CAST(b%9999+1 AS STRING),4,'0') END AS numero
-FROM (SELECT o_orderkey+1 AS id, o_orderkey-(CASE WHEN o_orderkey%50=1 THEN 1 ELSE 0 END) AS b,
+FROM (SELECT o_orderkey+1 AS id, o_orderkey-(CASE WHEN o_orderkey%25=1 THEN 1 ELSE 0 END) AS b, o_orderkey%50=1 AS segunda,
     CAST(year(o_orderdate) AS BIGINT) AS ano,
     CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'STF' WHEN '2' THEN 'STJ' WHEN '3' THEN 'TSE'
       WHEN '4' THEN 'TST' ELSE 'STM' END AS tribunal,
-    CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'RE' WHEN '2' THEN 'REsp' WHEN '3' THEN 'RO'
-      WHEN '4' THEN 'RR' ELSE 'APL' END AS classe,
     CASE o_orderkey%4 WHEN 0 THEN 'Nancy Andrighi' WHEN 1 THEN 'Dias Toffoli'
       WHEN 2 THEN 'Isabel Gallotti' ELSE 'Marco Antonio' END AS relator
   FROM orders) x
@@ -25,28 +26,52 @@ FROM (SELECT o_orderkey+1 AS id, o_orderkey-(CASE WHEN o_orderkey%50=1 THEN 1 EL
 STATEMENTS = [("STJ", 83, False, 900083), ("STJ", 211, False, 900211), ("STF", 282, False, 900282), ("STF", 10, True, 910010), ("STF", 11, True, 910011), ("STJ", 282, False, 920282)]
 ARTICLES = [("CF", 5, 800005), ("CF", 93, 800093), ("L13105/2015", 373, 800373), ("L10406/2002", 186, 800186), ("DL5452/1943", 896, 800896), ("L8078/1990", 14, 800014)]
 
-#: What a sentence cites, by (l_orderkey * 7 + l_linenumber) % 20.
-PLANTED = """
+#: What a sentence cites, by (l_orderkey * 7 + l_linenumber) % FORMS, and by the order's number among three variants.
+FORMS = 32
+_VARIANTS = {
+    9: ("Súmula 83 do STJ", "Súmula Vinculante nº 10", "Súmula nº 211 do Superior Tribunal de Justiça"),
+    10: ("Súmula 991 do STF", "Súmula 282", "Súmula 12 do TJSP"),
+    11: ("art. 373, II, do CPC", "art. 5º da Constituição Federal", "artigo 896 da CLT"),
+    12: ("art. 9373 do CPC", "art. 896-A da CLT", "art. 186 do CC/16"),
+    14: ("entendimento sumulado sobre a matéria", "dispositivo legal de regência", "precedente firmado em sede de recurso repetitivo"),
+    15: ("OAB/MS 12.345", "Autos nº 1234567-89.2020.8.26.0100", "pedido de fls. 20"),
+    22: ("Enunciado 83 da Súmula do STJ", "verbete 10 da Súmula Vinculante", "enunciado nº 991 da Súmula do STF"),
+    23: ("Súmula STJ 83", "Súmula do STF nº 991", "Súmula TJSP 12"),
+    26: ("Súmula 83", "SV 10", "Súmula 777"),
+    30: ("art. 5º, § 1º-A, da CF", "art. 14 da Lei nº 8.078, de 11 de setembro de 1990", "art. 14 da L. 8.078/90"),
+    31: ("precedente recente do STJ de 2020, da relatoria de lsabel Gallotti", "acórdão do 5TF, no ano de 2019, relator: Min. 5érgio Kukina", "julgado do STF pela relatoria de Dias Toffoli"),
+}
+
+
+def _by_order(values: tuple) -> str:
+    a, b, c = (f"'{v}'" if isinstance(v, str) else "NULL" if v is None else str(v) for v in values)
+    return f"CASE p.ord%3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
+
+
+_CNJ = "k.tribunal NOT IN ('STF','STJ')"
+PLANTED = f"""
 SELECT p.doc, p.ord, p.ln, p.forma, k.id, k.tribunal, k.numero, k.classe,
   CASE
     WHEN p.forma IN (3, 4) THEN k.classe||' '||substr(k.numero,1,2)||replace(substr(k.numero,3,2),'5','S')||substr(k.numero,5)
     WHEN p.forma IN (5, 6) THEN k.classe||' 9'||k.numero
     WHEN p.forma IN (7, 8) THEN 'julgado do '||k.tribunal||' proferido em '||CAST(k.ano AS STRING)||' pela relatoria de '||k.relator
-    WHEN p.forma = 9 THEN CASE p.ord%3 WHEN 0 THEN 'Súmula 83 do STJ' WHEN 1 THEN 'Súmula Vinculante nº 10' ELSE 'Súmula nº 211 do Superior Tribunal de Justiça' END
-    WHEN p.forma = 10 THEN CASE p.ord%3 WHEN 0 THEN 'Súmula 991 do STF' WHEN 1 THEN 'Súmula 282' ELSE 'Súmula 12 do TJSP' END
-    WHEN p.forma = 11 THEN CASE p.ord%3 WHEN 0 THEN 'art. 373, II, do CPC' WHEN 1 THEN 'art. 5º da Constituição Federal' ELSE 'artigo 896 da CLT' END
-    WHEN p.forma = 12 THEN CASE p.ord%3 WHEN 0 THEN 'art. 9373 do CPC' WHEN 1 THEN 'art. 896-A da CLT' ELSE 'art. 186 do CC/16' END
+    {" ".join(f"WHEN p.forma = {n} THEN {_by_order(v)}" for n, v in _VARIANTS.items())}
     WHEN p.forma = 13 THEN 'Tema '||CAST(p.ord%900+1 AS STRING)||' do STF'
-    WHEN p.forma = 14 THEN CASE p.ord%3 WHEN 0 THEN 'entendimento sumulado sobre a matéria' WHEN 1 THEN 'dispositivo legal de regência' ELSE 'precedente firmado em sede de recurso repetitivo' END
-    WHEN p.forma = 15 THEN CASE p.ord%3 WHEN 0 THEN 'OAB/MS 12.345' WHEN 1 THEN 'Autos nº 1234567-89.2020.8.26.0100' ELSE 'pedido de fls. 20' END
-    WHEN p.forma = 16 AND k.tribunal = 'STJ' THEN 'Recurso Especial nº '||k.numero||'/SP'
-    WHEN p.forma = 17 AND k.tribunal = 'STJ' THEN 'AgRg no REsp '||k.numero
+    WHEN p.forma = 16 AND k.classe = 'REsp' THEN 'Recurso Especial nº '||k.numero||'/SP'
+    WHEN p.forma = 17 AND k.classe = 'REsp' THEN 'AgRg no REsp '||k.numero
+    WHEN p.forma = 20 AND k.tribunal = 'TST' AND k.classe = 'RR' THEN 'TST-E-ROT-'||k.numero
+    WHEN p.forma = 21 AND {_CNJ} AND k.classe NOT IN ('REspE', 'AIRR', 'RSE') THEN 'processo nº '||k.numero
+    WHEN p.forma = 24 THEN k.classe||' do '||CASE WHEN k.tribunal = 'STJ' THEN 'STF' ELSE 'STJ' END||' nº '||k.numero
+    WHEN p.forma = 27 AND {_CNJ} THEN k.classe||' '||replace(k.numero,'-','‑')
+    WHEN p.forma = 27 THEN k.classe||' nº '||substr(k.numero,1,length(k.numero)-3)||'\u00a0'||substr(k.numero,length(k.numero)-2)
+    WHEN p.forma = 28 AND {_CNJ} THEN k.classe||' '||replace(k.numero,'-','-'||chr(10))
+    WHEN p.forma = 29 THEN CASE p.ord%3 WHEN 0 THEN 'Tema repetitivo ' WHEN 1 THEN 'Tema RG ' ELSE 'Tema nº ' END||CAST(p.ord%900+1 AS STRING)||CASE p.ord%3 WHEN 2 THEN ' da repercussão geral' ELSE '' END
     ELSE k.classe||' '||k.numero END AS trecho
 FROM (SELECT DISTINCT l_partkey AS doc, l_orderkey AS ord, CAST(l_linenumber AS BIGINT) AS ln,
-    (l_orderkey*7+l_linenumber)%20 AS forma FROM lineitem) p JOIN registry k ON k.id = p.ord+1
+    (l_orderkey*7+l_linenumber)%{FORMS} AS forma FROM lineitem) p JOIN registry k ON k.id = p.ord+1
 """
 
-HEAD = "EGRÉGIO TRIBUNAL\nAutos nº 1234567-89.2020.8.26.0100\nCuida-se de recurso interposto contra a sentença de origem.\n"
+HEAD = "\ufeffEGRÉGIO TRIBUNAL 😀\r\nAutos nº 1234567-89.2020.8.26.0100\r\nCuida-se de recurso interposto contra a sentença de origem.\r\n"
 BEFORE, AFTER = "Reforça o argumento o ", ", de resto conhecido no foro."
 
 #: Offsets of every planted phrase: sentences follow each other in (ord, ln) order, a space between them.
@@ -57,23 +82,53 @@ FROM (SELECT *, {len(HEAD)} + {len(BEFORE)} + CAST(sum(length(trecho) + {len(BEF
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length(trecho) - {len(BEFORE) + len(AFTER) + 1} AS pos FROM planted) x
 """
 
+#: Forms with a ruling's number, of a knowledge base's ruling and not; others by variant: class, rule, id.
+BY_NUMBER = (0, 1, 2, 3, 4, 16, 17, 18, 19, 20, 21, 25, 27, 28)
+NUMBERED = (*BY_NUMBER, 5, 6, 24)
+_REST = {
+    7: ("incompleta", "incompleta", None),
+    8: ("incompleta", "incompleta", None),
+    9: ("real", "sumula_real", (900083, 910010, 900211)),
+    10: (("inventada", "incompleta", "inventada"), ("sumula_inventada", "sumula_ambigua", "sumula_outro_tribunal"), None),
+    11: ("real", "lei_real", (800373, 800005, 800896)),
+    12: ("inventada", "lei_inventada", None),
+    13: ("inventada", "tema", None),
+    14: ("incompleta", "vaga", None),
+    22: (("real", "real", "inventada"), ("sumula_real", "sumula_real", "sumula_inventada"), (900083, 910010, None)),
+    23: (("real", "inventada", "inventada"), ("sumula_real", "sumula_inventada", "sumula_outro_tribunal"), (900083, None, None)),
+    26: (("real", "real", "inventada"), ("sumula_sem_tribunal", "sumula_real", "sumula_inventada"), (900083, 910010, None)),
+    29: ("inventada", "tema", None),
+    30: ("real", "lei_real", (800005, 800014, 800014)),
+    31: ("incompleta", ("incompleta", "incompleta", "incompleta_parcial"), None),
+}
+
+
+def _rest(part: int) -> str:
+    cases = []
+    for n, v in _REST.items():
+        value = v[part]
+        cases.append(f"WHEN p.forma = {n} THEN " + (_by_order(value) if isinstance(value, tuple) else f"'{value}'" if value else "NULL"))
+    return " ".join(cases)
+
+
+_REAL = ", ".join(map(str, BY_NUMBER))
+#: Without a class of the knowledge base nothing tells two owners apart.
+_BARE = "p.trecho LIKE 'TST-%' OR p.trecho LIKE 'processo%'"
 #: What the pipeline must say of every planted phrase (V convention; forma 14 is left out in the R convention).
-GOLD = """
-SELECT CAST(o.doc AS STRING) AS documento_id, o.k, o.inicio, o.fim, o.trecho, o.forma,
-  CASE WHEN o.forma IN (11, 12) OR (o.forma = 14 AND o.ord%3 = 1) THEN 'lei' ELSE 'jurisprudencia' END AS tipo,
-  CASE WHEN o.forma IN (5, 6, 12, 13) OR (o.forma = 10 AND o.ord%3 <> 1) THEN 'inventada'
-       WHEN o.forma IN (7, 8, 14) OR (o.forma = 10 AND o.ord%3 = 1) THEN 'incompleta' ELSE 'real' END AS classe,
-  CASE WHEN o.forma IN (5, 6, 7, 8, 10, 12, 13, 14) THEN NULL
-       WHEN o.forma = 9 THEN CASE o.ord%3 WHEN 0 THEN 900083 WHEN 1 THEN 910010 ELSE 900211 END
-       WHEN o.forma = 11 THEN CASE o.ord%3 WHEN 0 THEN 800373 WHEN 1 THEN 800005 ELSE 800896 END
-       ELSE s.least_id END AS id_canonico,
-  CASE WHEN o.forma IN (5, 6) THEN 'inventada_ausente' WHEN o.forma IN (7, 8) THEN 'incompleta' WHEN o.forma = 9 THEN 'sumula_real'
-       WHEN o.forma = 10 THEN CASE o.ord%3 WHEN 0 THEN 'sumula_inventada' WHEN 1 THEN 'sumula_ambigua' ELSE 'sumula_outro_tribunal' END
-       WHEN o.forma = 11 THEN 'lei_real' WHEN o.forma = 12 THEN 'lei_inventada' WHEN o.forma = 13 THEN 'tema' WHEN o.forma = 14 THEN 'vaga'
-       WHEN s.owners = 1 THEN 'real_unico' ELSE 'real_duplicata' END AS regra
-FROM offsets o JOIN (SELECT numero AS n_, tribunal AS t_, count(*) AS owners, min(id) AS least_id FROM registry GROUP BY numero, tribunal) s
-  ON s.n_ = o.numero AND s.t_ = o.tribunal
-WHERE o.forma <> 15
+GOLD = f"""
+SELECT CAST(p.doc AS STRING) AS documento_id, p.k, p.inicio, p.fim, p.trecho, p.forma,
+  CASE WHEN p.forma IN (11, 12, 30) OR (p.forma = 14 AND p.ord%3 = 1) THEN 'lei' ELSE 'jurisprudencia' END AS tipo,
+  CASE WHEN p.forma IN (5, 6) THEN 'inventada' WHEN p.forma IN ({_REAL}) THEN 'real' WHEN p.forma = 24 THEN CASE WHEN o.owners IS NULL THEN 'inventada' ELSE 'real' END {_rest(0)} END AS classe,
+  CAST(CASE WHEN p.forma IN ({_REAL}) THEN CASE WHEN s.owners = 1 OR s.owners > s.classes OR {_BARE} THEN s.least_id ELSE p.id END
+       WHEN p.forma = 24 THEN o.least_id {_rest(2)} END AS BIGINT) AS id_canonico,
+  CASE WHEN p.forma IN (5, 6) THEN 'inventada_ausente'
+       WHEN p.forma IN ({_REAL}) THEN CASE WHEN s.owners = 1 THEN 'real_unico' WHEN s.owners > s.classes OR {_BARE} THEN 'real_duplicata' ELSE 'real_desempate' END
+       WHEN p.forma = 24 THEN CASE WHEN o.owners IS NULL THEN 'inventada_tribunal' WHEN o.owners = 1 THEN 'real_unico' ELSE 'real_duplicata' END {_rest(1)} END AS regra
+FROM offsets p JOIN (SELECT numero AS n_, tribunal AS t_, count(*) AS owners, count(DISTINCT classe) AS classes, min(id) AS least_id FROM registry GROUP BY numero, tribunal) s
+  ON s.n_ = p.numero AND s.t_ = p.tribunal
+LEFT JOIN (SELECT numero AS n_, tribunal AS t_, count(*) AS owners, min(id) AS least_id FROM registry GROUP BY numero, tribunal) o
+  ON o.n_ = p.numero AND o.t_ = CASE WHEN p.tribunal = 'STJ' THEN 'STF' ELSE 'STJ' END
+WHERE p.forma <> 15
 """
 
 DOCS_SPARK = f"""
@@ -82,34 +137,36 @@ FROM planted GROUP BY doc
 """
 
 
+def quoted(text: str) -> str:
+    """A string with line ends as an SQL expression."""
+    return "'" + text.replace("\r", "'||chr(13)||'").replace("\n", "'||chr(10)||'") + "'"
 
 
 def ctes() -> str:
     """The same relations as a WITH prefix for DuckDB."""
-    head = HEAD.replace("\n", "'||chr(10)||'")
-    docs = f"SELECT CAST(doc AS STRING) AS documento_id, '{head}'||string_agg('{BEFORE}'||trecho||'{AFTER}', ' ' ORDER BY ord, ln) AS texto FROM planted GROUP BY doc"
+    docs = f"SELECT CAST(doc AS STRING) AS documento_id, {quoted(HEAD)}||string_agg('{BEFORE}'||trecho||'{AFTER}', ' ' ORDER BY ord, ln) AS texto FROM planted GROUP BY doc"
     statements = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n}, {b}, {i})" for c, n, b, i in STATEMENTS) + ") v(tribunal, numero, vinculante, id)"
     articles = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {a}, {i})" for w, a, i in ARTICLES) + ") v(lei, artigo, id)"
     parts = {"registry": REGISTRY, "planted": PLANTED, "offsets": OFFSETS, "gold": GOLD, "docs": docs, "statements": statements, "articles": articles}
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in parts.items()) + "\n"
+    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in parts.items()) + "\n"
 
 
 class Fixture:
-    """The relations as DataFrames over one data folder."""
+    """The relations as DataFrames over one data folder. No name is left behind in the session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        for t in ("orders", "lineitem"):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         self.spark = spark
-        self.registry = self._named("registry", REGISTRY)
-        self.planted = self._named("planted", PLANTED)
-        self.offsets = self._named("offsets", OFFSETS)
-        self.gold = self._named("gold", GOLD)
-        self.docs = spark.sql(DOCS_SPARK)
+        self.orders, self.lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+        self.registry = self.sql(REGISTRY)
+        self.planted = self.sql(PLANTED)
+        self.offsets = self.sql(OFFSETS)
+        self.gold = self.sql(GOLD)
+        self.docs = self.sql(DOCS_SPARK)
         self.statements = spark.createDataFrame(STATEMENTS, "tribunal string, numero bigint, vinculante boolean, id bigint")
         self.articles = spark.createDataFrame(ARTICLES, "lei string, artigo bigint, id bigint")
 
-    def _named(self, name: str, sql: str) -> DataFrame:
-        df = self.spark.sql(sql)
-        df.createOrReplaceTempView(name)
-        return df
+    def sql(self, text: str) -> DataFrame:
+        """A query over the relations that are there so far, by their names."""
+        names = [n for n in ("orders", "lineitem", "registry", "planted", "offsets", "gold", "docs", "statements", "articles") if hasattr(self, n)]
+        used = {n for n in names if re.search(rf"\b(?:FROM|JOIN) {n}\b", text)}
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **{n: getattr(self, n) for n in used})
