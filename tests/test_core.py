@@ -353,7 +353,7 @@ def test_watcher_waits_and_says(spark, small_kb, tmp_path):
 
 
 def test_header_numbers_say_why(spark):
-    cab = "ACÓRDÃO RECURSO ESPECIAL Nº 1.741.784 - SP (2016/0199049-1) CLASSE 32 R$ 1.500 OAB: 777 de 12 DE MARÇO x9876 7 B3S"
+    cab = "ACÓRDÃO RECURSO ESPECIAL Nº 1.741.784 - SP (2016/0199049-1) CLASSE 32 R$ 1.500 OAB: 777 de 12 DE MARÇO x9876; 7, B3S"
     df = spark.createDataFrame([(cab,)], "c string")
     got = {r.numero: r.motivo for r in df.select(F.explode(K.header_numbers(F.col("c"))).alias("n")).select("n.*").collect()}
     assert got["1.741.784"] is None and got["2016"] == "fração" and got["32"] == "classe" and got["1.500"] == "valor" and got["777"] == "oab" and got["12"] == "data" and got["7"] == "curto"
