@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .grammar import (
-    ANY, BLANK, LETTER, NUMBER, ROMAN, SHORT_NUMBER, SOME, SPACE, YEAR, by_initial, cased, kept, listed, maybe, one_of, short, whole, word, words,
+    ANY, BLANK, LETTER, NO_LETTER_AFTER, NO_LETTER_BEFORE, NUMBER, ROMAN, SHORT_NUMBER, SOME, SPACE, YEAR, by_initial, cased, kept, listed, maybe, one_of, short, whole, word, words,
 )
 from .vocabulary import (
     ARTICLES, ATTACKED, CLASS_NAMES, CLASS_SHORT, CLOSINGS, COURTESY, COURTESY_SHORT, COURTS, HEADS, INCIDENTS, LAWS, MONTHS, ORDINALS, OTHER_COURTS, PHRASE_ENDS, RULING_HEADS,
@@ -11,7 +11,7 @@ from .vocabulary import (
 )
 
 #: Begins where no letter stands before.
-START = f"(?iu)(?<![{LETTER}])"
+START = "(?iu)" + NO_LETTER_BEFORE
 
 
 def short_forms(code: str) -> list[str]:
@@ -142,16 +142,16 @@ FAMILIES = (
 
 # ---- Vague phrases
 
-VAGUE_PATTERN = START + kept(words(VAGUE)) + f"(?![{LETTER}])"
-_STEP = rf"[{LETTER}0-9'´`-]+"
-_END = one_of(r"[,.;:()\n]", SOME + words(PHRASE_ENDS) + f"(?![{LETTER}])")
+VAGUE_PATTERN = START + kept(words(VAGUE)) + NO_LETTER_AFTER
+_STEP = cased(rf"[{LETTER}0-9'´`-]+")
+_END = one_of(r"[,.;:()\n]", SOME + words(PHRASE_ENDS) + NO_LETTER_AFTER)
 #: Groups: what leads to the phrase, the phrase.
 SLOT_PATTERN = START + kept(words(SLOTS), SOME, words(ARTICLES.split()), SOME) + kept(maybe(_STEP, SOME), whole(words(HEADS.split())), f"(?:(?!{_END}){SOME}{_STEP}){{0,10}}")
 #: The same after an article alone, for sentences that a model calls vague.
 _SOURCE = whole(words(SOURCE_HEADS.split()))
 _BY = one_of(*sorted([*ARTICLES.split(), "pelo", "pela", "pelos", "pelas"], key=len, reverse=True))
 _VERB = SOME + whole(one_of(*sorted(SOURCE_VERBS.split(), key=len, reverse=True)))
-_PLAIN_STEP = rf"[{LETTER}'´`-]+"
+_PLAIN_STEP = cased(rf"[{LETTER}'´`-]+")
 SOURCE_PATTERN = START + kept(_BY, SOME) + kept(maybe(_PLAIN_STEP, SOME), _SOURCE, f"(?:(?!{one_of(_END, _VERB)}){SOME}{_PLAIN_STEP}){{0,7}}")
 
 # ---- Cues: what makes a sentence worth a second look

@@ -15,24 +15,33 @@ GROUPS = ("cadeia", "trib", "num", "sufixo", "uf", "sv", "vinc", "outro", "suf",
 NUMBERED = ("numerada", "processo_cnj", "hifenizada")
 
 
-def matches(text: Column, pattern: str, groups: int) -> Column:
+#: Characters that a candidate keeps from before and after it.
+LEFT, RIGHT = 80, 24
+
+
+def matches(text: Column, pattern: str, groups: int, around: bool = False) -> Column:
     """array<struct<inicio, fim, g: array<string>>> of all matches. Marks in the text count as spaces.
 
     Matches and their groups are set off by marks, the text is cut at the marks, and a fold over the pieces of the row
-    adds up their lengths: no window, no exchange.
+    adds up their lengths: no window, no exchange. With ``around`` also antes, trecho, depois: up to LEFT characters
+    before the match, its text, and up to RIGHT characters after it.
     """
-    clean = F.translate(text, MARK + FIELD, "  ")
-    spliced = F.regexp_replace(clean, pattern, MARK + "$0" + "".join(f"{FIELD}${i}" for i in range(1, groups + 1)) + MARK)
+    clean = F.when(text.contains(MARK) | text.contains(FIELD), F.translate(text, MARK + FIELD, "  ")).otherwise(text)
+    wide = pattern + f"(?s:(?=(.{{0,{RIGHT}}})))" if around else pattern
+    spliced = F.regexp_replace(clean, wide, MARK + "$0" + "".join(f"{FIELD}${i}" for i in range(1, groups + 1 + around)) + MARK)
     pieces = F.split(spliced, MARK)
-    kind = "array<struct<inicio:bigint,fim:bigint,g:array<string>>>"
+    more = ",antes:string,trecho:string,depois:string" if around else ""
+    kind = f"array<struct<inicio:bigint,fim:bigint,g:array<string>{more}>>"
 
     def step(acc: Column, piece: Column) -> Column:
         fields = F.split(piece, FIELD)
         end = acc["at"] + F.length(fields[0])
-        found = F.struct(acc["at"].alias("inicio"), end.alias("fim"), F.slice(fields, 2, groups).alias("g"))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        seen = [acc["tail"].alias("antes"), fields[0].alias("trecho"), F.element_at(fields, -1).alias("depois")] if around else []
+        found = F.struct(acc["at"].alias("inicio"), end.alias("fim"), F.slice(fields, 2, groups).alias("g"), *seen)
+        tail = [F.right(F.concat(acc["tail"], fields[0]), F.lit(LEFT)).alias("tail")] if around else []
+        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"), *tail)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("out"), *([F.lit("").alias("tail")] if around else []))
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
@@ -59,49 +68,72 @@ def own_keys(text: Column, end: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: F.length(F.regexp_replace(k, "[^0-9]", "")) >= 7))
 
 
-def _family(order: int, kind: str, priority: int, names: tuple[str, ...], pattern: str) -> Column:
-    def row(m: Column) -> Column:
-        groups = [(F.nullif(m["g"][names.index(n)], F.lit("")) if n in names else F.lit(None).cast("string")).alias(n) for n in GROUPS]
-        return F.struct(F.lit(kind).alias("kind"), F.lit(priority).alias("prioridade"), F.lit(order).alias("ordem"), m["inicio"].alias("inicio"), m["fim"].alias("fim"), *groups)
+def _with_order(found: Column, order: int) -> Column:
+    """The matches with their family's order."""
+    return F.transform(found, lambda m: F.struct(F.lit(order).alias("ordem"), m.alias("m")))
+
+
+def _by_order(values: list) -> Column:
+    """The value of a row's family."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("ordem") + 1)
 
-    return F.transform(matches(F.col("texto"), pattern, len(names)), row)
+
+def _group(name: str) -> Column:
+    """The text of a group by the place that it has in the row's family; null if empty, or if the family has none."""
+    place = _by_order([names.index(name) + 1 if name in names else 0 for _, _, names, _ in FAMILIES])
+    return F.when(place > 0, F.nullif(F.try_element_at(F.col("c.m.g"), F.greatest(place, F.lit(1))), F.lit(""))).alias(name)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """documento_id, texto -> one row per match of every family: kind, prioridade, ordem, inicio, fim, groups by name.
+    """documento_id, texto -> one row per match of every family: kind, prioridade, ordem, inicio, fim, antes, trecho,
+    depois, groups by name.
 
     All families are found in one pass over each row. An empty group is null. A null text has no rows.
     """
-    families = [_family(order, *p) for order, p in enumerate(FAMILIES)]
+    families = [_with_order(matches(F.col("texto"), p, len(names), True), order) for order, (_, _, names, p) in enumerate(FAMILIES)]
+    kind, priority = (_by_order([family[k] for family in FAMILIES]).alias(name) for k, name in ((0, "kind"), (1, "prioridade")))
     out = docs.select("documento_id", "texto").withColumn("fim_cab", header_end(F.col("texto"))).withColumn("proprias", own_keys(F.col("texto"), F.col("fim_cab")))
-    out = out.withColumn("c", F.explode(F.concat(*families))).select("documento_id", "texto", "fim_cab", "proprias", "c.*")
+    out = out.select("documento_id", "fim_cab", "proprias", F.explode(F.concat(*families)).alias("c")).withColumn("ordem", F.col("c.ordem"))
+    out = out.select("documento_id", "fim_cab", "proprias", kind, priority, "ordem", *(f"c.m.{x}" for x in ("inicio", "fim", "antes", "trecho", "depois")), *map(_group, GROUPS))
     return out.where("kind <> 'incompleta' OR ano IS NOT NULL OR trib IS NOT NULL")
 
 
+def settled(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with these columns, each computed once however often it is used afterwards."""
+    kept = [c for c in rows.columns if c not in values]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
+
+
 def trimmed(c: DataFrame) -> DataFrame:
     """Ends lose spaces and punctuation, but not the dot of an initial, Min. or Rel.; starts lose spaces and commas."""
-    text = F.substring(F.col("texto"), F.col("inicio").cast("int") + 1, (F.col("fim") - F.col("inicio")).cast("int"))
-    keeps = F.regexp_extract(text, r"^((?s:.*?(?:\b[A-Z]|[Mm]in|[Rr]el)\.))[ \t\n,;.\-– ]*$", 1)
-    bare = F.regexp_replace(text, r"[ \t\n,;.\-– ]+$", "")
-    end = F.col("inicio") + F.greatest(F.length(keeps), F.length(bare))
-    lead = F.length(F.regexp_extract(text, r"^[ \t\n,; ]*", 0))
-    return c.withColumn("fim", end.cast("bigint")).withColumn("inicio", (F.col("inicio") + lead).cast("bigint"))
+    text = F.col("trecho")
+    keeps = F.length(F.regexp_extract(text, r"^((?s:.*?(?:\b[A-Z]|[Mm]in|[Rr]el)\.))[ \t\n,;.\-–\xa0]*$", 1))
+    bare = F.length(F.regexp_replace(text, r"[ \t\n,;.\-–\xa0]+$", ""))
+    lead = F.length(F.regexp_extract(text, r"^[ \t\n,;\xa0]*", 0))
+    c = settled(c, menos=lead, ate=F.greatest(keeps, bare))
+    return settled(
+        c,
+        inicio=(F.col("inicio") + F.col("menos")).cast("bigint"), fim=(F.col("inicio") + F.col("ate")).cast("bigint"),
+        antes=F.right(F.concat("antes", F.substring(text, F.lit(1), F.col("menos"))), F.lit(LEFT)), trecho=F.substring(text, F.col("menos") + 1, F.col("ate") - F.col("menos")),
+        depois=F.left(F.concat(F.substring(text, F.col("ate") + 1, F.length(text)), "depois"), F.lit(RIGHT)),
+    ).drop("menos", "ate")
 
 
 def _extended(c: DataFrame) -> DataFrame:
     """A labour-court number takes in the "processo nº TST-Ag-" before it."""
-    before = F.substring(F.col("texto"), (F.greatest(F.col("inicio") - 80, F.lit(0)) + 1).cast("int"), F.least(F.col("inicio"), F.lit(80)).cast("int"))
     hyphen = f"{ANY}-{ANY}"
     prefix = "(?iu)" + maybe(word("processo"), ANY, MARKED) + cased(maybe("T[S5]T", hyphen), "(?:[A-Z][A-Za-z]{0,7}", hyphen, ")*") + "$"
     grows = F.col("kind").isin("numerada", "hifenizada") & F.coalesce(justice(F.col("chave")) == "5", F.lit(False))
-    return c.withColumn("inicio", F.when(grows, F.col("inicio") - F.length(F.regexp_extract(before, prefix, 0))).otherwise(F.col("inicio")))
+    c = settled(c, mais=F.when(grows, F.length(F.regexp_extract("antes", prefix, 0))).otherwise(0))
+    rest = F.length("antes") - F.col("mais")
+    return settled(
+        c, inicio=F.col("inicio") - F.col("mais"), trecho=F.concat(F.right("antes", F.col("mais")), "trecho"), antes=F.left("antes", rest)
+    ).drop("mais")
 
 
 def is_distractor() -> Column:
-    """Bar registrations, "Cidade/UF, 12 de março", and "Ap. 302" of an address."""
-    start, end = F.col("inicio").cast("int"), F.col("fim").cast("int")
-    before = F.substring(F.col("texto"), F.greatest(start - 12, F.lit(0)) + 1, F.least(start, F.lit(12)))
-    after = F.substring(F.col("texto"), end + 1, F.lit(24))
+    """Bar registrations, "Cidade/UF, 12 de março", and "Ap. 302" of an address; by what stands before and after."""
+    before, after = F.right("antes", F.lit(12)), F.col("depois")
     chain = F.trim(F.coalesce("cadeia", F.lit("")))
     date = rf"(?iu)^{BLANK}*,?{BLANK}*de{BLANK}+{words(MONTHS)}(?![{LETTER}])"
     place = chain.isin(*STATES) & before.rlike(r"[/\-–]\s*$")
@@ -122,7 +154,7 @@ def resolved(spans: Column) -> Column:
 
 def _judged(docs: DataFrame) -> DataFrame:
     """Candidates extended and trimmed, with propria: a number in the header, or the document's own."""
-    c = trimmed(_extended(candidates(docs).withColumn("chave", number_key(F.col("num")))))
+    c = trimmed(_extended(settled(candidates(docs), chave=number_key(F.col("num")))))
     own = (F.col("inicio") < F.col("fim_cab")) | F.coalesce(F.array_contains("proprias", F.col("chave")), F.lit(False))
     return c.withColumn("propria", F.col("kind").isin(*NUMBERED) & own)
 

@@ -161,7 +161,8 @@ class Fixture:
         self.planted = self.sql(PLANTED)
         self.offsets = self.sql(OFFSETS)
         self.gold = self.sql(GOLD)
-        self.docs = self.sql(DOCS_SPARK)
+        # extraction takes about a second a megabyte and core: texts of an aggregate are dealt out smaller than its partitions
+        self.docs = self.sql(DOCS_SPARK).repartition(4 * spark.sparkContext.defaultParallelism)
         self.statements = spark.createDataFrame(STATEMENTS, "tribunal string, numero bigint, vinculante boolean, id bigint")
         self.articles = spark.createDataFrame(ARTICLES, "lei string, artigo bigint, id bigint")
 
