@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    """Writes df as Parquet to the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    getattr(spark, "_lexspan_made", []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what staged() has written within. What is made of those tables must be written by then."""
+    outer, made = getattr(spark, "_lexspan_made", None), []
+    spark._lexspan_made = made
+    try:
+        yield
+    finally:
+        if outer is None:
+            del spark._lexspan_made
+        else:
+            spark._lexspan_made = outer
+        for path in made:
+            removed(spark, path)
