@@ -15,8 +15,6 @@ from .toxicity import op3_toxicity_counterfactual
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_simhash_pigeonring": op2_simhash_pigeonring,
@@ -28,7 +26,6 @@ def queries() -> dict:
         "op8_hnsw": op8_hnsw,
         "op9_line_frequency": op9_line_frequency,
         "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
-        "pipeline": run,
     }
 
 

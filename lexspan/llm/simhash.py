@@ -2,8 +2,9 @@
 
 The 64 bits are cut into M segments on a ring. If two fingerprints differ in at most T bits, some segment starts a
 chain whose first n segments together differ in at most n * T / M bits, for every n from 1 to M. With M = 8 and T = 2
-the first three segments of that chain must agree: they are the blocking key, the longer prefixes prune candidates,
-and the full Hamming distance decides. grouped() finds documents of a given similarity by MinHash bands.
+the first three segments of that chain must agree: they are the blocking key. The next four together differ in one bit at
+most, so of two halves of them one agrees: larger groups are split by that, and once more. The chain's prefixes prune
+candidates, and the full Hamming distance decides. grouped() finds documents of a given similarity by MinHash bands.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import byte_texts, documents, slices, staged
 from .components import components
 
 BITS = 64
-#: A larger blocking group is treated another way; see links() and grouped().
+#: A larger blocking group is split by further segments of its chain; see links(). For grouped() see BLOCK.
 GROUP = 2_048
 
 def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -90,19 +91,43 @@ def near(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
     return at[np.bitwise_count(diff[at]) <= T]
 
 
+#: Bits of a key: the chain's start, the segments that agree, and for split groups twice which half and its segments.
+_START, _FIRST, _HALF, _QUARTER = 3, 3 + WIDTH * EXACT, 2 + 2 * WIDTH, 2 + WIDTH
+
+
+def _segment(k: int) -> F.Column:
+    """The k-th segment of a row's chain; fp and key (whose lowest bits are the chain's start)."""
+    by = f"CAST({WIDTH} * (key & {M - 1}) AS INT)"
+    turned = F.expr(f"shiftrightunsigned(fp, {by}) | shiftleft(fp, {BITS} - {by})")
+    return F.shiftrightunsigned(turned, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """fp -> one row per ring position: key holds the position and the segments that must agree there."""
+    k = nodes.select("fp", F.explode(F.array(*(F.lit(i).cast("long") for i in range(M)))).alias("key"))
+    key = F.col("key")
+    for j in range(EXACT):
+        key = key.bitwiseOR(F.shiftleft(_segment(j), _START + j * WIDTH))
+    return k.select("fp", key.alias("key"))
+
 
-    def segment(i: int) -> F.Column:
-        return F.shiftrightunsigned("fp", (i % M) * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _halves(keys: DataFrame) -> DataFrame:
+    """Rows of groups that are too large, once per half of the chain's next four segments, with that half in the key."""
+    def half(tag: int, k: int) -> F.Column:
+        return F.col("key").bitwiseOR(F.shiftleft(F.lit(tag).cast("long").bitwiseOR(F.shiftleft(_segment(k), 2)).bitwiseOR(F.shiftleft(_segment(k + 1), 2 + WIDTH)), _FIRST))
 
-    def key(i: int) -> F.Column:
-        k = F.lit(i).cast("long")
-        for j in range(EXACT):
-            k = F.shiftleft(k, WIDTH).bitwiseOR(segment(i + j))
-        return k
+    return keys.select("fp", F.explode(F.array(half(1, EXACT), half(2, EXACT + 2))).alias("key"))
 
-    return nodes.select("fp", F.explode(F.array(*map(key, range(M)))).alias("key"))
+
+def _quarters(keys: DataFrame) -> DataFrame:
+    """The same for groups of a half: of the other half's two segments one agrees."""
+    first = F.shiftrightunsigned("key", _FIRST).bitwiseAND(F.lit(3)) == 1  # the first half agrees, so the second is split
+
+    def quarter(tag: int, k: int) -> F.Column:
+        segment = F.when(first, _segment(EXACT + 2 + k)).otherwise(_segment(EXACT + k))
+        return F.col("key").bitwiseOR(F.shiftleft(F.lit(tag).cast("long").bitwiseOR(F.shiftleft(segment, 2)), _FIRST + _HALF))
+
+    return keys.select("fp", F.explode(F.array(quarter(1, 0), quarter(2, 1))).alias("key"))
 
 
 SMALL = 64
@@ -179,27 +204,28 @@ def _by_key(link: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> C
 
 
 def _link_fingerprints(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-    fp, start = col["id"].view(np.uint64), col["key"] >> (WIDTH * EXACT)
+    fp, start = col["id"].view(np.uint64), col["key"] & (M - 1)
     return spanning(col["group"], lambda i, j: near(fp[i] ^ fp[j], start[i]))
 
 
 def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     """Distinct fp -> (a, b) whose components are those of all links at Hamming distance T or less.
 
-    A blocking group of more than ``group`` fingerprints is resolved exactly another way: each member meets, in groups
-    of at most 65, every fingerprint that it reaches by one bit flip. Two fingerprints have such a meeting point in
-    common if and only if they differ in two bits or fewer; the smallest member stands for the rest.
+    A blocking group of more than ``group`` fingerprints is split by a further half of its chain, and such a group again
+    by a segment: every link of its chain is in one of the parts. After that 48 bits agree, so that no part has more than
+    2 ** 16 fingerprints.
     """
-    keys = _keys(nodes)
-    large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
-    keys = keys.join(large, "key", "left")
-    ready = keys.where("large IS NULL").select("key", F.col("fp").alias("id")).repartition("key").sortWithinPartitions("key")
-    found = ready.mapInArrow(_by_key(_link_fingerprints), "a long, b long")
-    hot = keys.where("large").select("fp").distinct()
-    flips = (F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS))
-    met = hot.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("met"))
-    first = met.groupBy("met").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return found.unionByName(first.select("a", F.explode("all").alias("b")).where("a <> b"))
+    keys, ready = _keys(nodes), None
+    for split in (_halves, _quarters, None):
+        if split is None:
+            parts = keys
+        else:
+            large = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("large"))
+            marked = keys.join(large, "key", "left")
+            parts, keys = marked.where("large IS NULL").select("fp", "key"), split(marked.where("large").select("fp", "key"))
+        ready = parts if ready is None else ready.unionByName(parts)
+    ready = ready.select("key", F.col("fp").alias("id")).repartition("key").sortWithinPartitions("key")
+    return ready.mapInArrow(_by_key(_link_fingerprints), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> DataFrame:

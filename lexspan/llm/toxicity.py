@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, min_docs:
     Features are all terms in ``min_docs`` sampled documents or more whose presence departs from independence of the
     label by over five standard deviations (a term that says nothing passes with probability 6e-7, so of the millions of
     terms of a sample about one does), and all terms that a counterfactual changes. No label, source, lang or doc_id
-    enters a score. With no usable label the model scores every text 0.5; with one class only, near that class's share.
+    enters a score. With no usable label nothing is known to be toxic: every text scores 0 (to 13 places); with one class
+    only, near that class's share.
     Null and empty texts have no terms; a doc_id that several rows have is learnt from once per row.
     """
     chosen = labelled(labels, "toxic", 4, 2, max_rows)
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, min_docs:
     sample = staged(sample.mapInArrow(sets, "y int, words array<string>, swaps array<string>"), "toxic-sample")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
-        return ToxicityModel({}, 0.0)
+        return ToxicityModel({}, -30.0)
     per_word = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where(F.col("n") >= min_docs)
     p = (n1 + 1) / (n + 2)
     z = F.abs(F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))

@@ -90,7 +90,7 @@ def test_odd_rows_and_no_labels(spark):
     docs = odd_documents(spark, "'x' AS toxicity")
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     model = toxicity.train(docs, none)
-    assert {r.toxicity for r in toxicity.scored(docs, model).collect()} == {0.5}
+    assert all(0 <= r.toxicity < 1e-9 for r in toxicity.scored(docs, model).collect())
     gam = quality_model.train(docs, none)
     got = quality_model.scored(odd_documents(spark, "'x' AS quality"), gam).collect()
     assert len(got) == 10 and all(0 <= r.quality <= 1 for r in got)
