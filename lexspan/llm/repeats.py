@@ -7,7 +7,8 @@ of it that windows lean to, one phrase entry that stands for all consecutive win
 
 The dictionary groups entries by the bytes that all those windows must share (a key), then by all their bytes. An
 entry whose bytes occur again is a repeat as a whole; an entry alone under its key can't hold any. Only entries that
-share a key but not all bytes are compared window by window, in key order. That order takes the place of the corpus
+share a key but not all bytes are compared window by window, in key order; those of a key with very many contexts are
+dealt out by window. That order takes the place of the corpus
 order that suffix arrays of dictionary and parse would give; it yields the same windows without global suffix ranks.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ GRAM = 8
 LEAN = (LENGTH - GRAM) // 2
 #: Bytes that all windows of one trigger and side share.
 SHARED = LENGTH - LEAN
-#: Rows of one key that a task holds at most; larger groups take the way of _spill.
+#: Rows of one key that a task holds at most.
 HELD = 50_000
+#: Different contexts of one key from which on they are dealt out window by window, so that no task has them all.
+MANY = 1_000
 _BLOCK = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,8 +81,8 @@ def entries(data: bytes) -> tuple[np.ndarray, ...]:
     return key.view(np.int64), whole.view(np.int64), start, count, t - start
 
 
-# An entry's place in one long: first window (32 bits), windows (8), trigger distance (8), kind (4)
-FOUND, ENTRY, TWICE = 0, 1, 2
+# An entry's place in one long: first window (32 bits), windows (8), trigger distance (8), kind (4, SPLIT one of them)
+FOUND, ENTRY, TWICE, SPLIT = 0, 1, 2, 8
 
 
 def _pack(start: np.ndarray, count: np.ndarray, trigger: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
@@ -136,7 +140,7 @@ class _Groups:
         upto = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
         if upto == 0 and len(key) > HELD:  # one key: all but its last bytes are settled
             upto = int(np.searchsorted(whole, whole[-1]))
-            out = self._settle([x[:upto] for x in rows], True) if upto else (none, none)
+            out = self._settle([x[:upto] for x in rows], True) if upto else (none, none)  # its contexts go window by window
             tail = [x[upto:] for x in rows]
             if len(tail[0]) > 1:
                 found = [np.concatenate((a, b)) for a, b in zip(out[0], tail, strict=True)]
@@ -168,7 +172,10 @@ class _Groups:
         found = passed | twice[group]
         to_compare = new & ~passed & distinct[of_key]
         compare = [x[to_compare] for x in rows]
-        compare[3] = (compare[3] & ~np.int64(15)) | np.where(twice[group[to_compare]], TWICE, ENTRY)
+        split = np.bincount(of_key[to_compare], minlength=of_key[-1] + 1) > MANY
+        if first_several:  # a key that comes in parts is split throughout
+            split[0] = True
+        compare[3] = (compare[3] & ~np.int64(15)) | np.where(twice[group[to_compare]], TWICE, ENTRY) | np.where(split[of_key[to_compare]], SPLIT, 0)
         return [x[found] for x in rows], compare
 
 
@@ -192,18 +199,44 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document and its entries to compare -> each entry with the bytes of its windows."""
+    """A document and its entries to compare -> each entry with the bytes of its windows; entries of a key with very many
+    contexts as single windows without bytes, whose key is the window's own."""
     for b in batches:
         out: list[tuple[int, int, int, int, bytes]] = []
+        split: list[tuple[int, int, int, int, np.ndarray]] = []
         for ref, data, todo in zip(b.column("ref").to_pylist(), byte_texts(b.column("text")), b.column("todo").to_pylist(), strict=True):
             for e in todo:
                 start, count = e["place"] >> 20, e["place"] >> 12 & 255
-                out.append((e["key"], e["whole"], ref, e["place"], data[start : start + count + LENGTH - 1]))
+                context = data[start : start + count + LENGTH - 1]
+                if e["place"] & SPLIT:
+                    hashes = np.array(_window_hashes(context, count, e["place"] >> 4 & 255), np.uint64)
+                    split.append((e["key"], e["whole"], ref, e["place"] & ~SPLIT, hashes))
+                    if len(split) == 2_000:
+                        yield _with_none(_single(split))
+                        split = []
+                else:
+                    out.append((e["key"], e["whole"], ref, e["place"], context))
+        if split:
+            yield _with_none(_single(split))
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "whole", "ref", "place", "data"])
 
 
+def _with_none(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], [*rows.schema.names, "data"])
+
+
+def _single(rows: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Entries with the hashes of their windows -> a row per window; key: of the window's hash and the entry's key."""
+    hashes = np.concatenate([r[4] for r in rows])
+    mixed = np.concatenate([r[4] ^ np.uint64(r[0] * int(_A) & (1 << 64) - 1) for r in rows])
+    ref = np.concatenate([np.full(len(r[4]), r[2], np.int64) for r in rows])
+    start = np.concatenate([(r[3] >> 20) + np.arange(len(r[4])) for r in rows])
+    kind = np.concatenate([np.full(len(r[4]), r[3] & 15) for r in rows])
+    return _rows(mixed.view(np.int64), hashes.view(np.int64), ref, _pack(start, np.ones(len(ref), np.int64), np.zeros(len(ref), np.int64), kind))
+
+
 def _window_hashes(data: bytes, count: int, trigger: int) -> list[int]:
     """A hash of each window and of its trigger's distance."""
     hashed = xxhash.xxh3_64_intdigest
@@ -226,20 +259,10 @@ def _runs(ref: np.ndarray, at: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries with bytes, sorted by key and bytes -> runs of windows that another entry of the key has too.
-
-    Rows of one key beyond HELD go on as single windows (kind ENTRY, key: the window's hash), for _windows.
-    """
+    """Entries with bytes, sorted by key and bytes -> runs of windows that another entry of the key has too. Single
+    windows pass, for _windows."""
     held: list[tuple[int, int, int, int, np.ndarray]] = []
-    key, last, spilling = None, None, False
-
-    def single(rows: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
-        hashes = np.concatenate([r[4] for r in rows])
-        mixed = np.concatenate([r[4] ^ np.uint64(r[0] * int(_A) & (1 << 64) - 1) for r in rows])
-        ref = np.concatenate([np.full(len(r[4]), r[2], np.int64) for r in rows])
-        start = np.concatenate([(r[3] >> 20) + np.arange(len(r[4])) for r in rows])
-        kind = np.concatenate([np.full(len(r[4]), r[3] & 15) for r in rows])
-        return _rows(mixed.view(np.int64), hashes.view(np.int64), ref, _pack(start, np.ones(len(ref), np.int64), np.zeros(len(ref), np.int64), kind))
+    key, last = None, None
 
     def settle() -> pa.RecordBatch:
         n = np.array([len(r[4]) for r in held])
@@ -251,21 +274,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _runs(ref, at, (count[inverse] > 1) & todo)
 
     for b in _and_none(batches):
+        if b is not None:
+            whole_rows = b.column("data").is_valid()
+            passing = b.filter(pc.invert(whole_rows))
+            if passing.num_rows:
+                yield passing.drop_columns(["data"])
+            b = b.filter(whole_rows)
         rows = [] if b is None else zip(*(b.column(c).to_pylist() for c in ("key", "whole", "ref", "place", "data")), strict=True)
         for k, whole, ref, place, data in rows:
             if k != key:
                 if held:
-                    yield single(held) if spilling else settle()
-                held, key, last, spilling = [], k, None, False
+                    yield settle()
+                held, key, last = [], k, None
             if whole == last:  # a repeated row of the table
                 continue
             last = whole
             held.append((k, whole, ref, place, np.array(_window_hashes(data, place >> 12 & 255, place >> 4 & 255), np.uint64)))
-            if len(held) > HELD:
-                yield single(held)
-                held, spilling = [], True
         if b is None and held:
-            yield single(held) if spilling else settle()
+            yield settle()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,4 +360,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of every document; nulls, empty texts and repeated rows as in without_repeats()."""
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -58,7 +58,7 @@ def test_query_is_brute_force(spark):
 
 
 def by_key(batches):
-    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True))
+    rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True)), key=lambda r: (r[:4], str(r[4:])))
     names = ["key", "whole", "ref", "place", "data"][: len(rows[0])] if rows else ["key", "whole", "ref", "place"]
     for lo in range(0, len(rows), 7):
         cols = list(zip(*rows[lo : lo + 7], strict=True))
@@ -66,9 +66,11 @@ def by_key(batches):
 
 
 @pytest.mark.parametrize("held", [2, 5, 100_000])
-def test_large_groups_take_the_other_way(monkeypatch, held):
-    """The steps without Spark, with small batches and a small bound on what is held."""
+@pytest.mark.parametrize("many", [0, 1, 3, 1_000])
+def test_large_groups_take_the_other_way(monkeypatch, held, many):
+    """The steps without Spark, with small batches and small bounds on what is held and on what goes as one group."""
     monkeypatch.setattr(repeats, "HELD", held)
+    monkeypatch.setattr(repeats, "MANY", many)
     texts = [t or "" for t in corpus()]
     docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["ref", "text"])
     entries = [b for i in range(len(texts)) for b in repeats._parse(iter([docs.slice(i, 1)]))]
