@@ -177,6 +177,7 @@ def _joined(docs: DataFrame, host: str, frequent: DataFrame, stats, types: str,
 
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of every document, and the words left; nulls, ties and repeated rows as in judged()."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     out = judged(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, small_or_not, staged, table, texts
+from .common import documents, slices, small_or_not, staged, table, texts
 from .toxicity import held_out, labelled
 
 FEATURES = (
@@ -184,11 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Additiv
     sample = docs.select("doc_id", F.col("text").cast("string")).join(small_or_not(chosen, rows), "doc_id").select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([features(t) for t in texts(b.column("text"))], pa.list_(pa.float64()))], ["y", "x"])
 
-    got = staged(sample.mapInArrow(run, "y int, x array<double>"), "quality-sample").orderBy("y", "x").toArrow()
-    return fit(_rows(got["x"].to_pylist()), np.array(got["y"].to_pylist(), float))
+    got = staged(sample.mapInArrow(run, "y int, x array<double>"), "quality-sample").toArrow()
+    x, y = _rows(got["x"].to_pylist()), np.array(got["y"].to_pylist(), float)
+    order = np.lexsort((*x.T[::-1], y))  # the bounded sample in an order of its own, so that reruns agree
+    return fit(x[order], y[order])
 
 
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
@@ -196,7 +198,7 @@ def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     kept = [c for c in docs.columns if c != "quality"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = model.score(_rows([features(t) for t in texts(b.column("text"))]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s, pa.float64())], [*kept, "quality"])
 
@@ -205,6 +207,7 @@ def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of every document. Null doc_ids are never held out; null and empty texts have zeros as features."""
     docs = documents(spark, sf_dir)
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs.select("doc_id", F.col("text").cast("string")), model)

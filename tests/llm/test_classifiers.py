@@ -28,6 +28,22 @@ def test_quality_on_held_out_rows(spark):
     assert auc(*map(np.array, zip(*test, strict=True))) > 0.95
 
 
+def test_quality_scores_through_the_query(spark):
+    """Every score of the query by bins and tables alone, of features taken here; and both answers occur."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_model.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    again = quality_model.train(docs.repartition(5), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality_model.op5_quality_gam(spark, sf).collect()}
+    for d in docs.collect():
+        x = np.array([quality_model.features(d.text)])
+        b = model.bins(x)
+        c = model.coarse_bins(b)
+        z = model.intercept + sum(t[b[0, j]] for j, t in enumerate(model.tables)) + sum(t[c[0, j], c[0, k]] for (j, k), t in model.pairs.items())
+        assert abs(got[d.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9 and np.allclose(model.score(x), again.score(x))
+    assert min(got.values()) < 0.3 <= max(got.values())
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = held_out(spark, toxicity.op3_toxicity_counterfactual, "toxic", "/root/testdata/sf0.1")
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for d, r in rows.items())
