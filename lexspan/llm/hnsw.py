@@ -106,7 +106,7 @@ def grown(unit: np.ndarray, links: int, beam: int = 96) -> np.ndarray:
     out[:at] = _first_links(unit[:at], links)
     _link_back(unit, out, np.arange(at))
     while at < n:
-        lot = np.arange(at, min(n, at + min(1_024, at)))
+        lot = np.arange(at, min(n, at + min(1_024, at, max(64, (64 << 20) // n))))  # bounds what is kept of the rows seen
         v = unit[lot]
         entry = np.argsort(-(v @ unit[: min(at, 256)].T), axis=1, kind="stable")[:, :4].astype(np.int32)
         found, s = search_beam(unit, out[:at], v, entry, beam)
