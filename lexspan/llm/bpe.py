@@ -32,8 +32,9 @@ _END = "</w>"
 _STOP = "\ue000"  # stands for the end mark inside the automaton; byte symbols never use it
 #: What \s means in the file's patterns: the white-space property, without the separators 1C to 1F that Python adds.
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = regex.compile(_SPACE + "+")
 #: Pairs whose compatibility a worker remembers at most, and bytes of words that it keeps encoded at most.
-PAIRS, CACHE = 200_000, 64 << 20
+PAIRS, CACHE = 200_000, 128 << 20
 
 
 def _pattern(file_pattern: str) -> regex.Pattern:
@@ -55,6 +56,17 @@ def _lower(text: str) -> str:
     return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
 
 
+def _one_space(text: str) -> str:
+    """Every run of white space as one space; for ASCII texts by bytes, whose own split knows exactly their white space."""
+    if not text.isascii():
+        return _SPACES.sub(" ", text)
+    data = text.encode()
+    parts = data.split()
+    if not parts:
+        return " " if data else ""
+    return " " * (data[:1].isspace()) + b" ".join(parts).decode() + " " * (data[-1:].isspace())
+
+
 def normaliser(d: dict | None) -> Callable[[str], str]:
     """The file's normaliser: a sequence of NFC, replacement and lower case; another kind is an error."""
     if d is None:
@@ -70,6 +82,8 @@ def normaliser(d: dict | None) -> Callable[[str], str]:
         return run
     if d["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
         return lambda text: text if text.isascii() else unicodedata.normalize(d["type"], text)
+    if d["type"] == "Replace" and d["pattern"] == {"Regex": r"\s+"} and d["content"] == " ":
+        return _one_space
     if d["type"] == "Replace" and "Regex" in d["pattern"]:
         found, new = _pattern(d["pattern"]["Regex"]), d["content"].replace("\\", r"\\")
         return lambda text: found.sub(new, text)
@@ -173,16 +187,21 @@ class Encoder:
         """Ranks of one word's tokens, symbols as in the vocabulary without the end mark."""
         n = len(symbols) + 1
         last: list[tuple[int, int] | None] = [None] * (n + 1)  # by prefix length: (its last token, length of the rest)
-        compatible = self.compatible
-        done = 0
+        known, done = self._compatible, 0
         for end, (length, r) in self._automaton.iter(symbols + _STOP):
             upto = end + 1
             if upto == done or upto == n - 1:  # the last symbol never stands without the end mark
                 continue
             before = upto - length
-            if before == 0 or (p := last[before]) is not None and compatible(p[0], r):
-                last[upto] = (r, before)
-                done = upto
+            if before:
+                p = last[before]
+                if p is None:
+                    continue
+                ok = known.get(p[0] << 32 | r)
+                if not (self.compatible(p[0], r) if ok is None else ok):
+                    continue
+            last[upto] = (r, before)
+            done = upto
         out, at = [], n
         while at:
             found = last[at]

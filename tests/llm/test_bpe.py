@@ -79,5 +79,8 @@ def test_words_with_symbols_that_no_token_covers(encoder):
 def test_the_file_says_how_to_normalise():
     assert bpe.normaliser({"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": "-"})("a \t\x1cb\xa0c") == "a-\x1cb-c"
     assert bpe.normaliser(None)("Ab") == "Ab"
+    plain = bpe.normaliser({"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+    for text in ("", " ", "\t\n", "a", " a", "a ", "\n a \t\r\x0b\x0c b\x1cc\x1f \n", "\xa0a\u3000\u2003 b\x85", "a\x00 b"):
+        assert plain(text) == bpe._SPACES.sub(" ", text), repr(text)
     with pytest.raises(ValueError, match="not known"):
         bpe.normaliser({"type": "BertNormalizer"})
