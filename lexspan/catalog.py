@@ -79,6 +79,7 @@ pairs AS (SELECT *, CASE WHEN classe = classe_p AND (classe <> 'real' OR id_cano
 
 
 def _pairs(f: Fixture) -> tuple[DataFrame, DataFrame]:
+    f.gold = staged(f.gold, "gold")  # used several times
     found = _noisy(f)
     return found, V.matched(I.iou_pairs(f.gold.select("documento_id", "k", "inicio", "fim", "classe", "id_canonico"), found), found)
 
@@ -290,7 +291,7 @@ _PROCESS = "SELECT documento_id, inicio, fim, tipo, classe, regra, CAST(id_canon
 
 @_query("m10_process_v", _PROCESS)
 def _(f: Fixture) -> DataFrame:
-    return P.process(f.docs, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+    return P.process(staged(f.docs, "docs"), _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
 
 
 @_query("m10_process_r", _PROCESS + " WHERE forma <> 14")

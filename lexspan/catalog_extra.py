@@ -225,7 +225,7 @@ def _(f: Fixture) -> DataFrame:
     """Every planted phrase as a proposal, and the document's own number, which is turned down."""
     own = f.offsets.where("forma = 15 AND ord % 3 = 1").select(F.col("doc").cast("string").alias("documento_id"), "inicio", "fim")
     asked = staged(f.gold.select("documento_id", "inicio", "fim").unionByName(own), "asked")
-    return S.decide_proposals(f.docs, asked, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
+    return S.decide_proposals(staged(f.docs, "docs"), asked, _kb(f), True).select("documento_id", "inicio", "fim", "tipo", "classe", "regra", "id_canonico")
 
 
 @_query("l09_applied_proposals", "SELECT documento_id, inicio, fim FROM gold WHERE k % 3 > 0")
@@ -283,7 +283,8 @@ def _(f: Fixture) -> DataFrame:
 @_query("j03_gold_with_vague", "SELECT documento_id, inicio, fim, classe FROM gold")
 def _(f: Fixture) -> DataFrame:
     columns = ["documento_id", "inicio", "fim", "classe"]
-    vague = E.vague(f.docs, E.extracted(f.docs)).withColumn("classe", F.lit("incompleta"))
+    docs = staged(f.docs, "docs")
+    vague = E.vague(docs, E.extracted(docs)).withColumn("classe", F.lit("incompleta"))
     return f.gold.where("forma <> 14").select(*columns).unionByName(vague.select(*columns))
 
 

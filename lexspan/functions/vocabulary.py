@@ -6,7 +6,7 @@ from __future__ import annotations
 # Letters that optical recognition puts for digits (never a digit for a digit), and letters for letters.
 OCR_LETTERS = "OoQDlIi|!SsgqBGbZz"
 OCR_DIGITS = "000011111559986622"
-MISREAD = {"a": "@", "e": "c", "i": "l1|", "o": "0", "l": "1i|", "s": "5", "g": "9"}
+MISREAD = {"a": "@", "c": "e", "e": "c", "i": "l1|", "o": "0", "l": "1i|", "s": "5", "g": "9"}
 
 #: Procedural classes: code -> names in full.
 CLASS_NAMES = {

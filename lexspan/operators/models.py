@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import ANY_SOURCE, ATTACKED_PATTERN, CLOSING, CUE_PATTERN, HEAD_PATTERN, NO_CITATION_BEFORE, SLOT_PATTERN, SOURCE_PATTERN, TITLE, VAGUE_PATTERN
-from ..functions.text import cache_key, strip_accents
+from ..functions.text import cache_key, lookup, strip_accents
+from ..functions.vocabulary import MISREAD
 from .extraction import about_law, header_end, matches
 from .intervals import without_overlap
 
@@ -197,17 +198,25 @@ def proposals(sentences: DataFrame, factory: Callable[[], Proposer] | None = Non
     return sentences.join(asked, "frase")
 
 
+def _misreadable(text: Column) -> Column:
+    """Pattern of a plain lower-case text: its letters may have been misread as others or as digits, its digits not."""
+    table = {c: "[" + c + "".join(x for x in more if x != "|") + ("|]" if "|" in more else "]") for c, more in MISREAD.items()} | {"m": "(?:m|rn)", " ": r"\s+"}
+    signs = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), ""), lambda c: c != "")
+    escaped = lambda c: F.when(c.rlike("[^a-z0-9]"), F.concat(F.lit("\\"), c)).otherwise(c)
+    return F.array_join(F.transform(signs, lambda c: F.coalesce(lookup(table, c), escaped(c))), "")
+
+
 def anchored(proposals: DataFrame) -> DataFrame:
     """documento_id, a, frase, proposta -> inicio, fim where the proposal stands in its sentence: literally, else with any
-    white space, else without regard to case and accents. Others, and those under three characters, are dropped: a
-    paraphrase is no citation."""
+    white space, else without regard to case and accents and with letters misread. Others, and those under three
+    characters, are dropped: a paraphrase is no citation."""
     said = F.trim(F.regexp_replace("proposta", r"^[\s.,;:]+|[\s.,;:]+$", ""))
     proposals = proposals.withColumn("dita_", said).where(F.length("dita_") >= 3)
     exact = F.instr("frase", F.col("dita_"))
     loose_of = lambda c: F.regexp_replace(F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
     space = F.regexp_substr("frase", loose_of(F.col("dita_")))
     plain = F.lower(strip_accents(F.col("frase")))
-    folded = F.regexp_substr(plain, loose_of(F.lower(strip_accents(F.col("dita_")))))
+    folded = F.regexp_substr(plain, _misreadable(F.lower(strip_accents(F.col("dita_")))))
     at = F.when(exact > 0, exact).when(space.isNotNull(), F.instr("frase", space)).when(folded.isNotNull(), F.instr(plain, folded))
     size = F.when(exact > 0, F.length("dita_")).when(space.isNotNull(), F.length(space)).otherwise(F.length(folded))
     p = proposals.withColumn("at", at).withColumn("size", size).where("at > 0")

@@ -274,6 +274,10 @@ def test_segments_and_anchors(spark):
     rows = [("d", 0, text, p) for p in ("art.  5º da cf", "  Nancy ANDRIGHI. ", "outra coisa", "x", "")]
     got = M.anchored(spark.createDataFrame(rows, "documento_id string, a long, frase string, proposta string")).collect()
     assert sorted(text[r.inicio : r.fim] for r in got) == ["Nancy Andrighi", "art. 5º da CF"]
+    text = "Assim o 5TJ, no REsp 1S, e a jurisprudêneia (firrne) da Casa."
+    rows = [("d", 0, text, p) for p in ("STJ, no REsp", "REsp 15", "jurisprudência (firme)", "REsp 1S")]
+    got = M.anchored(spark.createDataFrame(rows, "documento_id string, a long, frase string, proposta string")).collect()
+    assert sorted(text[r.inicio : r.fim] for r in got) == ["5TJ, no REsp", "REsp 1S", "jurisprudêneia (firrne)"]
 
 
 def test_proposers_and_answers(spark):
