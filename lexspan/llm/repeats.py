@@ -212,19 +212,29 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hashes = np.array(_window_hashes(context, count, e["place"] >> 4 & 255), np.uint64)
                     split.append((e["key"], e["whole"], ref, e["place"] & ~SPLIT, hashes))
                     if len(split) == 2_000:
-                        yield _with_none(_single(split))
+                        yield from _with_none(_single(split))
                         split = []
                 else:
                     out.append((e["key"], e["whole"], ref, e["place"], context))
         if split:
-            yield _with_none(_single(split))
+            yield from _with_none(_single(split))
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "whole", "ref", "place", "data"])
 
 
-def _with_none(rows: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], [*rows.schema.names, "data"])
+def _with_none(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Single windows with no bytes. Those that the batch has twice are found already; one of them goes on for the others."""
+    key, whole, ref, place = (rows.column(c).to_numpy() for c in ("key", "whole", "ref", "place"))
+    order = np.lexsort((whole, key))
+    key, whole, ref, place = (x[order] for x in (key, whole, ref, place))
+    new = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(whole) != 0)))
+    size = np.diff(np.concatenate((np.flatnonzero(new), [len(new)])))
+    twice = np.repeat(size, size) > 1
+    place = np.where(twice, place & ~np.int64(15) | TWICE, place)
+    for part in (_rows(key[new], whole[new], ref[new], place[new]), _rows(ref[twice], whole[twice], ref[twice], place[twice] & ~np.int64(15) | FOUND)):
+        if part.num_rows:
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.binary())], [*part.schema.names, "data"])
 
 
 def _single(rows: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
