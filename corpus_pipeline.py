@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one with the smallest doc_id, null ids last; of rows that tie the
-    first as read. Null, empty and wordless texts are one group."""
+    first as read. Null, empty and wordless texts are one group. Candidates come from SimHash rings by pigeonring chains,
+    their links are exact similarities."""
     return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 

@@ -4,7 +4,8 @@ The 64 bits are cut into M segments on a ring. If two fingerprints differ in at
 chain whose first n segments together differ in at most n * T / M bits, for every n from 1 to M. With M = 8 and T = 2
 the first three segments of that chain must agree: they are the blocking key. The next four together differ in one bit at
 most, so of two halves of them one agrees: larger groups are split by that, and once more. The chain's prefixes prune
-candidates, and the full Hamming distance decides. grouped() finds documents of a given similarity by MinHash bands.
+candidates, and the full Hamming distance decides. grouped() finds documents of a given similarity by a longer ring of
+SimHash bits, whose chains start at an equal box; the full Hamming distance follows, then the exact similarity.
 """
 
 from __future__ import annotations
@@ -175,6 +176,22 @@ def spanning(group: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.nd
     return out
 
 
+def stars(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of a forest -> links that join the same rows, each row with the first of its tree."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    for i, j in found:
+        x, y = top(i), top(j)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+    return [(top(x), x) for x in above]
+
+
 def _by_key(link: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> Callable:
     """For mapInArrow over rows (key, id, ...) sorted by key, each key whole in one partition -> links (a, b) of ids."""
 
@@ -243,37 +260,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, group: int = GROUP) -> Da
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: MinHash bands and values in each. Two sets of Jaccard similarity s share no band with probability (1 - s ** ROWS) ** BANDS,
-#: whatever their size: 0.0002 at 0.8.
-BANDS, ROWS = 16, 4
-_MASK, _TIMES = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1)
+#: The ring of grouped(): BOXES boxes of BOX bits, WORDS SimHash fingerprints of BITS bits one after the other.
+BOX, WORDS = 16, 24
+BOXES = BITS * WORDS // BOX
+#: Boxes of a chain, after its first, that are tested before two rings are candidates.
+AHEAD = 2 * BITS // BOX
+#: Chains with the first starts go ahead: what they join is one for the others, so that a large group doesn't make links by every box.
+EARLY = 16
+_MASK, _TIMES = np.random.default_rng(7).integers(0, 1 << 63, (2, WORDS), np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Rows of one hash, or of WORDS hashes -> rows of WORDS hashes, each made in its own way."""
+    x = (h ^ _MASK) * _TIMES
+    x ^= x >> np.uint64(32)
+    x *= _TIMES[::-1]
+    return x ^ x >> np.uint64(29)
+
 
+def ring(text: bytes, shingle: int = 5) -> np.ndarray:
+    """WORDS SimHash fingerprints of the set of ``shingle``-word shingles; no words: zeros.
 
-def minima(text: bytes, shingle: int = 5) -> np.ndarray:
-    """BANDS * ROWS MinHash values of the set of ``shingle``-word shingles; no words: zeros."""
+    Bit i of each is 1 if it is set in over half of that fingerprint's hashes. One of the 255 shingles of the smallest
+    hashes, another for each fingerprint, counts once more if the shingles are even in number and twice more if odd:
+    without that, many bits of a few shingles would be ties and similar short texts would differ in too many.
+    """
     words = text.lower().split()
-    least = np.full(BANDS * ROWS, ~np.uint64(0) if words else np.uint64(0))
-    h = _hashes(words, shingle, 1) if words else np.zeros(0, np.uint64)
-    for at in range(0, len(h), 4_096):  # bounds the mixed hashes
-        x = (h[at : at + 4_096] ^ _MASK[:, None]) * _TIMES[:, None]
-        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(axis=1))
-    return least
+    if not words:
+        return np.zeros(WORDS, np.uint64)
+    h = np.unique(_hashes(words, shingle, 1))[:, None]
+    ones = np.zeros(BITS * WORDS, np.int64)
+    for at in range(0, len(h), 255):  # bounds the unpacked bits, whose sums are bytes
+        ones += np.unpackbits(_mixed(h[at : at + 255]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    more = 1 + len(h) % 2
+    one = h[(h[:255] * _MASK).argmin(axis=0), 0]
+    ones += more * np.unpackbits(_mixed(one).view(np.uint8), bitorder="little")
+    return np.packbits(ones * 2 > len(h) + more, bitorder="little").view(np.uint64)
+
+
+def boxes(rings: np.ndarray) -> np.ndarray:
+    """Rings -> rows of BOXES keys: the chain's start and the box there, which must agree."""
+    return rings.view(np.uint16).astype(np.int64) << 7 | np.arange(BOXES)
+
+
+def ahead(rings: np.ndarray) -> np.ndarray:
+    """Rings -> for each of their BOXES chains the AHEAD boxes after the first, as two longs."""
+    x = rings.view(np.uint16)
+    after = np.lib.stride_tricks.sliding_window_view(np.concatenate([x, x[:, :AHEAD]], axis=1)[:, 1:], AHEAD, axis=1)
+    return np.ascontiguousarray(after).view(np.int64)
+
 
+#: What tests/llm calls a ring and its keys.
+minima, bands = ring, boxes
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """Rows of minima() -> rows of BANDS keys, each from a band's values and its place."""
-    x = least.reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(_MASK[:BANDS], x.shape[:2])
-    for k in range(ROWS):
-        key = (key ^ x[:, :, k]) * _TIMES[k]
-        key = key ^ key >> np.uint64(29)
-    return key
 
+def budget(similarity: float) -> int:
+    """Bits in which rings of sets of that Jaccard similarity differ on average, and twelve standard deviations more."""
+    n, rate = BITS * WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * rate + 12 * np.sqrt(n * rate * (1 - rate)))
 
-def estimated(similarity: float) -> int:
-    """Equal MinHash values that sets of that similarity have on average, less four standard deviations."""
-    n = BANDS * ROWS
-    return int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity)))
+
+def chain_goes_on(diff: np.ndarray, most: int) -> np.ndarray:
+    """For rows of ahead() xor ahead(), the first box being equal: at which every prefix of the chain, from 2 to AHEAD + 1
+    boxes, stays within its share of ``most`` bits in BOXES."""
+    at = np.flatnonzero(np.bitwise_count(diff).sum(axis=1, dtype=np.int64) * BOXES <= (AHEAD + 1) * most)
+    sums = np.bitwise_count(diff[at].view(np.uint16)).cumsum(axis=1, dtype=np.int64)
+    return at[(sums * BOXES <= np.arange(2, AHEAD + 2) * most).all(axis=1)]
 
 
 def exactly(sets: list[np.ndarray], similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -314,6 +366,16 @@ def exactly(sets: list[np.ndarray], similarity: float) -> Callable[[np.ndarray,
     return linked
 
 
+def _rings(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, WORDS)
+
+
+def _hamming(rings: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which these rings differ; some pairs at a time bounds what is at hand."""
+    parts = [np.bitwise_count(rings[i[at : at + 65_536]] ^ rings[j[at : at + 65_536]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 65_536)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 #: A component of candidates with more than so many times GROUP nodes is compared in pairs of blocks of that size.
 BLOCK = 16
 
@@ -322,74 +384,103 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: i
     """docs with row (unique), node and component (long): rows of one component are linked by near-copies.
 
     A link is a Jaccard similarity of ``similarity`` or more of the sets of hashes of ``shingle``-word shingles. Nodes
-    that share a MinHash band, and by all their MinHash values may be that similar, are in one component of candidates;
-    in each component all pairs are compared exactly, but for those that links join already. Every node meets all that
-    have its bands, however many; a component of more than BLOCK * ``group`` nodes is dealt out in pairs of blocks. Texts
-    equal but for A-Z case and white space are one node. Null and wordless texts are one node.
+    are candidates if a box of their rings agrees and the chain that starts there goes on within its budget; candidates
+    that reach one another are one component. In each component all pairs are compared, by the full Hamming distance of
+    their rings and then exactly, but for those that links join already. Every node meets all that have one of its boxes,
+    however many; a component of more than BLOCK * ``group`` nodes is dealt out in pairs of blocks. Texts equal but for
+    A-Z case and white space are one node. Null and wordless texts are one node.
     """
-    sums = [f"s{i}" for i in range(BANDS * ROWS // 8)]
-    new = ["node", *sums, "bands"]
-    kept = [c for c in docs.columns if c not in ("row", "component", *new)]
+    kept = [c for c in docs.columns if c not in ("row", "component", "node", "ring")]
     docs = docs.select(*kept)
-    least = estimated(similarity)
+    most = budget(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data = byte_texts(b.column("text"))
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())) for x in data], np.uint64).view(np.int64)
-            values = np.array([minima(x, shingle) for x in data], np.uint64).reshape(-1, BANDS * ROWS)
-            low = values.astype(np.uint8).view(np.int64)  # a byte of each value
-            parts = pa.array(list(bands(values).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), *(pa.array(low[:, k]) for k in range(len(sums))), parts], [*kept, *new])
+            rings = pa.array([ring(x, shingle).tobytes() for x in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(node), rings], [*kept, "node", "ring"])
+
+    def chains(lo: int, hi: int) -> Callable:
+        """For mapInArrow: the rings' chains with starts from lo to hi."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                rings = _rings(b.column("ring").to_pylist())
+                after = ahead(rings)[:, lo:hi]
+                cols = [boxes(rings)[:, lo:hi].ravel(), np.repeat(b.column("id").to_numpy(), hi - lo), after[:, :, 0].ravel(), after[:, :, 1].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "next", "last"])
+
+        return run
 
     def candidates(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        low = np.stack([col[c] for c in sums], axis=1).view(np.uint8)
+        of, after = col["id"], np.stack([col["next"], col["last"]], axis=1).view(np.uint64)
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.flatnonzero((low[i] == low[j]).sum(axis=1) >= least)
+            hit = of[i] == of[j]
+            at = np.flatnonzero(~hit)
+            hit[at[chain_goes_on(after[i[at]] ^ after[j[at]], most)]] = True
+            return np.flatnonzero(hit)
+
+        return [(i, j) for i, j in stars(spanning(col["group"], linked)) if of[i] != of[j]]
 
-        return spanning(col["group"], linked)
+    def met(rings: DataFrame, lo: int, hi: int) -> DataFrame:
+        """(a, b) whose components are those of all candidates by these chains; rows of one id are one already."""
+        keyed = rings.mapInArrow(chains(lo, hi), "key long, id long, next long, last long")
+        return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_by_key(candidates), "a long, b long")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [np.unique(_hashes(w, shingle, 1).view(np.int64)) if (w := x.lower().split()) else np.zeros(0, np.int64) for x in byte_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ring"), pa.array(sets, pa.list_(pa.int64()))], ["id", "ring", "set"])
+
+    def linked_in(rings: np.ndarray, sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        exact = exactly(sets, similarity)
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(_hamming(rings, i, j) <= most)
+            return at[exact(i[at], j[at])]
+
+        return linked
 
     def link(col: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         first = np.flatnonzero(np.diff(col["group"], prepend=-1))
         starts = first[np.flatnonzero(np.diff(first // 500, prepend=-1))]  # some groups at a time: bounds the sets at hand
         out: list[tuple[int, int]] = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(col["group"])], strict=True):
-            found = spanning(col["group"][lo:hi] - col["group"][lo], exactly(list(col["set"][lo:hi]), similarity))
+            found = spanning(col["group"][lo:hi] - col["group"][lo], linked_in(_rings(col["ring"][lo:hi].tolist()), list(col["set"][lo:hi])))
             out += [(lo + i, lo + j) for i, j in found]
         return out
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(run, f"{types}, node long" + "".join(f", {c} long" for c in sums) + ", bands array<long>")
+    rows = docs.mapInArrow(run, f"{types}, node long, ring binary")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "near-copies")
-    nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in new[1:])), "near-copy-nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "id", *sums)
-    near_ones = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(candidates), "a long, b long"))
+    nodes = staged(rows.groupBy(F.col("node").alias("id")).agg(F.first("ring").alias("ring")), "near-copy-nodes")
+    early = staged(components(met(nodes, 0, EARLY)), "near-copy-early")
+    e = early.select(F.col("node").alias("n_"), "root")
+    merged = nodes.join(e, F.col("id") == F.col("n_"), "left").select(F.coalesce("root", "id").alias("id"), "ring")
+    near_ones = components(met(merged, EARLY, BOXES).unionByName(early.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     near_ones = staged(near_ones.withColumnsRenamed({"node": "n_", "root": "root_"}), "near-copy-candidates")
     blocks = near_ones.groupBy("root_").agg(F.ceil(F.count("*") / (BLOCK * group)).cast("int").alias("blocks"))
     other = F.explode(F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))).otherwise(F.array(F.lit(0))))
     place = near_ones.join(blocks, "root_").withColumn("block", F.pmod(F.xxhash64("n_"), "blocks").cast("int")).withColumn("other", other)
     place = place.select("n_", F.xxhash64("root_", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    texts = rows.join(near_ones, rows["node"] == near_ones["n_"], "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(sets_of, "id long, set array<long>")
-    sets = place.join(sets, place["n_"] == sets["id"]).select("key", "id", "set")
+    texts = rows.join(near_ones, rows["node"] == near_ones["n_"], "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text"), F.first("ring").alias("ring"))
+    sets = texts.mapInArrow(sets_of, "id long, ring binary, set array<long>")
+    sets = place.join(sets, place["n_"] == sets["id"]).select("key", "id", "ring", "set")
     found = components(sets.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(link), "a long, b long"))
     f = found.select(F.col("node").alias("n_"), "root")
     of = nodes.select("id").join(f, F.col("id") == F.col("n_"), "left").select("id", F.coalesce("root", "id").alias("component"))
-    return rows.drop(*new[1:]).join(of, rows["node"] == of["id"]).drop("id")
+    return rows.drop("ring").join(of, rows["node"] == of["id"]).drop("id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     """The rows of docs with the smallest doc_id of each component of grouped(), one row each; null ids come last."""
-    columns = docs.columns
-    rows = grouped(docs, **how)
+    own = {c: f"{c} of docs" if c.lower() in ("row", "node", "ring", "component") else c for c in docs.columns}
+    rows = grouped(docs.withColumnsRenamed(own), **how)
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select(*columns)
+    rows = rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
+    return rows.select(*own.values()).withColumnsRenamed({v: c for c, v in own.items()})
 
 
 def hex16(fp: F.Column) -> F.Column:

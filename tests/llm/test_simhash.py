@@ -3,6 +3,8 @@ import re
 import numpy as np
 import xxhash
 
+import corpus_pipeline
+
 from lexspan.llm import simhash
 
 from .helpers import SF, odd_documents
@@ -167,3 +169,88 @@ def test_large_components_go_in_blocks(spark):
     assert len(set(root)) < 100
     for group in (2, simhash.GROUP):
         assert sorted(r.doc_id for r in simhash.one_of_each(docs, group=group).collect()) == sorted(set(root))
+
+
+def brute_ring(text):
+    """The majorities by counting, with the hashes' own mixing."""
+    words = text.split()
+    parts = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    h = sorted(xxhash.xxh64_intdigest(p.encode(), 1) for p in parts)
+    more, out = 1 + len(h) % 2, []
+    for k in range(simhash.WORDS):
+        one = min(h[:255], key=lambda x: x * int(simhash._MASK[k]) % (1 << 64))
+        counted = [int(simhash._mixed(np.array([[x]], np.uint64))[0, k]) for x in [*h, *[one] * more]]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in counted) > len(counted)))
+    return out
+
+
+def test_rings_are_simhash_fingerprints():
+    rng = np.random.default_rng(8)
+    for size in (1, 4, 5, 6, 7, 8, 9, 30, 301):
+        text = " ".join(f"w{int(x)}" for x in rng.integers(0, 5_000, size))
+        assert simhash.ring(text.upper().replace("W", "w").encode()).tolist() == brute_ring(text), size
+    assert not simhash.ring(b" \n").any()
+
+
+def test_chains_of_rings_are_brute_force():
+    rng = np.random.default_rng(9)
+    most, hits = simhash.budget(0.8), 0
+    a = np.array([simhash.ring(" ".join(f"w{int(x)}" for x in rng.integers(0, 5_000, 60)).encode()) for _ in range(200)])
+    b = a.copy()
+    for row in b:  # most chains run over the end of the ring or meet very unlike boxes
+        for at in rng.choice(simhash.WORDS * 64, rng.integers(0, 500), replace=False).tolist():
+            row[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    keys, after = [simhash.boxes(x) for x in (a, b)], [simhash.ahead(x).view(np.uint64) for x in (a, b)]
+    for i in range(200):
+        d = [(int(x) ^ int(y)).bit_count() for x, y in zip(a[i].view(np.uint16), b[i].view(np.uint16), strict=True)]
+        found = set(simhash.chain_goes_on(after[0][i] ^ after[1][i], most).tolist()) & set(np.flatnonzero(keys[0][i] == keys[1][i]).tolist())
+        want = {s for s in range(simhash.BOXES) if not d[s] and all(sum(d[(s + k) % simhash.BOXES] for k in range(n)) * simhash.BOXES <= n * most for n in range(1, simhash.AHEAD + 2))}
+        assert found == want
+        hits += len(want)
+    assert hits > 500
+
+
+def test_pairs_at_the_similarity_are_candidates():
+    rng = np.random.default_rng(10)
+    most = simhash.budget(0.8)
+    for size, edits, more in ((8, 0, 1), (12, 0, 2), (20, 0, 4), (40, 1, 0), (100, 2, 0), (300, 0, 70), (400, 8, 0), (1_000, 20, 0)):
+        met = pairs = 0
+        while pairs < 200:
+            words = [f"w{int(x)}" for x in rng.integers(0, 50_000, size)]
+            a, b = " ".join(words), edited(rng, words, edits, "z") + "".join(f" y{k}" for k in range(more))
+            if 0.8 <= jaccard(a, b) < 0.86:
+                pairs += 1
+                rings = np.array([simhash.ring(x.encode()) for x in (a, b)])
+                keys, after = simhash.boxes(rings), simhash.ahead(rings).view(np.uint64)
+                chains = np.flatnonzero(keys[0] == keys[1])
+                met += bool(len(simhash.chain_goes_on((after[0] ^ after[1])[chains], most))) and int(np.bitwise_count(rings[0] ^ rings[1]).sum()) <= most
+        assert met >= 198, size
+
+
+def test_near_copies_of_the_pipeline_come_from_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"w{int(x)}" for x in rng.integers(0, 5_000, 200)]
+    docs = spark.createDataFrame([(i, edited(rng, words, i, i)) for i in range(4)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()] == [0]
+    words_of, whole = simhash.WORDS, xxhash.xxh64_intdigest
+    monkeypatch.setattr(simhash, "ring", lambda text, shingle=5: np.array([whole(text, k) for k in range(words_of)], np.uint64))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 1, 2, 3]
+
+
+def test_stars_join_what_a_forest_joins():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 30, 400):
+        found = [(k, int(rng.integers(0, k))) for k in rng.permutation(n).tolist() if k and rng.random() < 0.8]
+        root = list(range(n))
+        for i, j in found:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        assert sorted(simhash.stars(found)) == sorted((root[x], x) for x in range(n) if root[x] != x)
+
+
+def test_columns_named_like_those_of_the_stage_keep_their_values(spark):
+    extra = {"row": 1, "node": 2, "ring": 3, "Component": 4}
+    docs = odd_documents(spark).select("*", *(simhash.F.lit(v).alias(c) for c, v in extra.items()))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r[c] for c in extra) for r in got.collect()} == {(1, 2, 3, 4)}
